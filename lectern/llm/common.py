@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_unused_shuffles(spark: SparkSession) -> None:
+    """Ask for a collection on the driver, upon which Spark's cleaner removes the shuffle files of finished DataFrames that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. A text of ASCII only takes the faster built-in; both ways give the same bytes."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
