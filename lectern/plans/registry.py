@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import analytics, documents, reporting
+
+PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, (f, _) in part.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in PARTS for name, (_, sql) in part.items() if sql}
