@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +33,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def drop_unused_shuffles(spark: SparkSession) -> None:
     """Ask for a collection on the driver, upon which Spark's cleaner removes the shuffle files of finished DataFrames that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection only frees what holds the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def lower_ascii(text: Column) -> Column:
