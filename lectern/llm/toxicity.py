@@ -26,7 +26,7 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 BEGINNINGS = (4, 5)
-PADS = max(WIDTHS) - 1
+PADS = max(WIDTHS)
 #: At most so many labelled rows of each class are trained on.
 PER_CLASS = 2000
 THRESHOLD = 0.7

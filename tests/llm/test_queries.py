@@ -1,0 +1,61 @@
+"""The registered queries and the pipeline on the smallest tables."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from lectern.llm import queries, simhash, toxicity
+from lectern.llm.mixing import mixed_documents
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted([tuple(r[i] for i in order) for r in rows], key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
+    df, want = queries.QUERIES[name](spark, FOLDER), con.sql(queries.SQL[name])
+    assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_one_row_per_document(spark, name):
+    assert queries.QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage step by step in plain Python; the mix and the encoder have brute-force tests of their own."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")))
+    rows = sorted(docs.collect())
+    rows = [r for r, s in zip(rows, toxicity.Scorer(model).scores([r.text for r in rows]), strict=True) if s < toxicity.THRESHOLD]
+    last = {}
+    for r in rows:
+        last[(r.text or "").lower() if (r.text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in r.text)] = r
+    rows = sorted(last.values())
+    prints = {r.doc_id: simhash.fingerprint(r.text, simhash.STAGE_WORDS) for r in rows}
+    label = {}
+    for i in sorted(prints):
+        if i not in label:
+            todo, label[i] = [i], i
+            while todo:
+                y = todo.pop()
+                for z in prints:
+                    if z not in label and (prints[y] ^ prints[z]).bit_count() <= 3:
+                        label[z] = i
+                        todo.append(z)
+    kept = [r for r in rows if label[r.doc_id] == r.doc_id]
+    mixed = mixed_documents(spark.createDataFrame(kept, docs.schema))
+    got = corpus_pipeline.run(spark, FOLDER)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in mixed.collect())
+
+
+def test_stage_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "mixing", "bpe"]
