@@ -290,10 +290,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batched = rows.where("doc is not null").withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
     parts = checkpointed(repetitive(batched, batches, buckets))
     drop_unused_shuffles(docs.sparkSession)
-    ranges = resolve_cold(cold_phrases(parts)).union(resolve_hot(parts))
+    cold = checkpointed(resolve_cold(cold_phrases(parts)))
+    drop_unused_shuffles(docs.sparkSession)  # the shuffles of the two ways don't lie on disk at once
+    ranges = cold.union(resolve_hot(parts))
     spans = F.array_sort(F.collect_list(F.struct("begin", "end")))
     found = checkpointed(ranges.groupBy("rid").agg(spans.alias("ranges")))
-    del parts, ranges
+    del parts, cold, ranges
     drop_unused_shuffles(docs.sparkSession)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
