@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,21 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With this setting Spark removes the shuffle files of a query when its action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names; a temporary one only where none is set.
+
+    The shuffle files that led to the checkpoint go as soon as it is written, so the steps of an operator don't pile them up on disk.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def drop_unused_shuffles(spark: SparkSession) -> None:
-    """Ask for a collection on the driver, upon which Spark's cleaner removes the shuffle files of finished DataFrames that nothing refers to."""
-    for _ in range(2):  # the first collection only frees what holds the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the new frame is planned under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, checkpointed, drop_unused_shuffles, table
+from .common import by_bytes, checkpointed, table
 
 LENGTH = 50
 GRAM = 16
@@ -289,14 +289,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batches, buckets = max(8, -(-total // BATCH_BYTES)), max(24, -(-total // (48 << 20)))
     batched = rows.where("doc is not null").withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
     parts = checkpointed(repetitive(batched, batches, buckets))
-    drop_unused_shuffles(docs.sparkSession)
-    cold = checkpointed(resolve_cold(cold_phrases(parts)))
-    drop_unused_shuffles(docs.sparkSession)  # the shuffles of the two ways don't lie on disk at once
+    cold = checkpointed(resolve_cold(cold_phrases(parts)))  # the shuffles of the two ways don't lie on disk at once
     ranges = cold.union(resolve_hot(parts))
     spans = F.array_sort(F.collect_list(F.struct("begin", "end")))
     found = checkpointed(ranges.groupBy("rid").agg(spans.alias("ranges")))
-    del parts, cold, ranges
-    drop_unused_shuffles(docs.sparkSession)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(them, "data", 4 << 20):
