@@ -6,8 +6,8 @@ document only can't repeat and are dropped after one exchange of packed trigger
 Its phrases meet by trigger. Inside a trigger's group the suffixes of the phrases are put in order to the depth of 50 bytes, which brings equal
 strings together, and each string is compared with the smallest document that has it.
 
-Triggers that very many documents hold take another way: their strings are digested, and the smallest document of each digest is
-combined before the shuffle, so no task gathers a group that grows with the corpus.
+Triggers that very many documents hold take another way: their phrases form a dictionary of distinct phrases with the smallest document of
+each, combined before the shuffle, and only the dictionary's strings are digested and compared, so no task gathers a group that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -253,27 +253,62 @@ def resolve_cold(rows: DataFrame) -> DataFrame:
     return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "rid long, begin long, end long")
 
 
-def resolve_hot(parts: DataFrame) -> DataFrame:
-    """(rid, begin, end) for the strings of hot triggers: the smallest document of each string's 128-bit digest, combined before the shuffle."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rid", pa.int64()), ("doc", pa.int64()), ("begin", pa.int64())])
+def hot_phrases(parts: DataFrame) -> DataFrame:
+    """(a, b, rid, doc, first, count, data): a row for each phrase whose trigger is hot; a and b are the 128-bit digest of its bytes."""
+    names = ("a", "b", "rid", "doc", "first", "count")
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "data", 1 << 20):
-            digests, rids, docs, begins = [], [], [], []
+            rids, docs, firsts, counts, texts = [], [], [], [], []
             for rid, doc, at, data, hot in zip(*[batch.column(n).to_pylist() for n in ("rid", "doc", "first", "data", "hot")], strict=True):
                 trigger, first, count = phrases(data)
                 warm = member(short(trigger), unpacked(hot))
-                for f, c in zip(first[warm].tolist(), count[warm].tolist(), strict=True):
-                    digests += [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(f, f + c)]
-                    begins += range(at + f, at + f + c)
-                    rids += [rid] * c
-                    docs += [doc] * c
+                first, count = first[warm].tolist(), count[warm].tolist()
+                texts += [data[f : f + c + LENGTH - 1] for f, c in zip(first, count, strict=True)]
+                firsts += [at + f for f in first]
+                counts += count
+                rids += [rid] * len(first)
+                docs += [doc] * len(first)
+            two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), *[pa.array(x, pa.int64()) for x in (rids, docs, firsts, counts)], pa.array(texts, pa.binary())], schema=schema)
+
+    return parts.where("octet_length(hot) > 0").mapInArrow(run, "a long, b long, rid long, doc long, first long, count long, data binary")
+
+
+def strings_of(dictionary: DataFrame) -> DataFrame:
+    """(x, y, a, b, at, least): a row for each 50-byte string of the dictionary's phrases, with its 128-bit digest and its place in the phrase."""
+    schema = pa.schema([(n, pa.int64()) for n in ("x", "y", "a", "b", "at", "least")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "data", 1 << 20):
+            data = batch.column("data").to_pylist()
+            counts = np.fromiter(map(len, data), np.int64, len(data)) - LENGTH + 1
+            digests = [xxhash.xxh3_128_digest(t[i : i + LENGTH]) for t, c in zip(data, counts.tolist(), strict=True) for i in range(c)]
             two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), pa.array(begins, pa.int64())], schema=schema)
+            row = np.repeat(np.arange(len(data)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            of = [np.asarray(batch.column(n))[row] for n in ("a", "b", "least")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[:, 0], two[:, 1], of[0], of[1], at, of[2])], schema=schema)
+
+    return dictionary.select("a", "b", "least", "data").mapInArrow(run, "x long, y long, a long, b long, at long, least long")
+
 
-    strings = parts.where("octet_length(hot) > 0").mapInArrow(run, "a long, b long, rid long, doc long, begin long")
-    least = strings.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("a", "b", "least")
-    return strings.join(least, ["a", "b"]).where("doc > least").select("rid", "begin", (F.col("begin") + LENGTH).alias("end"))
+def resolve_hot(parts: DataFrame) -> DataFrame:
+    """(rid, begin, end) for the strings of hot triggers, by a dictionary of distinct phrases with the smallest document of each.
+
+    A phrase that a smaller document holds alike goes whole, so copies cost one row a phrase. Strings are looked at in the dictionary only: the smallest
+    document of each string's digest is combined before the shuffle, and what is found holds for the phrase's smallest document.
+    """
+    found = checkpointed(hot_phrases(parts))
+    dictionary = checkpointed(found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("data").alias("data")))
+    places = found.select("a", "b", "rid", "doc", "first", "count")
+    whole = places.join(dictionary.where("least < most").select("a", "b", "least"), ["a", "b"]).where("doc > least").select("rid", F.col("first").alias("begin"), (F.col("first") + F.col("count") - 1 + LENGTH).alias("end"))
+    strings = strings_of(dictionary)
+    low = strings.groupBy("x", "y").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("x", "y", "low")
+    later = strings.join(low, ["x", "y"]).where("least > low").groupBy("a", "b", "least").agg(F.collect_list("at").alias("ats"))
+    first = places.join(later, ["a", "b"]).where("doc = least").select("rid", "first", F.explode("ats").alias("at"))
+    return whole.union(first.select("rid", (F.col("first") + F.col("at")).alias("begin"), (F.col("first") + F.col("at") + LENGTH).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

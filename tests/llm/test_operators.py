@@ -84,7 +84,12 @@ def test_simhash_chains_and_blocks(spark, block):
     assert {x: parts.get(x, x) for x in signed} == label
 
 
-def test_suffix_dedup(docs, rows, none):
+@pytest.mark.parametrize("hot", [64, 0])
+def test_suffix_dedup(spark, docs, rows, none, monkeypatch, hot):
+    """With 0 every trigger is hot, and the way of the others is shut."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
+    if not hot:
+        monkeypatch.setattr(suffix_dedup, "resolve_cold", lambda _: spark.createDataFrame([], "rid long, begin long, end long"))
     first = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -106,7 +111,7 @@ def test_suffix_dedup(docs, rows, none):
 
 
 def test_suffix_dedup_hot_triggers(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_IN_BATCH", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", 0)
     passage = "the very same passage stands in each of these documents, word for word and comma for comma."
     df = spark.createDataFrame([(i, f"{i * 7919} begins {passage} and ends {i * 104729}") for i in range(40)], "doc_id long, text string")
     got = {r.id: r for r in suffix_dedup.remove_repeats(df).collect()}
