@@ -1,13 +1,16 @@
 """Removal of repeated 50-byte strings by prefix-free parsing.
 
-A rolling hash over 16 bytes is taken at every byte. The trigger of a 50-byte string is the smallest hash in it, so equal strings have equal triggers
-wherever they stand, and the strings that begin one after another with the same trigger make a phrase. Phrases whose trigger occurs in one
-document only can't repeat and are dropped after one exchange of packed trigger sets; what is left is the repetitive part of the corpus.
-Its phrases meet by trigger. Inside a trigger's group the suffixes of the phrases are put in order to the depth of 50 bytes, which brings equal
-strings together, and each string is compared with the smallest document that has it.
-
-Triggers that very many documents hold take another way: their phrases form a dictionary of distinct phrases with the smallest document of
-each, combined before the shuffle, and only the dictionary's strings are digested and compared, so no task gathers a group that grows with the corpus.
+A rolling hash over 24 bytes is taken at every byte. The trigger of a 50-byte string is the smallest hash in it, so equal strings have equal triggers
+wherever they stand, and the strings that begin one after another with the same trigger make a phrase. Three exchanges follow, in each of which a batch of
+documents sends packed, distinct values to buckets and gets an answer for each value back:
+
+1. triggers: phrases whose trigger occurs in one document only can't repeat and are dropped;
+2. the dictionary of distinct phrases: a phrase that a smaller document holds alike goes whole; one document of each phrase that stays in question (its
+   trigger has other phrases too) represents it;
+3. the suffixes of the representatives in order to the depth of 50 bytes: each string is compared with the smallest document that has it.
+
+A batch sends each value once, with its smallest document, so a bucket holds a value at most once for each batch however often it is repeated; triggers with very
+many phrases are dealt to the buckets by phrase. No text leaves its batch but to be cut.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from pyspark.sql import types as T
 from .common import by_bytes, checkpointed, table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 BATCH_BYTES = 6 << 20
-#: A trigger is hot when one batch holds more phrases of it, or more batches hold it; a group that isn't hot has at most the product.
+#: Texts are hashed end to end in pieces of about so many bytes.
+PIECE_BYTES = 1 << 17
+#: A trigger with more phrases in one batch, or in more batches, is dealt to the buckets by phrase.
 HOT_IN_BATCH, HOT_BATCHES = 64, 64
-CHUNK = 60_000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER, OTHER_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits of the answer for a phrase: a smaller document has it; this batch represents it in the third exchange.
+GONE, STANDS = 1, 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,10 +43,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def rolled(data: np.ndarray, length: int) -> np.ndarray:
+def rolled(data: np.ndarray, length: int, multiplier: np.uint64 = MULTIPLIER) -> np.ndarray:
     """A hash of the `length` bytes from each position on, from hashes of powers of two."""
     by_size, size = {1: data.astype(np.uint64) + np.uint64(1)}, 1
-    powers = {1: MULTIPLIER}
+    powers = {1: multiplier}
     with np.errstate(over="ignore"):
         while size * 2 <= length:
             h = by_size[size]
@@ -66,32 +72,54 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def phrases(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger, first, count): runs of 50-byte strings with one trigger, by the place of the first string."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    trigger = smallest(rolled(np.frombuffer(data, np.uint8), GRAM), LENGTH - GRAM + 1)
-    first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
-    return trigger[first], first, np.diff(np.concatenate([first, [len(trigger)]]))
+def phrases(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, trigger, first, count): runs of 50-byte strings with one trigger, by text and by the place of the first string in it."""
+    found, held, size = [], [], 0
+
+    def piece() -> None:
+        sizes = np.array([len(texts[r]) for r in held], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        trigger = smallest(rolled(np.frombuffer(b"".join([texts[r] for r in held]), np.uint8), GRAM), LENGTH - GRAM + 1)
+        starts = np.zeros(len(trigger), bool)
+        starts[0] = True
+        np.not_equal(trigger[1:], trigger[:-1], out=starts[1:])
+        starts[begins] = True
+        ends = begins + sizes - LENGTH + 1  # strings from here on reach into the next text
+        starts[ends[:-1]] = True
+        first = np.flatnonzero(starts)
+        count = np.diff(np.concatenate([first, [len(trigger)]]))
+        row = np.searchsorted(begins, first, side="right") - 1
+        inside = first < ends[row]
+        first, count, row = first[inside], count[inside], row[inside]
+        found.append((np.array(held, np.int64)[row], trigger[first], first - begins[row], count))
+
+    for r, text in enumerate(texts):
+        if len(text) >= LENGTH:
+            held.append(r)
+            size += len(text)
+        if size >= PIECE_BYTES:
+            piece()
+            held, size = [], 0
+    if held:
+        piece()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def short(trigger: np.ndarray) -> np.ndarray:
-    """48 bits of a trigger, evenly spread, for the exchange of sets. Equal triggers stay equal; a chance collision only lets more phrases through."""
+    """48 bits of a trigger, evenly spread, for the exchanges. Equal triggers stay equal; a chance collision only lets more phrases through."""
     return mixed(trigger * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
 
 
-def batch_sets(docs: np.ndarray, triggers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all, several, hot): the short triggers of a batch, those in more than one of its documents, those of too many phrases; each sorted."""
-    if not len(triggers):
-        return (np.zeros(0, np.uint64),) * 3
-    value = short(np.concatenate(triggers))
-    doc = np.repeat(docs, [len(x) for x in triggers])
-    order = np.lexsort((doc, value))
-    value, doc = value[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-    last = np.concatenate([first[1:], [len(value)]]).astype(np.int64) - 1
-    count = last - first + 1
-    return value[first], value[first][doc[first] != doc[last]], value[first][count > HOT_IN_BATCH]
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """The places where a run of equal rows begins in sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -101,214 +129,253 @@ def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == values
 
 
-def rows_of(t: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
-    return t.column("rid").to_pylist(), t.column("doc").to_pylist(), [x or b"" for x in t.column("data").to_pylist()]
+def packed(values: np.ndarray, width: int = 6) -> bytes:
+    """The low bytes of unsigned values, those of one rank together, so that sorted or small values compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
 
+def unpacked(data: bytes, width: int = 6) -> np.ndarray:
+    n = len(data) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.uint64)
 
-def packed(values: np.ndarray) -> bytes:
-    """Six bytes for each 48-bit value."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
+def column(t: pa.Table, name: str) -> list:
+    return t.column(name).to_pylist()
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+
+def least_by(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begin, at): rows ordered by keys and doc, where each key begins in that order, and each ordered row's key."""
+    order = np.lexsort((doc, *reversed(keys)))
+    begin = runs(*(k[order] for k in keys))
+    return order, begin, np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(order)]])))
+
+
+#: Rows of three kinds: messages to a bucket (a, b and c are packed columns, by exchange), parts of texts that stay with their batch, ranges to remove.
+ALL = "bucket int, batch int, a binary, b binary, c binary, rid long, doc long, first long, data binary, begin long, end long"
+NAMES = {"bucket": pa.int32(), "batch": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "rid": pa.int64(), "doc": pa.int64(), "first": pa.int64(), "data": pa.binary(), "begin": pa.int64(), "end": pa.int64()}
+
+
+def shaped(n: int, **columns: object) -> pa.Table:
+    """A table of all NAMES with n rows; columns that aren't given are null."""
+    return pa.table([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in NAMES.items()], names=list(NAMES))
+
+
+def messages(batch: int, bucket: np.ndarray, *columns: tuple[np.ndarray, int]) -> pa.Table:
+    """One row for each bucket that is sent something: its share of the columns (values, width), in their order."""
+    order = np.argsort(bucket, kind="stable")
+    begin = runs(bucket[order])
+    cut = [np.split(order, begin[1:])] if len(order) else [[]]
+    out: dict[str, list] = {n: [] for n in ("bucket", "batch", "a", "b", "c")}
+    for at in cut[0]:
+        out["bucket"].append(int(bucket[at[0]]))
+        out["batch"].append(batch)
+        for name, (values, width) in zip(("a", "b", "c"), columns, strict=True):
+            out[name].append(packed(values[at], width))
+    return shaped(len(out["bucket"]), **out)
+
+
+def answered(bucket: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The answers (bucket, a), one byte for each value sent, in the order of the values."""
+    out = np.zeros(len(bucket), np.uint8)
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    for k, data in zip(column(answers, "bucket"), column(answers, "a"), strict=True):
+        out[order[np.searchsorted(ordered, k) : np.searchsorted(ordered, k, side="right")]] = np.frombuffer(data, np.uint8)
+    return out
+
+
+ANSWER = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("a", pa.binary())])
+
+
+def answers(t: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
+    parts = np.split(flags.astype(np.uint8), np.cumsum(sizes)[:-1])
+    return pa.Table.from_arrays([t.column("bucket").combine_chunks(), t.column("batch").combine_chunks(), pa.array([x.tobytes() for x in parts], pa.binary())], schema=ANSWER)
 
 
 def repetitive(rows: DataFrame, batches: int, buckets: int) -> DataFrame:
-    """(rid, doc, first, data, hot): the parts of rows (batch, rid, doc, data) all of whose strings have a trigger of two documents or more; hot holds the hot short triggers in a part."""
-    sent = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("all", pa.binary()), ("several", pa.binary()), ("hot", pa.binary())])
+    """The first exchange, and what the second sends: rows of the shape ALL, with a bucket for messages and without for the parts of rows (batch, rid, doc,
+    data) all of whose strings have a trigger of two documents or more."""
+    sent = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
     back = pa.schema([("batch", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
-    part = pa.schema([("rid", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("data", pa.binary()), ("hot", pa.binary())])
+    bounds = np.array([(k << 48) // buckets for k in range(1, buckets)], np.uint64)
 
     def collect(t: pa.Table) -> pa.Table:
-        _, docs, texts = rows_of(t)
-        sets = batch_sets(np.array(docs, np.int64), [phrases(x)[0] for x in texts])
-        bounds = np.array([(k << 48) // buckets for k in range(buckets)], np.uint64)
-        cut = [np.split(x, np.searchsorted(x, bounds[1:])) for x in sets]
-        batch = t.column("batch")[0].as_py()
-        return pa.Table.from_pylist([{"bucket": k, "batch": batch, "all": packed(a), "several": packed(s), "hot": packed(h)} for k, (a, s, h) in enumerate(zip(*cut, strict=True)) if len(a)], schema=sent)
+        docs = np.array(column(t, "doc"), np.int64)
+        row, trigger, _, _ = phrases([x or b"" for x in column(t, "data")])
+        value, doc = short(trigger), docs[row]
+        order, begin, _ = least_by((value,), doc)
+        value, doc = value[order], doc[order]
+        count = np.diff(np.concatenate([begin, [len(value)]]))
+        marks = (doc[begin] != doc[begin + count - 1]).astype(np.uint8) | ((count > HOT_IN_BATCH) << 1).astype(np.uint8)
+        cut = np.searchsorted(value[begin], bounds)
+        parts = zip(np.split(value[begin], cut), np.split(marks, cut), strict=True)
+        out = [(k, a, m) for k, (a, m) in enumerate(parts) if len(a)]
+        batch = column(t, "batch")[0]
+        return pa.Table.from_pydict({"bucket": [k for k, _, _ in out], "batch": [batch] * len(out), "a": [packed(a) for _, a, _ in out], "b": [m.tobytes() for _, _, m in out]}, schema=sent)
 
     def meet(t: pa.Table) -> pa.Table:
-        batch = t.column("batch").to_pylist()
-        held = [unpacked(x) for x in t.column("all").to_pylist()]
-        value, order = np.concatenate(held), None
+        held = [unpacked(x) for x in column(t, "a")]
+        marks = [np.frombuffer(x, np.uint8) for x in column(t, "b")]
+        value, mark = np.concatenate(held), np.concatenate(marks)
         order = np.argsort(value, kind="stable")
-        value = value[order]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        count = np.diff(np.concatenate([first, [len(value)]]))
-        shared = np.union1d(value[first][count > 1], np.concatenate([unpacked(x) for x in t.column("several").to_pylist()]))
-        hot = np.union1d(value[first][count > HOT_BATCHES], np.concatenate([unpacked(x) for x in t.column("hot").to_pylist()]))
-        out = [{"batch": b, "shared": packed(h[member(h, shared)]), "hot": packed(h[member(h, hot)])} for b, h in zip(batch, held, strict=True)]
-        return pa.Table.from_pylist([x for x in out if x["shared"]], schema=back)
+        value, mark = value[order], mark[order]
+        begin = runs(value)
+        count = np.diff(np.concatenate([begin, [len(value)]]))
+        mark = np.bitwise_or.reduceat(mark, begin)
+        shared = value[begin][(count > 1) | (mark & 1 > 0)]
+        hot = value[begin][(count > HOT_BATCHES) | (mark & 2 > 0)]
+        out = [(b, h[member(h, shared)]) for b, h in zip(column(t, "batch"), held, strict=True)]
+        return pa.Table.from_pydict({"batch": [b for b, h in out if len(h)], "shared": [packed(h) for _, h in out if len(h)], "hot": [packed(h[member(h, hot)]) for _, h in out if len(h)]}, schema=back)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return part.empty_table()
-        shared = np.sort(unpacked(b"".join(right.column("shared").to_pylist())))
-        hot = np.sort(unpacked(b"".join(right.column("hot").to_pylist())))
-        out: dict[str, list] = {n: [] for n in part.names}
-        for rid, doc, data in zip(*rows_of(left), strict=True):
-            trigger, first, count = phrases(data)
-            value = short(trigger)
-            hit = member(value, shared)
-            if not hit.any():
-                continue
-            warm = member(value, hot)
-            begins = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
-            ends = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
-            for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                a, z = int(first[b]), int(first[e] + count[e])
-                w = value[b : e + 1][warm[b : e + 1]]
-                for name, x in zip(part.names, (rid, doc, a, data[a : z + LENGTH - 1], packed(np.unique(w))), strict=True):
-                    out[name].append(x)
-        return pa.Table.from_pydict(out, schema=part)
-
-    sets = rows.groupBy("batch").applyInArrow(collect, "bucket int, batch int, all binary, several binary, hot binary")
+            return shaped(0)
+        batch = column(left, "batch")[0]
+        shared = np.sort(np.concatenate([unpacked(x) for x in column(right, "shared")]))
+        hot = np.sort(np.concatenate([unpacked(x) for x in column(right, "hot")]))
+        rids, docs, texts = column(left, "rid"), column(left, "doc"), [x or b"" for x in column(left, "data")]
+        row, trigger, first, count = phrases(texts)
+        hit = member(short(trigger), shared)
+        row, first, count = row[hit], first[hit], count[hit]
+        if not len(row):
+            return shaped(0)
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1] + count[:-1])])
+        at = np.flatnonzero(new)
+        last = np.concatenate([at[1:], [len(row)]]) - 1
+        places = list(zip(row[at].tolist(), first[at].tolist(), (first[last] + count[last] + LENGTH - 1).tolist(), strict=True))
+        parts = shaped(len(places), batch=[batch] * len(places), rid=[rids[r] for r, _, _ in places], doc=[docs[r] for r, _, _ in places], first=[a for _, a, _ in places], data=[texts[r][a:z] for r, a, z in places])
+        p = Phrases(parts, hot, buckets)
+        kept = [packed(np.unique(p.value[p.hot]))] + [b""] * (len(places) - 1)  # with the first part, so that the next step deals alike
+        parts = parts.set_column(parts.column_names.index("c"), "c", pa.array(kept, pa.binary()))
+        return pa.concat_tables([parts, messages(batch, p.bucket, (p.value, 6), (p.digest, 8), (p.least.view(np.uint64), 8))])
+
+    sets = rows.groupBy("batch").applyInArrow(collect, "bucket int, batch int, a binary, b binary")
     told = sets.groupBy("bucket").applyInArrow(meet, "batch int, shared binary, hot binary")
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cut, "rid long, doc long, first long, data binary, hot binary")
-
-
-def cold_phrases(parts: DataFrame) -> DataFrame:
-    """(trigger, rid, doc, first, data): a row for each phrase whose trigger isn't hot; data reaches to the end of its last string."""
-    schema = pa.schema([("trigger", pa.int64()), ("rid", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "data", 1 << 20):
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for rid, doc, at, data, hot in zip(*[batch.column(n).to_pylist() for n in ("rid", "doc", "first", "data", "hot")], strict=True):
-                trigger, first, count = phrases(data)
-                if hot:
-                    cold = ~member(short(trigger), unpacked(hot))
-                    trigger, first, count = trigger[cold], first[cold], count[cold]
-                n = len(trigger)
-                out["trigger"] += trigger.view(np.int64).tolist()
-                out["rid"] += [rid] * n
-                out["doc"] += [doc] * n
-                out["first"] += (first + at).tolist()
-                out["data"] += [data[f : f + c + LENGTH - 1] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return parts.mapInArrow(run, "trigger long, rid long, doc long, first long, data binary")
-
-
-def repeated(trigger: np.ndarray, doc: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, count): runs of strings that a smaller document has too. Rows are phrases laid end to end in data, `sizes` bytes each."""
-    ends = np.cumsum(sizes)
-    counts = sizes - LENGTH + 1
-    row = np.repeat(np.arange(len(sizes)), counts)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    key = rolled(data, LENGTH)[(ends - sizes)[row] + offset] ^ mixed(trigger.view(np.uint64))[row]
-    order = np.lexsort((doc[row], key))
-    key, held = key[order], doc[row][order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(held[first], np.diff(np.concatenate([first, [len(key)]])))
-    gone = np.zeros(len(row), bool)
-    gone[order] = held > least
-    at = np.flatnonzero(gone)
-    if not len(at):
-        return at, at, at
-    begin = np.concatenate([[True], (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]])])
-    first = at[begin]
-    return row[first], offset[first], np.diff(np.concatenate([np.flatnonzero(begin), [len(at)]]))
-
-
-RANGES = pa.schema([("rid", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
-
-
-def resolve_cold(rows: DataFrame) -> DataFrame:
-    """(rid, begin, end): byte ranges to remove, from phrases that meet by trigger; a trigger's group is bounded, and so is what a task holds."""
-
-    def ranges(t: pa.Table) -> pa.RecordBatch:
-        trigger = np.asarray(t.column("trigger").combine_chunks())
-        many = np.concatenate([[False], trigger[1:] == trigger[:-1]])
-        t = t.filter(pa.array(many | np.concatenate([many[1:], [False]])))  # a trigger with one phrase has nothing to meet
-        if not t.num_rows:
-            return pa.RecordBatch.from_pydict({n: [] for n in RANGES.names}, schema=RANGES)
-        column = lambda n: np.asarray(t.column(n).combine_chunks())
-        data = t.column("data").to_pylist()
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        row, first, count = repeated(column("trigger"), column("doc"), sizes, np.frombuffer(b"".join(data), np.uint8))
-        begin = column("first")[row] + first
-        return pa.RecordBatch.from_arrays([pa.array(column("rid")[row]), pa.array(begin), pa.array(begin + count - 1 + LENGTH)], schema=RANGES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK:
-                t = pa.Table.from_batches(held)
-                trigger = np.asarray(t.column("trigger").combine_chunks())
-                cut = int(np.searchsorted(trigger, trigger[-1]))
-                if cut:
-                    yield ranges(t.slice(0, cut))
-                    held = t.slice(cut).combine_chunks().to_batches()
-                    n = t.num_rows - cut
-        if held:
-            yield ranges(pa.Table.from_batches(held))
-
-    return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "rid long, begin long, end long")
-
-
-def hot_phrases(parts: DataFrame) -> DataFrame:
-    """(a, b, rid, doc, first, count, data): a row for each phrase whose trigger is hot; a and b are the 128-bit digest of its bytes."""
-    names = ("a", "b", "rid", "doc", "first", "count")
-    schema = pa.schema([*((n, pa.int64()) for n in names), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "data", 1 << 20):
-            rids, docs, firsts, counts, texts = [], [], [], [], []
-            for rid, doc, at, data, hot in zip(*[batch.column(n).to_pylist() for n in ("rid", "doc", "first", "data", "hot")], strict=True):
-                trigger, first, count = phrases(data)
-                warm = member(short(trigger), unpacked(hot))
-                first, count = first[warm].tolist(), count[warm].tolist()
-                texts += [data[f : f + c + LENGTH - 1] for f, c in zip(first, count, strict=True)]
-                firsts += [at + f for f in first]
-                counts += count
-                rids += [rid] * len(first)
-                docs += [doc] * len(first)
-            two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), *[pa.array(x, pa.int64()) for x in (rids, docs, firsts, counts)], pa.array(texts, pa.binary())], schema=schema)
-
-    return parts.where("octet_length(hot) > 0").mapInArrow(run, "a long, b long, rid long, doc long, first long, count long, data binary")
-
-
-def strings_of(dictionary: DataFrame) -> DataFrame:
-    """(x, y, a, b, at, least): a row for each 50-byte string of the dictionary's phrases, with its 128-bit digest and its place in the phrase."""
-    schema = pa.schema([(n, pa.int64()) for n in ("x", "y", "a", "b", "at", "least")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "data", 1 << 20):
-            data = batch.column("data").to_pylist()
-            counts = np.fromiter(map(len, data), np.int64, len(data)) - LENGTH + 1
-            digests = [xxhash.xxh3_128_digest(t[i : i + LENGTH]) for t, c in zip(data, counts.tolist(), strict=True) for i in range(c)]
-            two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            row = np.repeat(np.arange(len(data)), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            of = [np.asarray(batch.column(n))[row] for n in ("a", "b", "least")]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (two[:, 0], two[:, 1], of[0], of[1], at, of[2])], schema=schema)
-
-    return dictionary.select("a", "b", "least", "data").mapInArrow(run, "x long, y long, a long, b long, at long, least long")
-
-
-def resolve_hot(parts: DataFrame) -> DataFrame:
-    """(rid, begin, end) for the strings of hot triggers, by a dictionary of distinct phrases with the smallest document of each.
-
-    A phrase that a smaller document holds alike goes whole, so copies cost one row a phrase. Strings are looked at in the dictionary only: the smallest
-    document of each string's digest is combined before the shuffle, and what is found holds for the phrase's smallest document.
-    """
-    found = checkpointed(hot_phrases(parts))
-    dictionary = checkpointed(found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("data").alias("data")))
-    places = found.select("a", "b", "rid", "doc", "first", "count")
-    whole = places.join(dictionary.where("least < most").select("a", "b", "least"), ["a", "b"]).where("doc > least").select("rid", F.col("first").alias("begin"), (F.col("first") + F.col("count") - 1 + LENGTH).alias("end"))
-    strings = strings_of(dictionary)
-    low = strings.groupBy("x", "y").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("x", "y", "low")
-    later = strings.join(low, ["x", "y"]).where("least > low").groupBy("a", "b", "least").agg(F.collect_list("at").alias("ats"))
-    first = places.join(later, ["a", "b"]).where("doc = least").select("rid", "first", F.explode("ats").alias("at"))
-    return whole.union(first.select("rid", (F.col("first") + F.col("at")).alias("begin"), (F.col("first") + F.col("at") + LENGTH).alias("end")))
+    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cut, ALL)
+
+
+class Phrases:
+    """The phrases of a batch's parts, and the distinct ones in the order in which they are sent: by short trigger and digest, with the smallest document of each."""
+
+    def __init__(self, parts: pa.Table, hot: np.ndarray, buckets: int) -> None:
+        self.texts = column(parts, "data")
+        self.row, self.trigger, self.first, self.count = phrases(self.texts)
+        self.doc = np.array(column(parts, "doc"), np.int64)[self.row]
+        ends = (self.first + self.count + LENGTH - 1).tolist()
+        digest = np.fromiter((xxhash.xxh3_64_intdigest(self.texts[r][a:z]) for r, a, z in zip(self.row.tolist(), self.first.tolist(), ends, strict=True)), np.uint64, len(ends))
+        value = short(self.trigger)
+        self.order, begin, self.of = least_by((value, digest), self.doc)
+        self.lead = self.order[begin]
+        self.value, self.digest, self.least = value[self.lead], digest[self.lead], self.doc[self.lead]
+        self.hot = member(self.value, hot)
+        self.bucket = np.where(self.hot, mixed(self.digest) % np.uint64(buckets), self.value * np.uint64(buckets) >> np.uint64(48)).astype(np.int64)
+
+
+class Strings:
+    """The distinct 50-byte strings of a batch's representatives in the order in which they are sent, by two hashes, with the smallest document of each."""
+
+    def __init__(self, rows: pa.Table, buckets: int) -> None:
+        texts = column(rows, "data")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        counts = sizes - LENGTH + 1
+        self.row = np.repeat(np.arange(len(sizes)), counts)
+        self.offset = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        data, at = np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[self.row] + self.offset
+        key, other = rolled(data, LENGTH)[at], rolled(data, LENGTH, OTHER_MULTIPLIER)[at] >> np.uint64(32)
+        self.doc = np.array(column(rows, "doc"), np.int64)[self.row]
+        self.order, begin, self.of = least_by((key, other), self.doc)
+        lead = self.order[begin]
+        self.key, self.other, self.least = key[lead], other[lead], self.doc[lead]
+        self.bucket = ((self.key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def phrase_answers(sent: DataFrame) -> DataFrame:
+    """(bucket, batch, a): GONE and STANDS for each phrase sent."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        value = [unpacked(x) for x in column(t, "a")]
+        sizes = [len(x) for x in value]
+        value, digest = np.concatenate(value), np.concatenate([unpacked(x, 8) for x in column(t, "b")])
+        doc = np.concatenate([unpacked(x, 8) for x in column(t, "c")]).view(np.int64)
+        order, begin, of = least_by((value, digest), doc)
+        least = doc[order][begin][of]
+        triggers = value[order][begin]
+        other = np.zeros(len(begin), bool)  # the trigger has another phrase
+        other[1:] |= triggers[1:] == triggers[:-1]
+        other[:-1] |= triggers[:-1] == triggers[1:]
+        flags = np.zeros(len(order), np.uint8)
+        flags[order] = np.where(doc[order] > least, GONE, np.where(other[of], STANDS, 0))
+        return answers(t, flags, sizes)
+
+    return sent.groupBy("bucket").applyInArrow(meet, "bucket int, batch int, a binary")
+
+
+def string_answers(sent: DataFrame) -> DataFrame:
+    """(bucket, batch, a): 1 for each string sent that a smaller document has."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        key = [unpacked(x, 8) for x in column(t, "a")]
+        sizes = [len(x) for x in key]
+        doc = np.concatenate([unpacked(x, 8) for x in column(t, "c")]).view(np.int64)
+        order, begin, of = least_by((np.concatenate(key), np.concatenate([unpacked(x, 4) for x in column(t, "b")])), doc)
+        flags = np.zeros(len(order), np.uint8)
+        flags[order] = doc[order] > doc[order][begin][of]
+        return answers(t, flags, sizes)
+
+    return sent.groupBy("bucket").applyInArrow(meet, "bucket int, batch int, a binary")
+
+
+def ranges(rid: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Byte ranges to remove, those that follow each other (ordered by text and place) joined."""
+    at = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (begin[1:] > end[:-1]) | (begin[1:] < begin[:-1])])) if len(rid) else np.zeros(0, np.int64)
+    last = np.concatenate([at[1:], [len(rid)]]).astype(np.int64)[: len(at)] - 1
+    return shaped(len(at), rid=rid[at], begin=begin[at], end=end[last])
+
+
+def resolved(parts: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """From the answers for phrases: ranges of whole phrases, the representatives as parts, and what the third exchange sends."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return shaped(0)
+        batch = column(left, "batch")[0]
+        hot = np.unique(np.concatenate([unpacked(x) for x in column(left, "c")]))
+        p = Phrases(left, hot, buckets)
+        flags = answered(p.bucket, right)
+        gone, stands = np.zeros(len(p.order), bool), np.zeros(len(p.order), bool)
+        gone[p.order] = (p.doc[p.order] > p.least[p.of]) | (flags[p.of] & GONE > 0)
+        stands[p.order] = (flags[p.of] & STANDS > 0) | p.hot[p.of]
+        stands &= ~gone
+        rid, begin = np.array(column(left, "rid"), np.int64)[p.row], np.array(column(left, "first"), np.int64)[p.row] + p.first
+        at = np.flatnonzero(stands)
+        cut = zip(p.row[at].tolist(), p.first[at].tolist(), (p.first[at] + p.count[at] + LENGTH - 1).tolist(), strict=True)
+        kept = shaped(len(at), batch=np.full(len(at), batch, np.int32), rid=rid[at], doc=p.doc[at], first=begin[at], data=[p.texts[r][a:z] for r, a, z in cut])
+        out = [ranges(rid[gone], begin[gone], begin[gone] + p.count[gone] + LENGTH - 1), kept]
+        if len(at):
+            s = Strings(kept, buckets)
+            out.append(messages(batch, s.bucket, (s.key, 8), (s.other, 4), (s.least.view(np.uint64), 8)))
+        return pa.concat_tables(out)
+
+    return parts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, ALL)
+
+
+def string_ranges(kept: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """(rid, begin, end): the strings of representatives that a smaller document has."""
+    names = ["rid", "begin", "end"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return shaped(0).select(names)
+        s = Strings(left, buckets)
+        gone = np.zeros(len(s.order), bool)
+        gone[s.order] = (s.doc[s.order] > s.least[s.of]) | (answered(s.bucket, right)[s.of] > 0)
+        row = s.row[gone]
+        begin = np.array(column(left, "first"), np.int64)[row] + s.offset[gone]
+        return ranges(np.array(column(left, "rid"), np.int64)[row], begin, begin + LENGTH).select(names)
+
+    return kept.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, "rid long, begin long, end long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,11 +390,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches, buckets = max(8, -(-total // BATCH_BYTES)), max(24, -(-total // (48 << 20)))
     batched = rows.where("doc is not null").withColumn("batch", F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int"))
-    parts = checkpointed(repetitive(batched, batches, buckets))
-    cold = checkpointed(resolve_cold(cold_phrases(parts)))  # the shuffles of the two ways don't lie on disk at once
-    ranges = cold.union(resolve_hot(parts))
+    sent, kept = ["bucket", "batch", "a", "b", "c"], ["batch", "rid", "doc", "first", "data", "c"]
+    first = checkpointed(repetitive(batched, batches, buckets))
+    told = phrase_answers(first.where("bucket is not null").select(sent))
+    second = checkpointed(resolved(first.where("bucket is null").select(kept), told, buckets))
+    told = string_answers(second.where("bucket is not null").select(sent))
+    strings = string_ranges(second.where("bucket is null and batch is not null").select(kept), told, buckets)
+    whole = second.where("batch is null").select("rid", "begin", "end")
     spans = F.array_sort(F.collect_list(F.struct("begin", "end")))
-    found = checkpointed(ranges.groupBy("rid").agg(spans.alias("ranges")))
+    found = checkpointed(whole.union(strings).groupBy("rid").agg(spans.alias("ranges")))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(them, "data", 4 << 20):
