@@ -156,6 +156,29 @@ def text_statistics(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(t)).alias("chars"), F.max(F.length(t)).cast("long").alias("longest"), F.sum(F.size(T.words(t))).alias("words"))
 
 
+def change_confidence(spark, d):
+    """Confidence and reason of each change between similar part names, by how similar they are."""
+    r = F.col("ratio")
+    return levenshtein_pairs(spark, d).select("a", "b", F.when(r >= 0.92, 0.96).when(r >= 0.82, 0.88).otherwise(0.74).alias("confidence"), F.when(r >= 0.92, "wording").when(r >= 0.82, "partial").otherwise("rewrite").alias("reason"))
+
+
+def field_changes(spark, d):
+    """What changed from each event of a user to the next, a row for each field whose value differs; a field that is missing on one side differs."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k")).alias("after"))
+    before = F.lag("after").over(Window.partitionBy("user_id").orderBy("event_id"))
+    pairs = e.withColumn("before", before).where("before is not null")
+    fields = pairs.select("user_id", "event_id", "before", F.explode("after").alias("field", "after"))
+    changed = fields.withColumn("before", F.element_at("before", F.col("field"))).where(~F.col("before").eqNullSafe(F.col("after")))
+    return changed.select("user_id", "event_id", "field", "before", "after")
+
+
+def level_consolidation(spark, d):
+    """Turns, order lines and parts by level; a level that any of the three knows has a row."""
+    by = lambda name, level, out: table(spark, d, name).groupBy(F.col(level).cast("long").alias("level")).agg(F.count("*").alias(out))
+    x = by("conversations", "turn", "turns").join(by("lineitem", "l_linenumber", "order_lines"), "level", "full").join(by("part", "p_size", "parts"), "level", "full")
+    return x.select("level", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("turns", "order_lines", "parts")])
+
+
 _LINES = "(SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) x WHERE trim(line) <> ''"
 _WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 QUERIES = {
@@ -177,6 +200,14 @@ QUERIES = {
         WITH w AS (SELECT doc_id, lang, list_sort({_WORDS}) AS s FROM documents), n AS (SELECT lang, s, min(doc_id) AS id, len(s) AS k FROM w WHERE len(s) > 0 GROUP BY lang, s),
         p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, a.k + b.k AS u FROM n a JOIN n b ON a.id < b.id AND a.lang IS NOT DISTINCT FROM b.lang AND a.k >= 0.8 * b.k AND b.k >= 0.8 * a.k)
         SELECT a, b, floor(i / (u - i) * 10000 + 0.5) / 10000 AS similarity FROM p WHERE i / (u - i) >= 0.8"""),
+    "change_confidence": (change_confidence, "WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS e FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 1) = substr(b.name, 1, 1)), r AS (SELECT a, b, floor(e * 10000 + 0.5) / 10000 AS r FROM p WHERE e >= 0.7) SELECT a, b, (CASE WHEN r >= 0.92 THEN 0.96 WHEN r >= 0.82 THEN 0.88 ELSE 0.74 END)::DOUBLE AS confidence, CASE WHEN r >= 0.92 THEN 'wording' WHEN r >= 0.82 THEN 'partial' ELSE 'rewrite' END AS reason FROM r"),
+    "field_changes": (field_changes, """
+        WITH e AS (SELECT user_id, event_id, event_type AS t, json_extract_string(props, '$.k') AS k, lag(event_type) OVER w AS t0, lag(json_extract_string(props, '$.k')) OVER w AS k0, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+        SELECT user_id, event_id, 'event_type' AS field, t0 AS before, t AS after FROM e WHERE n > 1 AND t0 IS DISTINCT FROM t
+        UNION ALL SELECT user_id, event_id, 'k', k0, k FROM e WHERE n > 1 AND k0 IS DISTINCT FROM k"""),
+    "level_consolidation": (level_consolidation, """
+        SELECT level, coalesce(turns, 0) AS turns, coalesce(order_lines, 0) AS order_lines, coalesce(parts, 0) AS parts FROM (SELECT turn AS level, count(*) AS turns FROM conversations GROUP BY 1)
+        FULL JOIN (SELECT l_linenumber::BIGINT AS level, count(*) AS order_lines FROM lineitem GROUP BY 1) USING (level) FULL JOIN (SELECT p_size::BIGINT AS level, count(*) AS parts FROM part GROUP BY 1) USING (level)"""),
     "document_changes": (document_changes, None),
     "text_chunks": (text_chunks, None),
     "passage_containment": (passage_containment, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)"),
