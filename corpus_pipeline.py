@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from lectern.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; rows without a doc_id stay."""
-    found = simhash.components(docs, words=simhash.STAGE_WORDS)
+    """Of each group of near copies, linked by a Jaccard similarity of five-word shingles of at least 0.8, the document with the smallest doc_id stays; rows without a doc_id stay."""
+    found = near_copies.components(docs)
     gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
