@@ -3,7 +3,8 @@
 The words of a source, its documents in a fixed order, are packed into blocks of fixed length. The mix is a sequence of block slots in output
 shards; the number of slots of each source in a shard is a multinomial draw given the totals that the targets fix. The j-th slot
 of a source takes block perm(j) of it, where perm is a pseudorandom permutation of the source's block numbers for each pass over them, so
-that no block is taken twice before all were taken once. Slots join the packed documents by source and block number.
+that no block is taken twice before all were taken once. The slots of a source take its target, rounded to words, whatever its size: whole passes
+first, then blocks by their true lengths, the last one in part. Slots join the packed documents by source and block number.
 """
 
 from __future__ import annotations
@@ -56,48 +57,70 @@ def packed(docs: DataFrame, id_col: str, text_col: str, source_col: str, parts:
     return checkpointed(placed.select("r.id", "r.source", "r.size", "r.crc", (F.col("b.before") + F.col("r.inside")).alias("start")))
 
 
+def last_place(n, turn, seed):
+    """Which slot of a pass takes the last block of n, the only one that can be shorter: drawn by pass."""
+    return F.pmod(F.xxhash64(seed, turn, F.lit("offset")), n)
+
+
 def permuted(j, n, seed):
-    """Block number of the j-th slot among n blocks: an affine permutation of [0, n) with multiplier and offset drawn by pass; native arithmetic only."""
+    """Block number of the j-th slot among n blocks: an affine permutation of [0, n) with multiplier and place of the last block drawn by pass; native arithmetic only."""
     at, turn = F.pmod(j, n), F.floor(j / n).cast("long")
     draw = F.pmod(F.xxhash64(seed, turn, F.lit("multiplier")), F.lit(len(PRIMES)))
     ordered = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     usable = F.filter(F.concat(F.slice(ordered, (draw + 1).cast("int"), F.lit(len(PRIMES))), ordered), lambda p: F.pmod(n, p) != 0)
-    return F.pmod(F.element_at(usable, 1) * at + F.pmod(F.xxhash64(seed, turn, F.lit("offset")), n), n)
+    return F.pmod(F.element_at(usable, 1) * F.pmod(at - last_place(n, turn, seed), n) + n - 1, n)
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """(shard, position, source, block): the mix as block slots of output shards.
+    """(shard, position, source, block, words, part): the mix as block slots of output shards; a slot takes the first `words` words of its block, fewer than all where it is marked as part.
 
-    Each slot of a source lands in an output shard by its own draw over the shards, so the source counts of a shard are multinomial with the sources'
-    shares as probabilities, conditioned on the totals that the targets fix. Draws depend on source and slot number only, and reruns agree.
+    The words of a source's slots add up to its target rounded to words, one at least where the target is positive. Each slot of a source lands
+    in an output shard by its own draw over the shards, so the source counts of a shard are multinomial with the sources' shares as
+    probabilities, conditioned on the totals that the targets fix. Draws depend on source and slot number only, and reruns agree.
     """
-    counted = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long")).withColumn("n_slots", F.least(F.round(F.col("target") / block_words).cast("long"), F.col("blocks") * CAP)).where("n_slots > 0")
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    size, whole = F.col("source_size"), F.lit(block_words).cast("long")
+    counted = sources.where("source_size > 0 and target > 0").withColumn("blocks", F.ceil(size / block_words).cast("long")).withColumn("words", F.least(F.greatest(F.round("target").cast("long"), F.lit(1)), size * CAP))
+    counted = counted.withColumn("turns", F.floor(F.col("words") / size).cast("long")).withColumn("rest", F.col("words") - F.col("turns") * size)
+    # In the last pass the last block stands in slot `short` and lacks `lack` words; one slot more makes up for it where that is needed.
+    counted = counted.withColumn("short", last_place(F.col("blocks"), F.col("turns"), name)).withColumn("lack", F.col("blocks") * whole - size).withColumn("fewest", F.ceil(F.col("rest") / block_words).cast("long"))
+    more = (F.col("short") < F.col("fewest")) & (F.col("fewest") * whole - F.col("lack") < F.col("rest"))
+    counted = counted.withColumn("n_slots", F.col("turns") * F.col("blocks") + F.col("fewest") + more.cast("long"))
     counted = counted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / per_shard)).cast("long"))
     runs = counted.withColumn("run", F.explode(F.expr("sequence(0L, (n_slots - 1) div 1024)")))
     runs = runs.repartition("source", "run")
     each = runs.withColumn("j", F.explode(F.expr("sequence(run * 1024L, least(n_slots, run * 1024L + 1024L) - 1L)")))
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    return each.select(F.pmod(F.xxhash64(name, "j", F.lit("shard")), F.col("shards")).alias("shard"), F.xxhash64(name, "j", F.lit("position")).alias("position"), "source", permuted(F.col("j"), F.col("blocks"), name).alias("block"))
+    each = each.withColumn("block", permuted(F.col("j"), F.col("blocks"), name))
+    length = whole - F.when(F.col("block") == F.col("blocks") - 1, F.col("lack")).otherwise(0)
+    at = F.col("j") - F.col("turns") * F.col("blocks")
+    left = F.col("rest") - at * whole + F.when(F.col("short") < at, F.col("lack")).otherwise(0)
+    words = F.when(at < 0, length).otherwise(F.least(length, left))
+    return each.select(F.pmod(F.xxhash64(name, "j", F.lit("shard")), F.col("shards")).alias("shard"), F.xxhash64(name, "j", F.lit("position")).alias("position"), "source", "block", words.alias("words"), (words < length).alias("part"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, parts: int = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots) of the mix.
 
     documents: (id, crc, source, size, start, source_size, target), a row for each row of docs; start is its place in the word stream of its source.
-    pieces: (id, source, start, block, first, words, times), the part of a document in one block, from word number `first` on, and how often the
-    mix takes that block. slots: see slots().
+    pieces: (id, source, start, block, first, words, since, times), the part of a document in one block, from word number `first` on, and how often the
+    mix takes it, the takes numbered from `since`; where one take of the block is cut short, a piece of its own has what that take reaches of the part.
+    slots: see slots().
     Texts that are null or have no words have size 0 and no piece. A null source is a source of its own, last in order. Rows repeated with id and
     text lie side by side in their source's stream, and each is mixed as a row of its own. An empty table gives empty results.
     """
     placed = packed(docs, id_col, text_col, source_col, parts)
     sources = checkpointed(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size"))))
     drawn = slots(sources, block_words)
-    taken = checkpointed(drawn.groupBy("source", "block").agg(F.count("*").alias("times")))
+    taken = checkpointed(drawn.groupBy("source", "block").agg(F.count_if(~F.col("part")).alias("times"), F.max(F.when(F.col("part"), F.col("words"))).alias("cut")))
     cut = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
     first = F.greatest(F.lit(0), F.col("block") * block_words - F.col("start"))
     stop = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
     cut = cut.select("id", "source", "start", "block", first.alias("first"), (stop - first).alias("words"))
-    pieces = cut.alias("p").join(taken.alias("t"), (F.col("p.block") == F.col("t.block")) & F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "t.times")
+    found = cut.alias("p").join(taken.alias("t"), (F.col("p.block") == F.col("t.block")) & F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "t.times", "t.cut")
+    reached = F.least(F.col("words"), F.col("cut") - (F.col("start") + F.col("first") - F.col("block") * block_words))
+    take = lambda words, since, times: F.struct(words.cast("long").alias("words"), since.cast("long").alias("since"), times.cast("long").alias("times"))
+    full, short = take(F.col("words"), F.lit(1), F.col("times")), take(reached, F.col("times") + 1, F.lit(1))
+    pieces = found.withColumn("take", F.explode(F.when(F.col("cut").isNull(), F.array(full)).otherwise(F.array(full, short)))).where("take.words > 0 and take.times > 0").select("id", "source", "start", "block", "first", "take.words", "take.since", "take.times")
     documents = placed.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.id", "d.crc", "d.source", "d.size", "d.start", "s.source_size", "s.target")
     return documents, pieces, drawn
 
@@ -110,7 +133,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     documents, pieces, _ = mix(docs, id_col, text_col, source_col)
     same = F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.start") == F.col("d.start")) & (F.col("d.size") > 0)
-    copies = pieces.withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).groupBy("source", "start", "copy").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    copies = pieces.withColumn("copy", F.explode(F.expr("sequence(since, since + times - 1)"))).groupBy("source", "start", "copy").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
     copies = copies.alias("p").join(documents.alias("d"), same).select("d.id", "d.crc", "d.source", "d.start", "d.size", "p.words", "p.parts")
     # Rows alike in id and text are told apart by their number.
     alike = F.dense_rank().over(Window.partitionBy("id", "crc").orderBy(F.col("source").asc_nulls_last(), "start"))
