@@ -2,7 +2,8 @@
 
 A page is read as a sequence of tags and runs of words. Words score positive and tags negative, with weights learned from labelled pages: the log odds of
 a tag, or of a word by where it stands, inside against outside the main text. One linear scan finds the contiguous region with the largest
-score. Blocks in the region that stand in a boilerplate container of their own (an advert or a form amid the article) are left out, and
+score. Blocks in the region that stand in a boilerplate container of their own (an advert or a form amid the article) are left out, unless the container
+turns out to hold the page's main text and its name only describes a layout, and
 where the region lies in an article or main element, the short blocks at its ends belong to it too.
 """
 
@@ -26,74 +27,118 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 BLOCKS = frozenset("html head body title p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article header footer nav aside main form fieldset blockquote pre hr figure figcaption address details summary menu dialog button label option legend center".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that are boilerplate by name, and words in class, id or role that mark one.
-BOILER_TAGS = frozenset("head nav footer aside form menu dialog button".split())
+BOILER_TAGS = frozenset("head nav footer aside menu dialog button".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social toolbar footer masthead topbar comment comments respond reply disqus login search skip pagination pager contentinfo complementary".split())
+#: Of these, words that also name what a page or its wrapper has or is for. A wrapper so marked, or a form, may hold the main text without an article or main element.
+LAYOUT_WORDS = frozenset("banner footer login masthead menu nav navbar navigation notice notices overlay pager pagination search share sharing sidebar skip social toolbar topbar widget".split())
+#: A name that begins so or holds such a word before a boilerplate word tells what stands beside the text: has-sidebar, page-with-nav.
+BESIDE = frozenset("has no not with without".split())
+#: A marked wrapper holds the main text where it has this many times the words of the page's other text.
+WRAPS = 3
 #: "header" is boilerplate outside an article or main element only.
 CONTENT_TAGS = frozenset(("article", "main"))
 
 
 def kind_of(tag: str, attributes: str) -> str:
-    """What an element is: a boilerplate container, a content element or plain."""
+    """What an element is: a boilerplate container, one marked as such by a word or as a form (named or, for words that name layouts too, layout), a header or plain."""
     if tag in BOILER_TAGS:
         return "boiler"
-    if tag in CONTENT_TAGS:
-        named = False
     if tag in ("body", "html"):
         return "plain"
-    if attributes and (m := NAMED.findall(attributes)):
-        words = {w for x in m for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", "".join(x)) if w}
-        named = bool({w.lower() for w in words} & BOILER_WORDS)
-        if named:
-            return "boiler"
-    if tag in CONTENT_TAGS:
-        return "content"
-    return "header" if tag == "header" else "plain"
+    marks = set()
+    for x in NAMED.findall(attributes) if attributes else ():
+        for name in "".join(x).split():
+            words = [w.lower() for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
+            stop = next((i for i, w in enumerate(words) if w in BESIDE), len(words))
+            marks |= BOILER_WORDS.intersection(words[:stop])
+    if marks:
+        return "layout" if marks <= LAYOUT_WORDS else "named"
+    return "layout" if tag == "form" else "header" if tag == "header" else "plain"
 
 
-def tokens(page: str) -> Iterator[tuple[str, object, int, tuple]]:
-    """("tag", name, position, state) and ("text", raw text, position, state); state is (boilerplate?, number of the content element or 0, in a link?)."""
-    stack: list[tuple[str, str, int]] = []
-    number, at = 0, 0
+class Element:
+    """An open element: what it is, its number if it is a content element, whether its mark counts, and what it stands in.
+
+    `path` holds the marked and the content elements around it, itself among them; `inside` is the number of the innermost content element or 0.
+    """
 
-    def state() -> tuple:
-        kinds = [k for _, k, _ in stack]
-        inside = next((n for _, k, n in reversed(stack) if k == "content"), 0)
-        first = next((i for i, k in enumerate(kinds) if k == "content"), len(kinds))
-        boiler = "boiler" in kinds or "header" in kinds[:first]
-        return boiler, inside, any(t == "a" for t, _, _ in stack)
+    def __init__(self, tag: str, kind: str, number: int, up: Element | None):
+        self.tag, self.kind, self.number, self.vetoes = tag, kind, number, kind in ("boiler", "named", "layout")
+        path, inside = (up.path, up.inside) if up else ((), 0)
+        self.path = (*path, self) if self.vetoes or number else path
+        self.inside = number or inside
+        self.header = bool(up and up.header) or kind == "header" and not inside
+        self.link = bool(up and up.link) or tag == "a"
 
-    now = state()
+
+def scan(page: str) -> Iterator[tuple[str, str, int, Element]]:
+    """("tag", name, position, element) and ("text", raw text, position, element): the innermost open element there."""
+    stack = [Element("", "plain", 0, None)]
+    number, at = 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], at, now
+            yield "text", page[at : m.start()], at, stack[-1]
         at = m.end()
         closing, tag = m[2], (m[3] or "").lower()
         if not tag:
             if m[1]:
-                yield "tag", m[1].lower(), m.start(), now
+                yield "tag", m[1].lower(), m.start(), stack[-1]
             continue
-        yield "tag", tag, m.start(), now
+        yield "tag", tag, m.start(), stack[-1]
         if closing:
-            names = [t for t, _, _ in stack]
+            names = [e.tag for e in stack]
             if tag in names:
                 cut = len(names) - 1 - names[::-1].index(tag)
                 # A stray end tag of a small element doesn't close a container around it.
                 if tag in BLOCKS or not any(t in BLOCKS for t in names[cut + 1 :]):
                     del stack[cut:]
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
-            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack:
-                names = [t for t, _, _ in stack]
+            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
+                names = [e.tag for e in stack]
                 if tag in names and not any(t in ("ul", "ol", "table", "div", "section", "article", "dl") for t in names[len(names) - names[::-1].index(tag) :]):
                     del stack[len(names) - 1 - names[::-1].index(tag) :]
-            kind = kind_of(tag, m[4])
-            if kind == "content":
+            if tag in CONTENT_TAGS:
                 number += 1
-            stack.append((tag, kind, number))
-        else:
-            continue
-        now = state()
+            stack.append(Element(tag, kind_of(tag, m[4]), number if tag in CONTENT_TAGS else 0, stack[-1]))
     if at < len(page):
-        yield "text", page[at:], at, now
+        yield "text", page[at:], at, stack[-1]
+
+
+def lift_marks(found: list[tuple[str, str, int, Element]]) -> None:
+    """Marks that don't count: those on and around an article or main element with at least half of the page's words, and those of layouts around most of its text.
+
+    Words in links and in elements that are boilerplate by their tag are no text of the page here.
+    """
+    words: dict[tuple[Element, ...], int] = {}
+    for kind, value, _, within in found:
+        if kind == "text" and not within.link and (n := len(value.split())):
+            words[within.path] = words.get(within.path, 0) + n
+    words = {path: n for path, n in words.items() if not any(e.kind == "boiler" for e in path)}
+    if not any(e.vetoes for path in words for e in path):
+        return
+    every, held, around = sum(words.values()), Counter(), {}
+    for path, n in words.items():
+        for i, e in enumerate(path):
+            held[e] += n
+            around[e] = path[:i]
+    for e in held:
+        if e.number and 2 * held[e] >= every:
+            for x in (*around[e], e):
+                x.vetoes = False
+    for e in sorted((e for e in held if e.vetoes and e.kind == "layout"), key=lambda e: -len(around[e])):  # inner ones first
+        above = {*around[e], e}
+        open_to = [(e in path, n) for path, n in words.items() if not any(x.vetoes and x not in above for x in path)]
+        inside = sum(n for within, n in open_to if within)
+        if inside and inside >= WRAPS * sum(n for within, n in open_to if not within):
+            e.vetoes = False
+
+
+def tokens(page: str) -> Iterator[tuple[str, object, int, tuple]]:
+    """("tag", name, position, state) and ("text", raw text, position, state); state is (boilerplate?, number of the content element or 0, in a link?)."""
+    found = list(scan(page))
+    lift_marks(found)
+    for kind, value, at, within in found:
+        yield kind, value, at, (within.header or any(e.vetoes for e in within.path), within.inside, within.link)
 
 
 def place(state: tuple) -> str:
