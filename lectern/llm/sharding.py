@@ -3,8 +3,8 @@
 Rows with equal texts form a group that stays together. Groups are ordered by the digest of their text, and the ordered sizes are cut into a
 fixed number of contiguous shards so that the largest shard is as small as possible: the smallest capacity for which the greedy
 filling needs no more shards than there are. Prefix sums come from a two-level sum over ranges of the digest. The search runs over the
-boundaries that can matter: first the ends of 65,536 ranges, whose greedy filling bounds both the capacity and the place of each cut, then
-only the group ends within those bounds, until these are few enough to be read as they are. What the driver holds is bounded by the parameters
+boundaries that can matter: first the first and last group ends of 65,536 ranges, whose greedy filling bounds the capacity from above and the place of each cut; the gaps
+between ranges, where no group ends, show which capacities can't do. Then come only the group ends within those bounds, until these are few enough to be read as they are. What the driver holds is bounded by the parameters
 and doesn't grow with the data, and the capacity found is exact.
 """
 
@@ -47,6 +47,32 @@ def smallest(ends: list[int], shards: int, low: int) -> int:
     return low
 
 
+def optimistic(ends: list[int], gaps: list[tuple[int, int]], shards: int, low: int, high: int) -> int:
+    """The smallest capacity in [low, high] that isn't proven too small: a group may end anywhere but inside a gap (after, before) between two neighbouring ends."""
+
+    def can(capacity: int) -> bool:
+        at = 0
+        for _ in range(shards):
+            to = at + capacity
+            if to >= ends[-1]:
+                return True
+            i = bisect_right(gaps, (to, ends[-1])) - 1
+            if i >= 0 and to < gaps[i][1]:
+                to = gaps[i][0]
+            if to <= at:
+                return False
+            at = to
+        return False
+
+    while low < high:
+        middle = (low + high) // 2
+        if can(middle):
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
 def windows(ends: list[int], low: int, high: int, shards: int) -> list[tuple[int, int]]:
     """For each cut, between which prefix sums it can lie for a capacity in [low, high], given only some of the boundaries."""
     out, down, up, total = [], 0, 0, ends[-1]
@@ -59,29 +85,38 @@ def windows(ends: list[int], low: int, high: int, shards: int) -> list[tuple[int
 
 def minimax_cuts(groups: DataFrame, shards: int, ranges: int = RANGES, read_at_most: int = READ_AT_MOST) -> list[int]:
     """The end of each shard as a prefix sum, for groups with columns size, prefix (sum up to and with the group) and range."""
-    coarse = groups.groupBy("range").agg(F.max("prefix").alias("end"), F.max("size").alias("most")).collect()  # at most `ranges` rows
+    coarse = groups.groupBy("range").agg(F.min("prefix").alias("first"), F.max("prefix").alias("end"), F.max("size").alias("most")).collect()  # at most `ranges` rows
     if not coarse:
         return []
-    ends, total = sorted({x["end"] for x in coarse}), max(x["end"] for x in coarse)
-    low = max(-(-total // shards), max(x["most"] for x in coarse))
+    cells = sorted((x["first"], x["end"]) for x in coarse)
+    ends, total = sorted({e for c in cells for e in c}), cells[-1][1]
+    gaps = {(0, cells[0][0])} | {(a[1], b[0]) for a, b in zip(cells, cells[1:], strict=False)}
+    low, step = max(-(-total // shards), max(x["most"] for x in coarse)), None
     while True:
         high = smallest(ends, shards, low)
-        bounds = windows(ends, low, high, shards)
+        low = optimistic(ends, sorted(gaps), shards, low, high)
+        bounds = []
+        for a, b in windows(ends, low, high, shards):  # ascending; those that overlap are one
+            if bounds and a <= bounds[-1][1]:
+                bounds[-1] = (bounds[-1][0], max(b, bounds[-1][1]))
+            elif a < b:
+                bounds.append((a, b))
         inside = F.lit(False)
         for a, b in bounds:
             inside = inside | ((F.col("prefix") > a) & (F.col("prefix") <= b))
         near = groups.where(inside)
-        n = near.count()
-        known = set(ends)
-        if n <= read_at_most:
-            more = {x[0] for x in near.select("prefix").collect()}
-        else:  # a finer sample of boundaries inside the bounds; the bounds shrink with each round
-            step = max(1, sum(b - a for a, b in bounds) // ranges)
-            more = {x[0] for x in near.groupBy(F.floor(F.col("prefix") / step)).agg(F.max("prefix")).select("max(prefix)").collect()}
-        ends = sorted(known | more)
-        if n <= read_at_most or more <= known:
-            best = smallest(ends, shards, low)
-            return fill(ends, best, shards)
+        if near.count() <= read_at_most or step == 1:
+            ends = sorted({*ends, *(x[0] for x in near.select("prefix").collect())})
+            return fill(ends, smallest(ends, shards, low), shards)
+        # A finer sample of boundaries inside the bounds; the steps shrink with each round, so that it ends.
+        finer = max(1, sum(b - a for a, b in bounds) // ranges)
+        step = finer if step is None else min(finer, max(1, step // 2))
+        cells = sorted((x[1], x[2]) for x in near.groupBy(F.floor(F.col("prefix") / step)).agg(F.min("prefix"), F.max("prefix")).collect())
+        ends = sorted({*ends, *(e for c in cells for e in c)})
+        for (_, x), (y, _) in zip(cells, cells[1:], strict=False):
+            i = bisect_left(bounds, (x, -1))
+            if any(a <= x and y <= b for a, b in bounds[max(0, i - 1) : i + 1]):  # all between them was looked at
+                gaps.add((x, y))
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[DataFrame, DataFrame]:
