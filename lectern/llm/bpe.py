@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,9 +27,9 @@ from .common import by_bytes, table
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Words kept in a worker's cache; it is emptied when full, which changes speed only.
-CACHE = 1_000_000
-BATCH_BYTES = 4 << 20
+#: A task keeps so many words, and so many characters of them; its cache is emptied beyond that, which changes speed only.
+CACHE_WORDS, CACHE_CHARS = 100_000, 2 << 20
+BATCH_BYTES = 2 << 20
 
 
 def split_words(text: str) -> list[str]:
@@ -182,35 +183,38 @@ class Words(dict):
     def __init__(self):
         super().__init__()
         self.pending: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.pending.append(word)
+        self.chars += len(word)
         return n
 
+    def full(self) -> bool:
+        return len(self) > CACHE_WORDS or self.chars > CACHE_CHARS
 
-class Cache:
-    """A worker's words and their ids, laid end to end."""
 
-    kept: dict[str, Cache] = {}
+@lru_cache(maxsize=2)
+def merges(path: str) -> Merges:
+    """The merges of a tokenizer file, read once by a worker; of fixed size."""
+    return Merges(path)
+
+
+class Cache:
+    """A task's words and their ids, laid end to end."""
 
     def __init__(self, path: str):
-        self.merges = Merges(path)
+        self.merges = merges(path)
         self.spaced = [t + " " for t in self.merges.tokens]
         self.clear()
 
     def clear(self) -> None:
         self.words, self.ids, self.ends = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    @classmethod
-    def of(cls, path: str) -> Cache:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts laid end to end, and where each text ends in them."""
-        if len(self.words) > CACHE:
+        if self.words.full():
             self.clear()
         split = [split_words(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -245,7 +249,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     schema = kept.select("*").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache.of(vocabulary)
+        cache = Cache(vocabulary)
         for batch in by_bytes(batches, text_col, BATCH_BYTES):
             found = list(encode_texts(cache, batch.column(text_col).to_pylist()))
             rows, size = 0, 0

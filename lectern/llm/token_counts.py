@@ -8,7 +8,8 @@ follow the distinct words, and no call holds a whole long text.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,60 +21,53 @@ from .bpe import Words, default_vocabulary, split_words
 from .common import by_bytes, table
 
 PIECE_BATCH_BYTES = 256 << 10
-CACHE = 1_000_000
 
 
-class Counter:
-    """A worker's tokenizer, with the token counts of the pieces it has seen; the cache is emptied when full."""
+@lru_cache(maxsize=2)
+def library(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[str], list[str]]]:
+    """(encode, split) of a vocabulary file, loaded once by a worker: the lengths of a batch of texts, and the cutting of a text at safe boundaries."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], lambda text: [text]  # its pieces hold the white space
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    ids = lambda text: model.encode(text, add_special_tokens=False).ids
+    # White space is a safe boundary only where the normalizer and the pre-tokenizer drop it, whichever of it stands there.
+    drops = all(ids(f"a{x}b") == ids("a") + ids("b") for x in (" ", "  ", "\t", "\n", "\r\n", "\n\n", "\u00a0", "\u3000"))
+    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], split_words if drops else lambda text: [text]
 
-    kept: dict[str, Counter] = {}
+
+class Counter:
+    """A task's pieces with their token counts."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        self.encode, self.split = library(path)
         self.clear()
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda pieces: [len(x) for x in model.encode(pieces, num_threads=1)]
-            self.splits = False  # its pieces hold the white space
-        else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_truncation()
-            model.no_padding()
-            self.encode = lambda pieces: [len(x) for x in model.encode_batch_fast(pieces, add_special_tokens=False)]
-            # White space is a safe boundary only where the normalizer and the pre-tokenizer drop it.
-            self.splits = model.encode("a  b", add_special_tokens=False).ids == [i for x in ("a", "b") for i in model.encode(x, add_special_tokens=False).ids]
 
     def clear(self) -> None:
         self.pieces, self.counts = Words(), np.zeros(0, np.int64)
 
-    @classmethod
-    def of(cls, path: str) -> Counter:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def learn(self) -> None:
-        """Encode the pending pieces in batches of equal bytes."""
-        found, batch, size = [self.counts], [], 0
-        for piece in self.pieces.pending:
-            batch.append(piece)
-            size += len(piece)
-            if size >= PIECE_BATCH_BYTES:
-                found.append(np.array(self.encode(batch), np.int64))
-                batch, size = [], 0
-        if batch:
-            found.append(np.array(self.encode(batch), np.int64))
-        self.counts = np.concatenate(found)
-        self.pieces.pending.clear()
+        """Encode the pending pieces in batches of about equal bytes, the longest pieces first."""
+        pending = self.pieces.pending
+        sizes = np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in pending), np.int64, len(pending))
+        found, order = np.zeros(len(pending), np.int64), np.argsort(-sizes, kind="stable")
+        ends = np.cumsum(sizes[order])
+        for part in np.split(order, np.flatnonzero(np.diff(ends // PIECE_BATCH_BYTES)) + 1):
+            found[part] = self.encode([pending[i] for i in part.tolist()]) if len(part) else 0
+        self.counts = np.concatenate([self.counts, found])
+        pending.clear()
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.pieces) > CACHE:
+        if self.pieces.full():
             self.clear()
-        split = [(split_words(t) if self.splits else [t]) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         self.learn()
@@ -82,12 +76,12 @@ class Counter:
         return sums[ends] - sums[ends - sizes]
 
 
-def counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """(id, n_bytes, n_tokens), a row for each row of docs; null and empty texts have no bytes and no tokens, and repeated rows stay."""
     schema = pa.schema([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter.of(vocabulary)
+        counter = Counter(vocabulary)
         for batch in by_bytes(batches, "text", batch_bytes):
             texts = batch.column("text").to_pylist()
             sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]

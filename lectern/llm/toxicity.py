@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Words
@@ -27,11 +27,10 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 BEGINNINGS = (4, 5)
 PADS = max(WIDTHS)
-#: At most so many labelled rows of each class are trained on.
-PER_CLASS = 2000
+#: At most so many labelled rows of each class, and so many bytes of their texts, are trained on.
+PER_CLASS, BYTES_PER_CLASS = 2000, 32 << 20
 THRESHOLD = 0.7
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-CACHE = 600_000
 
 
 def word_table(words: list[str]) -> np.ndarray:
@@ -83,7 +82,7 @@ class Scorer:
 
     def pooled(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(largest filter values, number of the language) of each text; texts without words have padding alone."""
-        if len(self.words) > CACHE:
+        if self.words.full():
             self.clear()
         split = [[*(t.split() if t else ()), *[""] * PADS] for t in texts]
         ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
@@ -209,14 +208,23 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], steps: in
     return m
 
 
-def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list, list, list]:
-    """Texts, labels and languages of at most `per_class` rows of each class, drawn by a hash of the id among rows outside the held-out third."""
+def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> tuple[list, list, list]:
+    """Texts, labels and languages of at most `per_class` rows of each class, drawn by a hash of the id among rows outside the held-out third.
+
+    Of rows with one id, one is taken, and an id with both labels counts as toxic. Texts are taken in the order of the hash while their bytes, all together, stay within `bytes_per_class`; longer
+    ones are not learned from. Labels other than 0 and 1 and null ids are left out.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    drawn = lambda c: known.where(F.col("toxic") == c).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = F.broadcast(drawn(0).union(drawn(1)))  # at most twice per_class rows of two numbers
     lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    rows = rows.where(F.octet_length("text") <= bytes_per_class).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("one")).select("doc_id", "toxic", "one.*")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most per_class rows each
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= bytes_per_class).drop("bytes").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows]
 
 
