@@ -1,8 +1,11 @@
-"""Near copies by an exact set-similarity join: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Near copies by SimHash candidates and an exact set-similarity join: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+The fingerprints of simhash.py give the first candidates. Their radius of 3 bits reaches few of the pairs at 0.8 (these differ in 7 of 64 bits on
+average and in up to 20), so the rest is found without them:
 
 Shingles are ordered by one order for all texts, those that a sample finds frequent last. Two sets that are similar enough share a shingle among the first
-n - ceil(0.8 n) + 1 of each, so only these prefixes are shuffled, and no pair is lost whatever the sample says. Neighbours by size that share a
-prefix shingle are compared first; of the remaining pairs only those whose ends aren't connected yet are. Every pair is verified by the size of
+n - ceil(0.8 n) + 1 of each, so only these prefixes are shuffled, and no pair is lost whatever the sample says. Neighbours by size, and neighbours in an order that each
+shingle draws for itself, are compared first, which connects large groups; of the remaining pairs only those whose ends aren't connected yet are. Every pair is verified by the size of
 the intersection of the whole sets before it is linked. Shingles are known by hashes of 64 bits.
 """
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, checkpointed, connected_components
-from .simhash import SEED, STAGE_WORDS
+from .simhash import SEED, STAGE_WORDS, links as fingerprint_links, majority
 
 #: The similarity that links two texts, NUMERATOR / DENOMINATOR, in whole numbers so that the bound itself counts.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -27,12 +30,17 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 8, 50_000
 BLOCK = 2048
 
 
-def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
-    """The distinct hashes of a text's shingles in ascending order. A shorter text is one shingle, the empty one where it has no words."""
+def hashed(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included. A shorter text is one shingle, the empty one where it has no words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
     n = max(1, len(tokens) - words + 1)
-    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+    return np.fromiter((digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order."""
+    return np.unique(hashed(text, words).view(np.int64))
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -68,14 +76,23 @@ def possible(a: str, b: str):
     return rest * (NUMERATOR + DENOMINATOR) >= (F.col(f"{a}n") + F.col(f"{b}n")) * NUMERATOR
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough. Only the texts of nodes that stand in a pair are cut into sets."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x.as_py(), words) for x in batch.column("text")], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = nodes.join(asked, "node").select("node", "key")
+    found = texts.select("key", "text").join(named, "key").dropDuplicates(["key"]).select("node", "text")
+    sets = found.mapInArrow(whole, "node long, hashes array<long>")
     left, right = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y")) * (NUMERATOR + DENOMINATOR)
     return pairs.join(left, "u").join(right, "v").where(both >= (F.size("x") + F.size("y")) * NUMERATOR).select("u", "v")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, block: int = BLOCK) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, block: int = BLOCK, bits: int = 3) -> DataFrame:
     """One row per document: (id, component_id), where component_id is the smallest id reachable over links of similar texts.
 
     Null and empty texts, and texts of white space only, have equal sets and link with each other only. Equal sets are one node. An empty table
@@ -86,42 +103,45 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent, rank = frequent_shingles(texts, words)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
-            sets = [shingles(x.as_py(), words) for x in batch.column("text")]
+        for batch in by_bytes(batches, "text", 2 << 20):
+            every = [hashed(x.as_py(), words) for x in batch.column("text")]
+            sets = [np.unique(h.view(np.int64)) for h in every]
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            prints = np.fromiter(map(majority, every), np.uint64, len(every)).view(np.int64)
             firsts = pa.array([prefix(s, frequent, rank) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int32()), firsts], ["id", "key", "node", "n", "firsts"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x.as_py(), words) for x in batch.column("text")], pa.list_(pa.int64()))], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(map(len, sets), pa.int32()), firsts], ["id", "key", "node", "fp", "n", "firsts"])
 
-    rows = checkpointed(texts.mapInArrow(described, "id long, key long, node long, n int, firsts array<long>"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("key").alias("key")))
-    places = rows.join(nodes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "n", F.posexplode("firsts").alias("pos", "shingle"))
+    rows = checkpointed(texts.mapInArrow(described, "id long, key long, node long, fp long, n int, firsts array<long>"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.min("fp").alias("fp")))
+    places = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts")).select("node", "n", F.posexplode("firsts").alias("pos", "shingle"))
     bucket = Window.partitionBy("shingle")
-    before = Window.partitionBy("shingle").orderBy("n", "node")
+    orders = {"s": bucket.orderBy("n", "node"), "h": bucket.orderBy(F.xxhash64("shingle", "node"), "node")}
     places = places.withColumn("many", F.count("*").over(bucket)).where("many > 1")
-    shared = checkpointed(places.select("*", *[F.lag(c).over(before).alias(f"before_{c}") for c in ("node", "n", "pos")]))
-
-    named = nodes.join(shared.select("node").distinct(), "node").select("node", "key")
-    found = texts.join(named, "key").dropDuplicates(["node"]).select("node", "text")
-    sets = checkpointed(found.mapInArrow(whole, "node long, hashes array<long>"))
-
-    pairs = shared.where(possible("", "before_")).select(F.greatest("node", "before_node").alias("u"), F.least("node", "before_node").alias("v")).distinct()
-    links = checkpointed(verified(pairs, sets))
+    shared = checkpointed(places.select("*", *[F.lag(c).over(w).alias(f"{k}_{c}") for k, w in orders.items() for c in ("node", "n", "pos")]))
+
+    # Candidates: one fingerprint and fingerprints near each other; neighbours that share a prefix shingle.
+    one = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
+    near = fingerprint_links(one.select("fp"), bits)
+    a, b = one.select(F.col("fp").alias("u"), F.col("lead").alias("a")), one.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
+    ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v")
+    pairs = ordered(near.join(a, "u").join(b, "v"), "a", "b").union(ordered(nodes.join(one, "fp"), "node", "lead"))
+    for k in orders:
+        pairs = pairs.union(ordered(shared.where(possible("", f"{k}_")), "node", f"{k}_node"))
+    links = checkpointed(verified(checkpointed(pairs.distinct()), texts, nodes, words))
     parts = checkpointed(connected_components(links))
 
-    known = shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    # Pairs that share a prefix shingle and aren't connected yet.
+    known = shared.select("shingle", "node", "n", "pos", "many").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = known.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
     known = checkpointed(known.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "pos", "part", F.ceil(F.col("many") / block).cast("long").alias("blocks")))
     known = known.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     a = known.select("shingle", F.col("mine").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "part")])
     b = known.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "pos", "part")])
     across = a.join(b, ["shingle", "i", "j"]).where("a_part < b_part").where(possible("a_", "b_"))
-    more = checkpointed(verified(across.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct(), sets))
+    across = checkpointed(across.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
+    more = checkpointed(verified(across, texts, nodes, words))
 
-    parts = connected_components(links.union(more))
+    parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     last = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = last.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.select("id", "node").join(last.join(least, "component").select("node", "component_id"), "node").select("id", "component_id")

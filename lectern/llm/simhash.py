@@ -30,6 +30,15 @@ STAGE_WORDS = 5
 BLOCK = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of unsigned hashes: the bits that are set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned fingerprint of a text: shingles of `words` words, repeats included; zero for a text without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -42,12 +51,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         shingles = [b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
