@@ -142,12 +142,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__crc").orderBy(F.col(source_col).asc_nulls_last())))
     c, r = copies.alias("c"), rows.alias("r")
     joined = r.join(c, F.col(f"r.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("r.__crc") == F.col("c.crc")) & (F.col("r.__nth") - F.col("c.__nth") == 0))
-    spaced = F.regexp_extract_all(F.col(f"r.{text_col}"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("c.parts", lambda p: F.slice(spaced, (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
+    # The words are cut out once a row, bound to a variable of their own, and only where a copy lacks some.
+    spaced = F.array(F.regexp_extract_all(F.col(f"r.{text_col}"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)))
+    cut = F.transform(spaced, lambda x: F.array_join(F.flatten(F.transform("c.parts", lambda p: F.slice(x, (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))
     whole = F.col("c.words") == F.col("c.size")
-    text = F.when(whole, F.col(f"r.{text_col}")).otherwise(cut)
-    columns = [text.alias(x) if x == text_col else F.when(whole, F.col(f"r.{x}")).otherwise(F.char_length(cut)).cast(docs.schema[x].dataType).alias(x) if x == chars_col else F.col(f"r.{x}") for x in docs.columns]
-    return joined.select(*columns)
+    out = joined.select(*[F.col(f"r.{x}").alias(x) for x in docs.columns if x != text_col], whole.alias("__whole"), F.when(whole, F.col(f"r.{text_col}")).otherwise(F.element_at(cut, 1)).alias(text_col))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col("__whole"), F.col(chars_col)).otherwise(F.char_length(text_col)).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
