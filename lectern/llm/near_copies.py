@@ -5,8 +5,9 @@ average and in up to 20), so the rest is found without them:
 
 Shingles are ordered by one order for all texts, those that a sample finds frequent last. Two sets that are similar enough share a shingle among the first
 n - ceil(0.8 n) + 1 of each, so only these prefixes are shuffled, and no pair is lost whatever the sample says. Neighbours by size, and neighbours in an order that each
-shingle draws for itself, are compared first, which connects large groups; of the remaining pairs only those whose ends aren't connected yet are. Every pair is verified by the size of
-the intersection of the whole sets before it is linked. Shingles are known by hashes of 64 bits.
+shingle draws for itself, are compared first, which connects large groups. Components that share a prefix shingle after that are compared as wholes, block by block, so that a
+large group meets the texts beside it without a row for each pair. Every link is verified by the size of
+the intersection of the whole sets. Shingles are known by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .simhash import SEED, STAGE_WORDS, links as fingerprint_links, majority
 NUMERATOR, DENOMINATOR = 4, 5
 #: Texts in the sample, how many of them a frequent shingle is in, and how many frequent shingles are kept at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 8, 50_000
-#: A prefix shingle of more texts than this is compared block by block in several tasks.
-BLOCK = 2048
+#: So many texts of two components are compared in one task.
+BLOCK = 512
+#: With so many neighbours in a shingle's own order a text is compared before the remaining pairs are looked for.
+NEIGHBOURS = 2
 
 
 def hashed(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
@@ -77,19 +80,82 @@ def possible(a: str, b: str):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough. Only the texts of nodes that stand in a pair are cut into sets."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose sets are similar enough. The texts (row, key, text) of both ends meet by one exchange, and only those that stand in a pair are cut into sets."""
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "a", 2 << 20):
+            us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+            sets: dict[int, np.ndarray] = {}
+            held, good = 0, []
+            for i, (u, v) in enumerate(zip(us, vs, strict=True)):
+                for node, name in ((u, "a"), (v, "b")):
+                    if node not in sets:
+                        sets[node] = shingles(batch.column(name)[i].as_py(), words)
+                        held += len(sets[node])
+                x, y = sets[u], sets[v]
+                both = np.intersect1d(x, y, assume_unique=True).size
+                good.append(both * (NUMERATOR + DENOMINATOR) >= (len(x) + len(y)) * NUMERATOR)
+                if held > 1 << 20:
+                    sets.clear()
+                    held = 0
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    lead = nodes.select("node", "row", "key")
+    asked = pairs.join(lead.toDF("u", "u_row", "u_key"), "u").join(lead.toDF("v", "v_row", "v_key"), "v")
+    found = asked.join(texts.select(F.col("row").alias("u_row"), F.col("key").alias("u_key"), F.col("text").alias("a")), ["u_key", "u_row"])
+    found = found.join(texts.select(F.col("row").alias("v_row"), F.col("key").alias("v_key"), F.col("text").alias("b")), ["v_key", "v_row"])
+    return found.select("u", "v", "a", "b").mapInArrow(similar, "u long, v long").distinct()
+
+
+def bridges(across: DataFrame, texts: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, block: int) -> DataFrame:
+    """(u, v): a link between any two components (a_part, b_part) that have one.
+
+    The members of the larger component are dealt over blocks, and those of the smaller ones are compared with each block, in tasks of at most about `block` texts of
+    either kind. No row is made for a pair: a text gives at most one link for each block.
+    """
+    members = nodes.select("node", "row", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    asked = across.select(F.explode(F.array("a_part", "b_part")).alias("part")).distinct()
+    members = checkpointed(members.join(asked, "part"))
+    sizes = members.groupBy("part").agg(F.count("*").alias("n"))
+    a, b = sizes.toDF("a_part", "a_n"), sizes.toDF("b_part", "b_n")
+    turned = F.col("a_n") > F.col("b_n")
+    sides = across.join(a, "a_part").join(b, "b_part").select(F.when(turned, F.col("a_part")).otherwise(F.col("b_part")).alias("large"), F.when(turned, F.col("b_part")).otherwise(F.col("a_part")).alias("part"))
+    asks = checkpointed(sides.join(members, "part").select("large", "node", "row", "key"))
+    many = lambda n: F.ceil(F.col(n) / block).cast("long")
+    blocks = asks.groupBy("large").agg(F.count("*").alias("m")).join(sizes.withColumnRenamed("part", "large"), "large").select("large", many("m").alias("is"), many("n").alias("js"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    right = asks.join(blocks, "large").select("large", own("is").alias("i"), every("js").alias("j"), F.lit(1).alias("side"), "node", "row", "key")
+    left = members.withColumnRenamed("part", "large").join(blocks, "large").select("large", every("is").alias("i"), own("js").alias("j"), F.lit(0).alias("side"), "node", "row", "key")
+    rows = left.union(right).join(texts.select("key", "row", "text"), ["key", "row"]).select("large", "i", "j", "side", "node", "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+        every = starts = sizes = np.zeros(0, np.int64)
         for batch in by_bytes(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x.as_py(), words) for x in batch.column("text")], pa.list_(pa.int64()))], ["node", "hashes"])
-
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    named = nodes.join(asked, "node").select("node", "key")
-    found = texts.select("key", "text").join(named, "key").dropDuplicates(["key"]).select("node", "text")
-    sets = found.mapInArrow(whole, "node long, hashes array<long>")
-    left, right = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y")) * (NUMERATOR + DENOMINATOR)
-    return pairs.join(left, "u").join(right, "v").where(both >= (F.size("x") + F.size("y")) * NUMERATOR).select("u", "v")
+            names = zip(*[batch.column(c).to_pylist() for c in ("large", "i", "j")], strict=True)
+            u, v = [], []
+            for at, (name, side, node) in enumerate(zip(names, batch.column("side").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                if name != group:
+                    group, nodes, sets, every = name, [], [], None
+                x = shingles(batch.column("text")[at].as_py(), words)
+                if side == 0:
+                    nodes.append(node)
+                    sets.append(x)
+                    continue
+                if every is None:
+                    sizes = np.array([len(y) for y in sets])
+                    every, starts = (np.concatenate(sets), np.cumsum(sizes) - sizes) if sets else (np.zeros(0, np.int64), sizes)
+                if len(every):
+                    both = np.add.reduceat(x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every, starts)
+                    hit = np.flatnonzero(both * (NUMERATOR + DENOMINATOR) >= (sizes + len(x)) * NUMERATOR)
+                    if len(hit):
+                        u.append(node)
+                        v.append(nodes[hit[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    dealt = rows.repartition("large", "i", "j").sortWithinPartitions("large", "i", "j", "side")
+    return dealt.mapInArrow(compared, "u long, v long").where("u <> v")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, block: int = BLOCK, bits: int = 3) -> DataFrame:
@@ -99,7 +165,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result. Extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    number = F.col(id_col).cast("long")
+    texts = docs.select(number.alias("id"), F.coalesce(number, F.lit(-(1 << 63))).alias("row"), F.xxhash64(text).alias("key"), text.alias("text"))
     frequent, rank = frequent_shingles(texts, words)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +176,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             prints = np.fromiter(map(majority, every), np.uint64, len(every)).view(np.int64)
             firsts = pa.array([prefix(s, frequent, rank) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(map(len, sets), pa.int32()), firsts], ["id", "key", "node", "fp", "n", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(map(len, sets), pa.int32()), firsts], ["id", "row", "key", "node", "fp", "n", "firsts"])
 
-    rows = checkpointed(texts.mapInArrow(described, "id long, key long, node long, fp long, n int, firsts array<long>"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.min("fp").alias("fp")))
+    rows = checkpointed(texts.mapInArrow(described, "id long, row long, key long, node long, fp long, n int, firsts array<long>"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("row", "key")).alias("lead"), F.min("fp").alias("fp")).select("node", "first", "lead.*", "fp"))
     places = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts")).select("node", "n", F.posexplode("firsts").alias("pos", "shingle"))
     bucket = Window.partitionBy("shingle")
-    orders = {"s": bucket.orderBy("n", "node"), "h": bucket.orderBy(F.xxhash64("shingle", "node"), "node")}
+    drawn = bucket.orderBy(F.xxhash64("shingle", "node"), "node")
+    before = {"s": (bucket.orderBy("n", "node"), 1)} | {f"h{k}": (drawn, k) for k in range(1, NEIGHBOURS + 1)}
     places = places.withColumn("many", F.count("*").over(bucket)).where("many > 1")
-    shared = checkpointed(places.select("*", *[F.lag(c).over(w).alias(f"{k}_{c}") for k, w in orders.items() for c in ("node", "n", "pos")]))
+    shared = checkpointed(places.select("*", *[F.lag(c, at).over(w).alias(f"{k}_{c}") for k, (w, at) in before.items() for c in ("node", "n", "pos")]))
 
     # Candidates: one fingerprint and fingerprints near each other; neighbours that share a prefix shingle.
     one = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
@@ -125,21 +193,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b = one.select(F.col("fp").alias("u"), F.col("lead").alias("a")), one.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
     ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v")
     pairs = ordered(near.join(a, "u").join(b, "v"), "a", "b").union(ordered(nodes.join(one, "fp"), "node", "lead"))
-    for k in orders:
+    for k in before:
         pairs = pairs.union(ordered(shared.where(possible("", f"{k}_")), "node", f"{k}_node"))
     links = checkpointed(verified(checkpointed(pairs.distinct()), texts, nodes, words))
     parts = checkpointed(connected_components(links))
 
-    # Pairs that share a prefix shingle and aren't connected yet.
-    known = shared.select("shingle", "node", "n", "pos", "many").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = known.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    known = checkpointed(known.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "pos", "part", F.ceil(F.col("many") / block).cast("long").alias("blocks")))
-    known = known.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    a = known.select("shingle", F.col("mine").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "part")])
-    b = known.select("shingle", F.col("other").alias("i"), F.col("mine").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "pos", "part")])
-    across = a.join(b, ["shingle", "i", "j"]).where("a_part < b_part").where(possible("a_", "b_"))
-    across = checkpointed(across.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
-    more = checkpointed(verified(across, texts, nodes, words))
+    # Components with members that share a prefix shingle, and might still be linked.
+    known = shared.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    held = known.groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("n"))
+    a, b = (held.select("shingle", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "rest", "n")]) for k in "ab")
+    likely = F.least("a_rest", "b_rest") * (NUMERATOR + DENOMINATOR) >= (F.col("a_n") + F.col("b_n")) * NUMERATOR
+    across = checkpointed(a.join(b, "shingle").where("a_part < b_part").where(likely).select("a_part", "b_part").distinct())
+    more = checkpointed(bridges(across, texts, nodes, parts, words, block))
 
     parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     last = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
