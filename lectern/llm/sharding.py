@@ -5,7 +5,7 @@ fixed number of contiguous shards so that the largest shard is as small as possi
 filling needs no more shards than there are. Prefix sums come from a two-level sum over ranges of the digest. The search runs over the
 boundaries that can matter: first the first and last group ends of 65,536 ranges, whose greedy filling bounds the capacity from above and the place of each cut; the gaps
 between ranges, where no group ends, show which capacities can't do. Then come only the group ends within those bounds, until these are few enough to be read as they are. What the driver holds is bounded by the parameters
-and doesn't grow with the data, and the capacity found is exact.
+and doesn't grow with the data, and the capacity found is exact. Within that capacity the cuts are laid near equal shares, so that the last shards don't stay small or empty.
 """
 
 from __future__ import annotations
@@ -83,6 +83,32 @@ def windows(ends: list[int], low: int, high: int, shards: int) -> list[tuple[int
     return out
 
 
+def balanced(ends: list[int], capacity: int, shards: int) -> list[int]:
+    """The end of each shard: no shard above the capacity, each as near as the groups allow to an equal share of what is left, and none empty while there are as many boundaries as shards.
+
+    A cut lies where the shards before it can reach it (`fill`) and the rest fits into the shards after it (the same from behind), so every choice can be completed.
+    """
+    total, latest = ends[-1], fill(ends, capacity, shards)
+    latest = latest + [total] * (shards - len(latest))
+    earliest, at = [total] * shards, total
+    for k in range(shards - 2, -1, -1):
+        at = ends[bisect_left(ends, at - capacity)] if at > capacity else 0
+        earliest[k] = at
+    cuts, before = [], 0
+    for k in range(shards):
+        i = bisect_right(ends, before)  # the first boundary that gives this shard something
+        left = shards - 1 - k
+        low = max(bisect_left(ends, earliest[k]), i)
+        high = min(bisect_right(ends, min(latest[k], before + capacity)) - 1, max(low, len(ends) - 1 - left))
+        want = before + (total - before) / (shards - k)
+        near = bisect_left(ends, want)
+        near = near - 1 if near and (near == len(ends) or want - ends[near - 1] < ends[near] - want) else near
+        to = ends[max(low, min(high, near))] if low <= high else before
+        cuts.append(to)
+        before = to
+    return max(cuts, latest, key=lambda c: min(b - a for a, b in zip([0, *c], c, strict=False)))
+
+
 def minimax_cuts(groups: DataFrame, shards: int, ranges: int = RANGES, read_at_most: int = READ_AT_MOST) -> list[int]:
     """The end of each shard as a prefix sum, for groups with columns size, prefix (sum up to and with the group) and range."""
     coarse = groups.groupBy("range").agg(F.min("prefix").alias("first"), F.max("prefix").alias("end"), F.max("size").alias("most")).collect()  # at most `ranges` rows
@@ -107,7 +133,7 @@ def minimax_cuts(groups: DataFrame, shards: int, ranges: int = RANGES, read_at_m
         near = groups.where(inside)
         if near.count() <= read_at_most or step == 1:
             ends = sorted({*ends, *(x[0] for x in near.select("prefix").collect())})
-            return fill(ends, smallest(ends, shards, low), shards)
+            return balanced(ends, smallest(ends, shards, low), shards)
         # A finer sample of boundaries inside the bounds; the steps shrink with each round, so that it ends.
         finer = max(1, sum(b - a for a, b in bounds) // ranges)
         step = finer if step is None else min(finer, max(1, step // 2))
@@ -138,8 +164,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[D
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, read_at_most: int = READ_AT_MOST) -> DataFrame:
     """One row per row of docs: (id, size, crc, shard, slot). Size is the UTF-8 bytes of the text plus 16; slots count from 0 in each shard.
 
-    Equal texts, null and empty ones among them, lie in one shard. Repeated rows and ids get slots of their own. With fewer groups than shards the
-    last shards are empty. An empty table gives an empty result.
+    Equal texts, null and empty ones among them, lie in one shard. Repeated rows and ids get slots of their own. With fewer groups than shards some
+    shards are empty. An empty table gives an empty result.
     """
     rows, groups = grouped(docs, id_col, text_col, ranges)
     cuts = minimax_cuts(groups, shards, ranges, read_at_most)
