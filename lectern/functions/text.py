@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content.
-STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were with".split()
+STOP_WORDS = "a an the of to in and or is by be it at as on for with not are was has its that".split()
 
 
 def collapsed(text: Column) -> Column:
@@ -75,9 +75,10 @@ def padded_id(prefix: str, number: Column, width: int = 3) -> Column:
 
 
 def is_noise(line: Column) -> Column:
-    """Lines that are mostly dot leaders (half or more of at least six), or a lone page number."""
+    """Lines that are mostly dot leaders (half or more of at least six), unless an amendment marker such as F278(2) leads them, or a lone page number."""
     dots = F.length(line) - F.length(F.replace(line, F.lit("."), F.lit("")))
-    return ((dots >= 6) & (dots * 2 >= F.length(line))) | F.trim(line).rlike(r"^(page )?[0-9]{1,4}$")
+    amendment = F.trim(line).rlike(r"^\[?[A-Z]{1,2}[0-9]+[A-Z]?\]?")
+    return ((dots >= 6) & (dots * 2 >= F.length(line)) & ~amendment) | F.trim(line).rlike(r"^(page )?[0-9]{1,4}$")
 
 
 def rounded(x: Column, places: int = 4) -> Column:

@@ -183,7 +183,7 @@ _LINES = "(SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line_no, unn
 _WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 QUERIES = {
     "repeated_line_headers": (repeated_lines, f"SELECT trim(line) AS line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM {_LINES} GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3"),
-    "noise_lines": (noise_lines, f"SELECT doc_id, count(*) FILTER ((length(line) - length(replace(line, '.', '')) >= 6 AND (length(line) - length(replace(line, '.', ''))) * 2 >= length(line)) OR regexp_matches(trim(line), '^(page )?[0-9]{{1,4}}$')) AS noise, count(*) AS n FROM {_LINES} GROUP BY 1"),
+    "noise_lines": (noise_lines, f"SELECT doc_id, count(*) FILTER ((length(line) - length(replace(line, '.', '')) >= 6 AND (length(line) - length(replace(line, '.', ''))) * 2 >= length(line) AND NOT regexp_matches(trim(line), '^\\[?[A-Z]{{1,2}}[0-9]+[A-Z]?\\]?')) OR regexp_matches(trim(line), '^(page )?[0-9]{{1,4}}$')) AS noise, count(*) AS n FROM {_LINES} GROUP BY 1"),
     "heading_sections": (heading_sections, f"SELECT doc_id, line_no, trim(line) AS heading, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS \"end\" FROM {_LINES} AND length(line) <= 24"),
     "small_section_merge": (small_turn_merge, "SELECT conv_id, part, min(turn) AS first_turn, max(turn) AS last_turn, sum(length(text))::BIGINT AS chars FROM (SELECT *, sum(CASE WHEN turn = 0 OR length(text) >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM conversations) GROUP BY 1, 2"),
     "forward_fill_section": (forward_fill_question, "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question FROM conversations"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, reporting
+from . import analytics, comparisons, documents, facets, reporting
 
-PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES)
+PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES)
 
 
 def queries() -> dict:
