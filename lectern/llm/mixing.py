@@ -18,7 +18,9 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_WORDS = 64
 PARTS = 512
-SLOTS_PER_SHARD = 4096
+SLOTS_PER_SHARD = 65_536
+#: Slots are laid out in runs of so many, and about so many are made in one task.
+RUN, SLOTS_PER_TASK = 1024, 200_000
 #: Multipliers of the permutations. Their product is beyond 2**62, so no block count is a multiple of all.
 PRIMES = (1000003, 1000033, 1000037, 1000039)
 
@@ -74,9 +76,10 @@ def permuted(j, n, seed):
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """(shard, position, source, block, words, part): the mix as block slots of output shards; a slot takes the first `words` words of its block, fewer than all where it is marked as part.
 
-    The words of a source's slots add up to its target rounded to words, one at least where the target is positive. Each slot of a source lands
-    in an output shard by its own draw over the shards, so the source counts of a shard are multinomial with the sources' shares as
-    probabilities, conditioned on the totals that the targets fix. Draws depend on source and slot number only, and reruns agree.
+    The words of a source's slots add up to its target rounded to words, one at least where the target is positive. First the counts are drawn: each source's slots are
+    thrown over the output shards, so that the source counts of a shard are multinomial with the sources' shares as
+    probabilities, conditioned on the totals that the targets fix. The slots are then derived from the counts: a shard holds the next so many places of the
+    source's permutation. Draws depend on source and slot number only, and reruns agree.
     """
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     size, whole = F.col("source_size"), F.lit(block_words).cast("long")
@@ -87,15 +90,27 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = S
     more = (F.col("short") < F.col("fewest")) & (F.col("fewest") * whole - F.col("lack") < F.col("rest"))
     counted = counted.withColumn("n_slots", F.col("turns") * F.col("blocks") + F.col("fewest") + more.cast("long"))
     counted = counted.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / per_shard)).cast("long"))
-    runs = counted.withColumn("run", F.explode(F.expr("sequence(0L, (n_slots - 1) div 1024)")))
-    runs = runs.repartition("source", "run")
-    each = runs.withColumn("j", F.explode(F.expr("sequence(run * 1024L, least(n_slots, run * 1024L + 1024L) - 1L)")))
+    counted = checkpointed(counted)
+    tasks = max(1, min(10_000, (counted.agg(F.sum("n_slots")).first()[0] or 0) // SLOTS_PER_TASK))
+
+    def laid(rows: DataFrame, n: str) -> DataFrame:
+        """A row for each i in [0, n): runs of runs are dealt over the tasks before they are laid out."""
+        rows = rows.withColumn("far", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {RUN * RUN}L)")))
+        rows = rows.withColumn("run", F.explode(F.expr(f"sequence(far * {RUN}L, least(({n} - 1) div {RUN}L, far * {RUN}L + {RUN - 1}L))"))).drop("far")
+        rows = rows.repartition(tasks, "source", "run")
+        return rows.withColumn("i", F.explode(F.expr(f"sequence(run * {RUN}L, least({n}, run * {RUN}L + {RUN}L) - 1L)"))).drop("run")
+
+    thrown = laid(counted.select("source", "n_slots", "shards"), "n_slots").select("source", F.pmod(F.xxhash64(name, "i", F.lit("shard")), F.col("shards")).alias("shard"))
+    drawn = thrown.groupBy("source", "shard").agg(F.count("*").alias("n"))
+    drawn = checkpointed(drawn.withColumn("offset", F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n")))  # a row for each source and shard
+    facts = counted.alias("c").join(drawn.alias("d"), F.col("c.source").eqNullSafe(F.col("d.source"))).select("c.*", "d.shard", "d.n", "d.offset")
+    each = laid(facts, "n").withColumn("j", F.col("offset") + F.col("i"))
     each = each.withColumn("block", permuted(F.col("j"), F.col("blocks"), name))
     length = whole - F.when(F.col("block") == F.col("blocks") - 1, F.col("lack")).otherwise(0)
     at = F.col("j") - F.col("turns") * F.col("blocks")
     left = F.col("rest") - at * whole + F.when(F.col("short") < at, F.col("lack")).otherwise(0)
     words = F.when(at < 0, length).otherwise(F.least(length, left))
-    return each.select(F.pmod(F.xxhash64(name, "j", F.lit("shard")), F.col("shards")).alias("shard"), F.xxhash64(name, "j", F.lit("position")).alias("position"), "source", "block", words.alias("words"), (words < length).alias("part"))
+    return each.select("shard", F.xxhash64(name, "j", F.lit("position")).alias("position"), "source", "block", words.alias("words"), (words < length).alias("part"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, parts: int = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
