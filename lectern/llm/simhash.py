@@ -26,7 +26,7 @@ POWERS = 3 ** np.arange(HALF, dtype=np.int64)
 CELLS = 3**HALF
 #: Stages that no contract binds take shingles of five words.
 STAGE_WORDS = 5
-#: A cell with more own fingerprints than this is compared block by block in several tasks.
+#: A cell with more fingerprints than this is compared block by block in several tasks.
 BLOCK = 4096
 
 
@@ -114,11 +114,6 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
             for at in range(0, batch.num_rows, 20_000):
                 yield arrow_batch(cells, grid(np.asarray(batch.column(0).slice(at, 20_000))))
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, kind, fp = grid(np.asarray(batch.column(0)))
-            yield arrow_batch(cells, [x[kind == 0] for x in (cell, kind, fp)])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
@@ -132,16 +127,22 @@ def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
             yield arrow_batch(found, cell_links(*rest, most))
 
     rows = fps.select("fp").mapInArrow(spread, "cell long, kind byte, fp long")
-    heavy = checkpointed(fps.select("fp").mapInArrow(own, "cell long, kind byte, fp long").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("blocks > 1"))
+    counts = rows.groupBy("cell").agg(F.count_if(F.col("kind") == 0).alias("own"), F.count_if(F.col("kind") == 1).alias("up"))
+    blocks = [F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("long").alias(f"{c}_blocks") for c in ("own", "up")]
+    heavy = checkpointed(counts.where((F.col("own") > 0) & (F.col("own") + F.col("up") > block)).select("cell", *blocks))
     n_heavy = heavy.count()
     if n_heavy:
-        # Heavy cells: own rows go to every pair of blocks that has theirs, rows one step up to a pair of each own block; pairs are tasks of bounded size.
+        # Heavy cells: own rows go to every pair of own blocks that has theirs and to every block of rows one step up, those to every own block; pairs are tasks of bounded size.
         heavy = F.broadcast(heavy) if n_heavy <= 10_000 else heavy
-        rows = rows.join(heavy, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks"))
-        rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        rows = rows.select("cell", F.expr("if(kind = 0 or blocks = 1, least(mine, other), other)").alias("i"), F.expr("if(kind = 0 or blocks = 1, greatest(mine, other), other)").alias("j"), "kind", "fp")
-        rows = rows.select(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("cell")).otherwise(F.expr(f"xxhash64(cell, i, j) | {1 << 62}L")).alias("cell"), "kind", "fp")
+        rows = rows.join(heavy, "cell", "left")
+        mine = lambda c: F.pmod(F.xxhash64("fp"), F.col(c))
+        to = lambda c, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(c) - 1), f)
+        task = lambda t, i, j: F.xxhash64("cell", F.lit(t), i, j).bitwiseOR(F.lit(1 << 62))
+        pairs = to("own_blocks", lambda x: task("own", F.least(mine("own_blocks"), x), F.greatest(mine("own_blocks"), x)))
+        beside = to("up_blocks", lambda x: task("up", mine("own_blocks"), x))
+        above = to("own_blocks", lambda x: task("up", x, mine("up_blocks")))
+        tasks = F.when(F.col("own_blocks").isNull(), F.array("cell")).when(F.col("kind") == 0, F.concat(pairs, beside)).otherwise(above)
+        rows = rows.select(F.explode(tasks).alias("cell"), "kind", "fp")
     return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(compare, "u long, v long")
 
 
