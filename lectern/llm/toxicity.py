@@ -30,6 +30,8 @@ PADS = max(WIDTHS)
 #: At most so many labelled rows of each class, and so many bytes of their texts, are trained on.
 PER_CLASS, BYTES_PER_CLASS = 2000, 32 << 20
 THRESHOLD = 0.7
+#: A language has a threshold of its own with so many calibration rows of either class; others share one.
+OWN_THRESHOLD = 10
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -116,6 +118,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip((logit + self.model.shift[language]).astype(np.float64), -30, 30)))
 
 
+def calibration_split(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(calibration, fitted): a fifth of the rows is kept for the thresholds; fewer than 50 rows serve both ends."""
+    if n < 50:
+        return np.arange(n), np.arange(n)
+    kept = rng.permutation(n)[: n // 5]
+    return kept, np.setdiff1d(np.arange(n), kept)
+
+
+def departure(docs: list[np.ndarray], rows: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each embedding row, by how many standard deviations more toxic texts hold it than a random share of all texts would."""
+    seen = np.zeros((2, ROWS + 1))
+    for i in of:
+        np.add.at(seen[int(y[i])], np.unique(rows[docs[i]]), 1)
+    n1, n = float(y[of].sum()), float(len(of))
+    both = seen.sum(axis=0)[:ROWS]
+    share = both / n
+    spread = np.sqrt(np.maximum(n1 * (n - n1) / n * share * (1 - share), 1e-9))
+    return np.where(both > 0, (seen[1][:ROWS] - n1 * share) / np.maximum(spread, 0.3), 0)
+
+
 def train(texts: list[str], toxic: list[int], langs: list[str | None], steps: int = 600, batch: int = 32, seed: int = 7) -> Model:
     """Fit a model in 8 passes over the rows, or more up to `steps` batches. Without rows, or with rows of one class, every score is the share of toxic rows (0 without rows), kept within 0 and 1."""
     y = np.asarray(toxic, np.float32)
@@ -132,6 +154,11 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], steps: in
     m.filters = [rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     m.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     m.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
+    fitted_on = calibration_split(len(docs), rng)
+    # The first coordinate of a row begins at how far its share of toxic texts departs from chance, and the first filter of width 1 reads it.
+    m.embedding[:ROWS, 0] = 2 * np.tanh(departure(docs, rows, y, fitted_on[1]) / 8)
+    m.filters[0][0, :, 0] = np.eye(DIM, dtype=np.float32)[0] * 2
+    m.out[0] = 2
     squares = {}
 
     def step(name, value, grad, at=slice(None), rate=0.1):
@@ -140,8 +167,7 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], steps: in
         value[at] -= rate * grad / np.sqrt(s[at])
 
     constant = np.zeros(1, np.float32)
-    calibration = rng.permutation(len(docs))[: len(docs) // 5]
-    fitted = np.setdiff1d(np.arange(len(docs)), calibration) if len(docs) >= 50 else np.arange(len(docs))
+    calibration, fitted = fitted_on
     for _ in range(max(8, -(-steps * batch // len(fitted)))):
         order = rng.permutation(fitted)
         for chosen in np.split(order, range(batch, len(order), batch)):
@@ -193,12 +219,12 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], steps: in
     m.profile[ROWS] = 0
     # The threshold of a language: midway in the widest gap around the cut with the fewest errors on the calibration rows.
     m.shift = np.zeros(len(m.languages), np.float32)
-    held = calibration if len(docs) >= 50 else fitted
+    held = calibration
     logit, guess = Scorer(m).logits([texts[i] for i in held])
     goal = np.log(THRESHOLD / (1 - THRESHOLD))
     for k in range(len(m.languages)):
         mine = guess == k
-        a, b = (mine, y[held]) if len(set(y[held][mine])) == 2 else (np.ones_like(mine), y[held])
+        a, b = (mine, y[held]) if min(np.sum(y[held][mine] == c) for c in (0, 1)) >= OWN_THRESHOLD else (np.ones_like(mine), y[held])
         order = np.argsort(logit[a])
         value, label = logit[a][order], b[a][order]
         errors = np.concatenate([[0], np.cumsum(label)]) + np.concatenate([np.cumsum((1 - label)[::-1])[::-1], [0]])
