@@ -31,6 +31,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 8, 50_000
 BLOCK = 512
 #: With so many neighbours in a shingle's own order a text is compared before the remaining pairs are looked for.
 NEIGHBOURS = 2
+#: Neighbours are compared at once if they are such in one of so many of the smaller set's shingles, or share one that so many texts have.
+OFTEN, LARGE = 40, 16
 
 
 def hashed(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
@@ -108,19 +110,15 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -
 
 
 def bridges(across: DataFrame, texts: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, block: int) -> DataFrame:
-    """(u, v): a link between any two components (a_part, b_part) that have one.
+    """(u, v): a link from each node to the component `large` that it is held against, where there is one.
 
-    The members of the larger component are dealt over blocks, and those of the smaller ones are compared with each block, in tasks of at most about `block` texts of
+    The members of the component are dealt over blocks, and the nodes are compared with each block, in tasks of at most about `block` texts of
     either kind. No row is made for a pair: a text gives at most one link for each block.
     """
     members = nodes.select("node", "row", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    asked = across.select(F.explode(F.array("a_part", "b_part")).alias("part")).distinct()
-    members = checkpointed(members.join(asked, "part"))
+    members = checkpointed(members.join(across.select(F.col("large").alias("part")).distinct(), "part"))
     sizes = members.groupBy("part").agg(F.count("*").alias("n"))
-    a, b = sizes.toDF("a_part", "a_n"), sizes.toDF("b_part", "b_n")
-    turned = F.col("a_n") > F.col("b_n")
-    sides = across.join(a, "a_part").join(b, "b_part").select(F.when(turned, F.col("a_part")).otherwise(F.col("b_part")).alias("large"), F.when(turned, F.col("b_part")).otherwise(F.col("a_part")).alias("part"))
-    asks = checkpointed(sides.join(members, "part").select("large", "node", "row", "key"))
+    asks = checkpointed(across.join(nodes.select("node", "row", "key"), "node"))
     many = lambda n: F.ceil(F.col(n) / block).cast("long")
     blocks = asks.groupBy("large").agg(F.count("*").alias("m")).join(sizes.withColumnRenamed("part", "large"), "large").select("large", many("m").alias("is"), many("n").alias("js"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
@@ -193,17 +191,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b = one.select(F.col("fp").alias("u"), F.col("lead").alias("a")), one.select(F.col("fp").alias("v"), F.col("lead").alias("b"))
     ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v")
     pairs = ordered(near.join(a, "u").join(b, "v"), "a", "b").union(ordered(nodes.join(one, "fp"), "node", "lead"))
-    for k in before:
-        pairs = pairs.union(ordered(shared.where(possible("", f"{k}_")), "node", f"{k}_node"))
-    links = checkpointed(verified(checkpointed(pairs.distinct()), texts, nodes, words))
+    sides = [F.struct(F.greatest("node", f"{k}_node").alias("u"), F.least("node", f"{k}_node").alias("v"), F.least("n", f"{k}_n").alias("n"), (possible("", f"{k}_")).alias("fits")) for k in before]
+    beside = shared.select("many", F.explode(F.array(*sides)).alias("x")).where("x.fits and x.u <> x.v").groupBy("x.u", "x.v").agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("many").alias("many"))
+    # Texts that meet in few places only share a passage as a rule; what these leave out is looked for below. In a large group neighbours are drawn, and meet seldom.
+    beside = beside.where((F.col("c") * OFTEN >= F.col("n")) | (F.col("many") > LARGE)).select("u", "v")
+    links = checkpointed(verified(checkpointed(pairs.union(beside).distinct()), texts, nodes, words))
     parts = checkpointed(connected_components(links))
 
-    # Components with members that share a prefix shingle, and might still be linked.
-    known = shared.select("shingle", "node", "n", "pos").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    held = known.groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("n"))
-    a, b = (held.select("shingle", *[F.col(c).alias(f"{k}_{c}") for c in ("part", "rest", "n")]) for k in "ab")
-    likely = F.least("a_rest", "b_rest") * (NUMERATOR + DENOMINATOR) >= (F.col("a_n") + F.col("b_n")) * NUMERATOR
-    across = checkpointed(a.join(b, "shingle").where("a_part < b_part").where(likely).select("a_part", "b_part").distinct())
+    # Texts with members of a larger component (or one of a smaller number) that might still be linked. Two sets that are similar enough have all but a few of their common
+    # shingles beyond the shorter one of their prefixes, so those within both prefixes must be so many.
+    parts_of = parts.groupBy("component").agg(F.count("*").alias("m"))
+    known = shared.select("shingle", "node", "n").join(parts.join(parts_of, "component"), "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("part"), F.coalesce("m", F.lit(1)).alias("m"))
+    behind = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR).cast("int") - 1
+    held = known.groupBy("shingle", F.col("part").alias("large"), F.col("m").alias("large_m")).agg(F.max(behind("n")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"))
+    larger = (F.col("m") < F.col("large_m")) | ((F.col("m") == F.col("large_m")) & (F.col("part") > F.col("large")))
+    sized = (F.col("low") * NUMERATOR <= F.col("n") * DENOMINATOR) & (F.col("n") * NUMERATOR <= F.col("high") * DENOMINATOR)
+    met = known.join(held, "shingle").where(larger & sized).groupBy("node", "large").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.min("low").alias("low"))
+    enough = (F.col("c") + F.greatest(behind("n"), F.col("rest"))) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
+    across = checkpointed(met.where(enough).select("node", "large"))
     more = checkpointed(bridges(across, texts, nodes, parts, words, block))
 
     parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
