@@ -34,19 +34,20 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) for the pairs a < b of sets (id, block, words) in one block with a Jaccard similarity of `least` and above; exact.
 
     By prefixes: words are ordered from rare to frequent, and two sets that similar share a word among the first
-    size - ceil(least * size) + 1 of each. Sets join on these rare words only, within the size bounds that the similarity
-    gives, and are verified in full. Equal sets should be given once: their pairs are as many as the square of their number.
+    size - ceil(least * size) + 1 of each. Sets join on these rare words only, within the bounds that the similarity
+    gives for their sizes and for the places of the shared word, and are verified in full. Words are known by their ranks. Equal sets should be given once: their pairs are as many as the square of their number.
     """
-    tokens = sets.select("id", F.explode("words").alias("word"))
-    often = tokens.groupBy("word").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    tokens = sets.select("id", "block", F.explode("words").alias("word"))
+    often = tokens.groupBy("word").agg(F.count("*").alias("often")).select("word", F.struct("often", F.xxhash64("word").alias("key"), "word").alias("rank"))
+    ranked = tokens.join(often, "word").groupBy("id", "block").agg(F.array_sort(F.collect_list("rank")).alias("ranked"))
     n = F.size("ranked")
     keep = n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", n.alias("n"), F.explode(F.slice("ranked", 1, keep)).alias("p")).select("id", "n", F.col("p.word").alias("word"))
-    prefix = prefix.join(sets.select("id", "block"), "id")
+    prefix = ranked.select("id", "block", n.alias("n"), F.posexplode(F.slice("ranked", 1, keep)).alias("pos", "p")).select("id", "block", "n", "pos", F.col("p.key").alias("word"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.word") == F.col("b.word")) & F.col("a.block").eqNullSafe(F.col("b.block")) & (F.col("a.id") < F.col("b.id"))
     sizes = (F.col("a.n") >= F.col("b.n") * least - 1e-9) & (F.col("b.n") >= F.col("a.n") * least - 1e-9)
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    sizes = sizes & (rest * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-9)
     pairs = a.join(b, near & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     return pairs.join(x, "a").join(y, "b").withColumn("similarity", T.jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, comparisons, documents, facets, reporting, revisions
+from . import analytics, comparisons, documents, facets, intake, reporting, revisions
 
-PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES)
+PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES, intake.QUERIES)
 
 
 def queries() -> dict:
