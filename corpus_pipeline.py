@@ -6,19 +6,20 @@ spark.checkpoint.dir names and reads it again, so a lost executor repeats no ear
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, mixing, near_copies, toxicity
+from lectern.llm.common import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold stay."""
     model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.with_scores(docs, model, name="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = f"score_{uuid.uuid4().hex}"  # no column of docs has this name
+    return toxicity.with_scores(docs, model, name=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, linked by a Jaccard similarity of five-word shingles of at least 0.8, the document with the smallest doc_id stays; rows without a doc_id stay."""
+    """Of each group of near copies, the document with the smallest doc_id stays; rows without a doc_id stay. SimHash links are the first candidates; a link takes a Jaccard similarity of five-word shingles of at least 0.8."""
     found = near_copies.components(docs)
     gone = found.where("id <> component_id").select(F.col("id").alias("__id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
@@ -51,8 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, applied to all documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
