@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 NOW = "2001-08-02 00:00:00"
-#: An order counts as deleted at its date when it is finished.
-DELETED = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+
+
+def deleted():
+    """An order counts as deleted at its date when it is finished."""
+    return F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+
+
 #: The order of an order's lines; line numbers repeat.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 DELETED_SQL = "CASE WHEN o_orderstatus = 'F' THEN o_orderdate END"
@@ -24,20 +29,20 @@ def nested_orders(spark, d):
 
 
 def soft_delete_filter(spark, d):
-    return table(spark, d, "orders").where(DELETED.isNull()).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return table(spark, d, "orders").where(deleted().isNull()).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 def soft_delete_restore(spark, d):
     """All orders after those above 300,000 were deleted now and urgent ones restored; restoring wins."""
     o = table(spark, d, "orders")
-    after = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None)).when(F.col("o_totalprice") > 300000, F.lit(NOW).cast("timestamp_ntz")).otherwise(DELETED)
+    after = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None)).when(F.col("o_totalprice") > 300000, F.lit(NOW).cast("timestamp_ntz")).otherwise(deleted())
     return o.select("o_orderkey", after.alias("deleted_at"))
 
 
 def null_or_in_set(spark, d):
     """Orders that aren't deleted, or whose user is in the building segment."""
     o, u = table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("mine"))
-    return o.join(u, "o_custkey", "left").where(DELETED.isNull() | F.col("mine")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    return o.join(u, "o_custkey", "left").where(deleted().isNull() | F.col("mine")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
 def section_match(spark, d):
