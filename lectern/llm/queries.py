@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .hnsw import OP8_SQL, op8_embedding_dedup
 from .html_extract import OP10_SQL, op10_html
 from .mixing import op9_mixing
@@ -13,5 +14,8 @@ from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_bpe, op4_toxicity, op5_sharding, op6_token_counts, op7_exact_dedup, op8_embedding_dedup, op9_mixing, op10_html)}
-SQL = {"op7_exact_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_html": OP10_SQL}
+OPERATORS = [
+    op1_simhash, op2_suffix_dedup, op3_bpe, op4_toxicity, op5_sharding, op6_token_counts, op7_exact_dedup, op8_embedding_dedup, op9_mixing, op10_html, op11_hard_negatives,
+]
+QUERIES = {f.__name__: f for f in OPERATORS}
+SQL = {"op7_exact_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_html": OP10_SQL, "op11_hard_negatives": OP11_SQL}
