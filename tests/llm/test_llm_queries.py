@@ -26,7 +26,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
     df, want = queries.QUERIES[name](spark, FOLDER), con.sql(queries.SQL[name])
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
