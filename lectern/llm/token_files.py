@@ -5,8 +5,8 @@ the file's ids (start, stop) and the ids as a list. Ids are dictionary-encoded (
 Row groups and pages are of set sizes and every page has its bounds in the page index, so a reader of some documents, or of a stretch of the corpus' ids, opens the pages that
 hold them, and a reader of metadata never opens the ids.
 
-Texts are encoded by the tokenizer library through their distinct pieces: a cut where white space follows something else is safe for this kind of vocabulary, as
-no pattern of its pre-tokenizer spans it. Long texts are cut there too, into parts of CUT characters.
+Texts are encoded by the tokenizer library through their distinct pieces: a batch's bytes are cut where no pattern of the pre-tokenizer and no special string
+spans the cut, long texts like short ones, and the library sees each distinct piece.
 """
 
 from __future__ import annotations
@@ -21,24 +21,43 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, checkpointed, shared_folder, table
 
-PIECE = re.compile(r"\s*\S+|\s+")
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
-#: White space to Python but not to the pre-tokenizer; texts that hold them aren't cut.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-CUT = 1 << 20
-BATCH_BYTES = 2 << 20
-#: A worker keeps so many pieces, and so many characters of them, for the tasks it runs one after the other; beyond that it begins anew.
-CACHE_PIECES, CACHE_CHARS = 400_000, 8 << 20
+#: Bytes of a batch of texts, which is cut into pieces at once; a longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
+#: A worker keeps so many pieces, and so many bytes of them, for the tasks it runs one after the other; beyond that it keeps those that it has met more than once.
+CACHE_PIECES, CACHE_BYTES = 800_000, 12 << 20
+#: Classes of bytes: ASCII white space, letters and digits, punctuation; the rest belongs to characters beyond ASCII, or controls nothing.
+SPACE, WORD, MARK = 1, 2, 3
+CLASS = np.zeros(256, np.uint8)
+CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+CLASS[[b for b in range(128) if chr(b).isalnum()]] = WORD
+CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = MARK
+#: White space beyond ASCII, by its last bytes.
+WIDE_SPACE = [int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where texts of this kind of vocabulary may be cut: before white space that follows something else, and between an ASCII letter or digit and an ASCII mark."""
+    kind = CLASS[data]
+    left, right = kind[:-1], kind[1:]
+    at = np.flatnonzero(((right == SPACE) & (left != SPACE)) | ((left == WORD) & (right == MARK))) + 1
+    wide = np.flatnonzero(data[at - 1] >= 128)
+    before = at[wide]
+    last = lambda n: data[np.maximum(before - n, 0)].astype(np.int64)
+    two = last(2) << 8 | last(1)
+    keep = np.ones(len(at), bool)
+    keep[wide] = ~np.isin(two, WIDE_SPACE) & ~np.isin(last(3) << 16 | two, WIDE_SPACE)
+    return at[keep]
 
 
 class Encoder:
-    """A vocabulary file with the ids of the pieces met so far. The first piece is the end of a document."""
+    """A vocabulary file with the ids of the pieces met so far."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -47,8 +66,9 @@ class Encoder:
         self.model, self.end_id = Tokenizer.from_file(path), end_id
         self.model.no_truncation()
         self.model.no_padding()
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         ids = lambda *texts: list(chain.from_iterable(self.encode_batch(texts)))
-        self.cuts = all(ids(f"a.{x}b {x}5é\n{x}x") == ids("a.", f"{x}b", f" {x}5é", f"\n{x}x") for x in (" ", "  ", "\t", "\n", "\r\n", " ", "　"))
+        self.cuts = all(ids(f"a.{x}b1&é {x}5é\n{x}x's?") == ids("a", ".", f"{x}b1", "&é", f" {x}5é", f"\n{x}x", "'s", "?") for x in (" ", "  ", "\t", "\n", "\r\n", " \u00a0", " \u3000"))
         self.clear()
 
     def encode_batch(self, texts) -> list[list[int]]:
@@ -56,60 +76,65 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.chars, self.ids, self.ends = 0, np.array([self.end_id], np.int32), np.array([0, 1], np.int64)
-
-    def pieces(self, text: str) -> list[str]:
-        return PIECE.findall(text) if self.cuts and not any(c in text for c in SEPARATORS) else [text] if text else []
-
-    def learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 4096):
-            found = self.encode_batch(new[lo : lo + 4096])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.known.update(zip(new[lo : lo + 4096], range(len(self.ends) - 1, len(self.ends) - 1 + len(found)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.chars += sum(map(len, new))
-
-    def part(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.known) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self.clear()
-        split = [self.pieces(t) for t in texts]
-        self.learn(list(set(chain.from_iterable(split)) - self.known.keys()))
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        starts, lengths = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        ends = np.cumsum(lengths)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-        return np.split(flat, np.concatenate([[0], ends])[np.cumsum(sizes)[:-1]])
-
-    def documents(self, texts: list[str | None]) -> pa.ListArray:
-        """The ids of each text and the end id after them, as one list a text."""
-        found: list[np.ndarray] = []
-        short: list[str] = []
-
-        def flush() -> None:
-            if short:
-                found.extend(self.part(short))
-                short.clear()
-
-        for text in texts:
-            if not text or len(text) <= CUT or not self.cuts or any(c in text for c in SEPARATORS):
-                short.append(text or "")
-                continue
-            flush()
-            own, lo = [], 0
-            while lo < len(text):
-                at = BOUNDARY.search(text, lo + CUT) if lo + CUT < len(text) else None
-                hi = at.start() if at else len(text)
-                own += self.part([text[lo:hi]])
-                lo = hi
-            found.append(np.concatenate(own))
-        flush()
-        end = np.array([self.end_id], np.int32)
-        flat = np.concatenate([x for ids in found for x in (ids, end)]) if found else end[:0]
-        offsets = np.concatenate([[0], np.cumsum([len(ids) + 1 for ids in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        self.bytes, self.ids, self.ends, self.met = 0, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keep the pieces that more than one batch held, none if these are too many as well."""
+        kept = np.flatnonzero(self.met > 1)
+        names = list(self.known)
+        names = [names[i] for i in kept.tolist()]
+        if len(names) > CACHE_PIECES // 2 or (size := sum(map(len, names))) > CACHE_BYTES // 2:
+            return self.clear()
+        sizes = np.diff(self.ends)[kept]
+        self.ids = gathered(self.ids, self.ends[kept], sizes)
+        self.known, self.bytes, self.ends, self.met = {x: i for i, x in enumerate(names)}, size, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(names), np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The place of each of the distinct pieces among the known ones."""
+        if len(self.known) > CACHE_PIECES or self.bytes > CACHE_BYTES:
+            self.shrink()
+        new = [x for x in pieces if x not in self.known]
+        found = self.encode_batch(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.bytes += sum(map(len, new))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.met[at] += 1
+        return at
+
+    def documents(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text and the end id after them, as one list a text; a null text is empty."""
+        texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])  # offsets from 0, without nulls
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+        buffer = texts.buffers()[2] or pa.py_buffer(b"")
+        data = np.frombuffer(buffer, np.uint8)[: ends[-1]]
+        at = safe_cuts(data) if self.cuts and len(data) else np.zeros(0, np.int64)
+        for name in self.special:  # no cut within a special string
+            begin = np.array([m.start() for m in re.finditer(re.escape(name), data)], np.int64)
+            within = np.searchsorted(begin, at, side="left") - 1  # the last that begins before the cut
+            at = at[(within < 0) | (at >= begin[np.maximum(within, 0)] + len(name))] if len(begin) else at
+        places = np.sort(np.concatenate([at, ends]), kind="stable")
+        places = places[np.append(True, np.diff(places) > 0)]
+        cut = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), buffer).dictionary_encode()
+        known = self.numbers(cut.dictionary.to_pylist())[np.asarray(cut.indices)]
+        lengths = self.ends[known + 1] - self.ends[known]
+        flat = gathered(self.ids, self.ends[known], lengths)
+        sums = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(places, ends)]
+        offsets = sums + np.arange(len(ends))
+        out = np.full(offsets[-1], self.end_id, np.int32)
+        inner = np.ones(len(out), bool)
+        inner[offsets[1:] - 1] = False
+        out[inner] = flat
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of values, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +158,7 @@ def write(
         model, context, begin = encoder(vocabulary, end_id), TaskContext.get(), 0
         part = context.partitionId() if context else 0
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            ids = model.documents(batch.column("text").to_pylist())
+            ids = model.documents(batch.column("text"))
             stops = begin + np.asarray(ids.offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("id"), pa.array(stops[:-1]), pa.array(stops[1:]), ids], schema=schema)
             begin = int(stops[-1])

@@ -6,6 +6,7 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -33,19 +34,24 @@ def test_op13_equals_library(spark, library):
     assert sorted(tuple(r) for r in tf.op13_token_files(spark, FOLDER).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == expected
 
 
-def test_random_texts_and_long_ones(library, monkeypatch):
-    monkeypatch.setattr(tf, "CUT", 50)
+def test_random_texts(library):
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice(["a", "B", " ", "  ", "\n", ".", "'s", "7", "é", "漢", "\t", "<|endoftext|>", " ", "　", "​", "-"]) for _ in range(rng.randrange(300))) for _ in range(400)]
-    got = tf.Encoder(tf.default_vocabulary(), 0).documents(texts).to_pylist()
-    assert got == want(library, texts)
+    texts = ODD + ["".join(rng.choice(["a", "B", " ", "  ", "\n", ".", "'s", "7", "é", "漢", "\t", "<|endoftext|>", " ", "　", "\u200b", "\u2003", "\x85", "\x1c", "\x00", "<|", "|>", "&", "-"]) for _ in range(rng.randrange(300))) for _ in range(400)]
+    model, given = tf.Encoder(tf.default_vocabulary(), 0), pa.array(texts, pa.string())
+    assert model.cuts and model.documents(given).to_pylist() == want(library, texts)
+    assert model.documents(given[7:90]).to_pylist() == want(library, texts[7:90])
+    assert model.documents(given[:0]).to_pylist() == []
+    long = "".join(t or "" for t in texts) * 20
+    assert model.documents(pa.array([long, None, long])).to_pylist() == want(library, [long, None, long])
 
 
 def test_cache_begins_anew(library, monkeypatch):
     monkeypatch.setattr(tf, "CACHE_PIECES", 3)
     model = tf.Encoder(tf.default_vocabulary(), 0)
     for texts in (["a b c d e"], ["a b x y"], ["c d e f"]):
-        assert model.documents(texts).to_pylist() == want(library, texts)
+        assert model.documents(pa.array(texts, pa.string())).to_pylist() == want(library, texts)
+    for texts in ([" a b a b"] * 3, ["a c a"], ["a b"]):
+        assert model.documents(pa.array(texts)).to_pylist() == want(library, texts)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
