@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, checkpointed, shared_folder, table
 
 #: Bytes of a batch of texts, which is cut into pieces at once; a longer text is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: A worker keeps so many pieces, and so many bytes of them, for the tasks it runs one after the other; beyond that it keeps those that it has met more than once.
-CACHE_PIECES, CACHE_BYTES = 800_000, 12 << 20
+CACHE_PIECES, CACHE_BYTES = 500_000, 8 << 20
 #: Classes of bytes: ASCII white space, letters and digits, punctuation; the rest belongs to characters beyond ASCII, or controls nothing.
 SPACE, WORD, MARK = 1, 2, 3
 CLASS = np.zeros(256, np.uint8)
@@ -94,10 +94,13 @@ class Encoder:
         if len(self.known) > CACHE_PIECES or self.bytes > CACHE_BYTES:
             self.shrink()
         new = [x for x in pieces if x not in self.known]
-        found = self.encode_batch(new)
+        ids, lengths = [self.ids], [np.zeros(0, np.int64)]
+        for lo in range(0, len(new), 4096):  # what the library returns for a piece takes many times its bytes
+            found = self.encode_batch(new[lo : lo + 4096])
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.ids, sizes = np.concatenate(ids), np.concatenate(lengths)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
         self.bytes += sum(map(len, new))
