@@ -66,7 +66,9 @@ class Encoder:
         self.model, self.end_id = Tokenizer.from_file(path), end_id
         self.model.no_truncation()
         self.model.no_padding()
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        added = self.model.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        self.separator = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
         ids = lambda *texts: list(chain.from_iterable(self.encode_batch(texts)))
         self.cuts = all(ids(f"a.{x}b1&é {x}5é\n{x}x's?") == ids("a", ".", f"{x}b1", "&é", f" {x}5é", f"\n{x}x", "'s", "?") for x in (" ", "  ", "\t", "\n", "\r\n", " \u00a0", " \u3000"))
         self.clear()
@@ -74,6 +76,18 @@ class Encoder:
     def encode_batch(self, texts) -> list[list[int]]:
         return [x.ids for x in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pieces. A special string, which nothing spans, stands between pieces without special strings, so that one call encodes many."""
+        name, sign = self.separator or ("", -1)
+        joined = name.join([*pieces, ""]) if name else ""
+        if joined.count(name) != len(pieces) or any(x.decode() in joined for x in self.special if x.decode() != name) or not name:
+            found = self.encode_batch(pieces)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
+        ids = np.array(self.encode_batch([joined])[0], np.int32)
+        ends = np.flatnonzero(ids == sign)
+        return ids[ids != sign], np.diff(ends, prepend=-1) - 1
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.bytes, self.ids, self.ends, self.met = 0, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -95,10 +109,10 @@ class Encoder:
             self.shrink()
         new = [x for x in pieces if x not in self.known]
         ids, lengths = [self.ids], [np.zeros(0, np.int64)]
-        for lo in range(0, len(new), 4096):  # what the library returns for a piece takes many times its bytes
-            found = self.encode_batch(new[lo : lo + 4096])
-            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
+        for lo in range(0, len(new), 512):  # what the library returns for a piece takes many times its bytes
+            found, sizes = self.encode_pieces(new[lo : lo + 512])
+            ids.append(found)
+            lengths.append(sizes)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.ids, sizes = np.concatenate(ids), np.concatenate(lengths)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
@@ -123,8 +137,9 @@ class Encoder:
         places = places[np.append(True, np.diff(places) > 0)]
         cut = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), buffer).dictionary_encode()
         known = self.numbers(cut.dictionary.to_pylist())[np.asarray(cut.indices)]
-        lengths = self.ends[known + 1] - self.ends[known]
-        flat = gathered(self.ids, self.ends[known], lengths)
+        starts = self.ends[known]
+        lengths = self.ends[known + 1] - starts
+        flat = gathered(self.ids, starts, lengths)
         sums = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(places, ends)]
         offsets = sums + np.arange(len(ends))
         out = np.full(offsets[-1], self.end_id, np.int32)
