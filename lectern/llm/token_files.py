@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, checkpointed, shared_folder, table
 
 #: Bytes of a batch of texts, which is cut into pieces at once; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A worker keeps so many pieces, and so many bytes of them, for the tasks it runs one after the other; beyond that it keeps those that it has met more than once.
-CACHE_PIECES, CACHE_BYTES = 500_000, 8 << 20
+CACHE_PIECES, CACHE_BYTES = 300_000, 5 << 20
 #: Classes of bytes: ASCII white space, letters and digits, punctuation; the rest belongs to characters beyond ASCII, or controls nothing.
 SPACE, WORD, MARK = 1, 2, 3
 CLASS = np.zeros(256, np.uint8)
@@ -152,7 +152,9 @@ class Encoder:
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of values, one after the other."""
     ends = np.cumsum(lengths)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32 if len(values) < 1 << 30 else np.int64)
+    at += np.repeat((starts - (ends - lengths)).astype(at.dtype), lengths)
+    return values[at]
 
 
 @lru_cache(maxsize=2)
