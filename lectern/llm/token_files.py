@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, checkpointed, shared_folder, table
 
 #: Bytes of a batch of texts, which is cut into pieces at once; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: A worker keeps so many pieces, and so many bytes of them, for the tasks it runs one after the other; beyond that it keeps those that it has met more than once.
-CACHE_PIECES, CACHE_BYTES = 300_000, 5 << 20
+CACHE_PIECES, CACHE_BYTES = 400_000, 7 << 20
 #: Classes of bytes: ASCII white space, letters and digits, punctuation; the rest belongs to characters beyond ASCII, or controls nothing.
 SPACE, WORD, MARK = 1, 2, 3
 CLASS = np.zeros(256, np.uint8)
