@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,3 +67,15 @@ def day_series(events: DataFrame, ts: str, now: str, days: int, measures: dict[s
     counted = events.withColumn("age", age).where((F.col("age") >= 0) & (F.col("age") < days)).groupBy("age").agg(*[F.count_if(c).alias(n) for n, c in measures.items()])
     spine = events.sparkSession.range(days).select(F.col("id").alias("age"))
     return spine.join(F.broadcast(counted), "age", "left").select("age", *[F.coalesce(n, F.lit(0)).alias(n) for n in measures])
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once and read from then on: a reliable checkpoint in the folder that spark.checkpoint.dir names. Where none is named, local mode takes a temporary one, and a cluster an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return df.checkpoint(eager=True)

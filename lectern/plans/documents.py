@@ -100,7 +100,7 @@ def trigram_neighbours(spark, d):
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), T.rounded(F.col("similarity")).alias("similarity"))
 
 
-def _near(spark, d):
+def near_documents(spark, d):
     """Different documents of one language with a word similarity of 0.8 and above; of equal word sets the smallest id stands for all."""
     x = table(spark, d, "documents").select("doc_id", F.col("lang").alias("block"), F.array_sort(T.words(F.coalesce("text", F.lit("")))).alias("words")).where(F.size("words") > 0)
     sets = x.groupBy("block", "words").agg(F.min("doc_id").alias("id"))
@@ -108,13 +108,13 @@ def _near(spark, d):
 
 
 def similar_documents(spark, d):
-    return _near(spark, d).select("a", "b", T.rounded(F.col("similarity")).alias("similarity"))
+    return near_documents(spark, d).select("a", "b", T.rounded(F.col("similarity")).alias("similarity"))
 
 
 def document_changes(spark, d):
     """Word-level changes between similar documents by kind."""
     texts = table(spark, d, "documents").select("doc_id", "text")
-    pairs = _near(spark, d).select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    pairs = near_documents(spark, d).select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     return D.word_differences(pairs).groupBy("a", "b").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("add", "del", "mod")])
 
 

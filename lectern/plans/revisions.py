@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
+from ..functions import text as T
 from ..operators import alignment as A
+from ..operators import differences as B
+from ..operators import relational as R
+from ..operators.suppression import AMENDMENT, MARK_WORD, OUTLINE, suppression
 from ..sources import xml as X
 from ..sources.tables import table
 from .comparisons import LABELS_SQL, labels_of_parts
+from .documents import near_documents
 
 
 def versions(spark, d) -> DataFrame:
@@ -21,37 +26,94 @@ def versions(spark, d) -> DataFrame:
 
 
 def sentence_alignment(spark, d):
-    """Aligned sentences of both versions, and those that only one has."""
+    """Aligned sentences of both versions by the assignment with the largest sum of character ratios, and those that only one has."""
     return A.align(versions(spark, d), "doc_id", "old", "new").select(F.col("id").alias("doc_id"), "a", "b", F.round("similarity", 6).alias("similarity"), A.kind().alias("kind"))
 
 
 def document_comparison(spark, d):
+    """Sentences and words changed between both versions of each document."""
     return A.compared(A.align(versions(spark, d), "doc_id", "old", "new")).withColumnRenamed("id", "doc_id")
 
 
+def word_diff(spark, d):
+    """Word differences of both versions of each document: how many words each has, their digest as rebuilt from the runs, the changed words, and whether the change is meaningful."""
+    x = B.word_differences(versions(spark, d))
+    side = lambda op: F.md5(F.array_join(F.flatten(F.transform(F.filter("runs", lambda r: r["op"].isin("equal", op)), lambda r: r["words"])), " "))
+    sizes = [F.size(c).alias(c) for c in ("runs", "words_removed", "words_added", "words_modified")]
+    return x.select("doc_id", "old_words", "new_words", "common", *sizes, side("delete").alias("old_md5"), side("insert").alias("new_md5"), "change_ratio", "meaningful")
+
+
+def line_versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Old and new (pair, no, line, key): the lines of near copies among the documents. A pair is known by the hash of its two ids."""
+    pairs = R.kept(near_documents(spark, d).select("a", "b", F.xxhash64("a", "b").alias("pair")))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line")).withColumn("no", F.col("no").cast("long"))
+    side = lambda c: pairs.select("pair", F.col(c).alias("doc_id")).join(lines, "doc_id").select("pair", "no", "line", T.comparison_key(F.col("line")).alias("key"))
+    return side("a"), side("b")
+
+
+def block_diff(spark, d):
+    """Runs of equal, deleted, inserted and replaced lines between near copies."""
+    old, new = line_versions(spark, d)
+    return B.block_runs(old, new, B.matched_blocks(old, new)).select("pair", "op", "a", "a2", "b", "b2")
+
+
+def block_changes(spark, d):
+    """Lines of near copies that are equal, modified, deleted or added, by pair."""
+    x = B.block_changes(*line_versions(spark, d))
+    return x.groupBy("pair").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("equal", "mod", "del", "add")], F.round(F.min(F.when(F.col("kind") == "mod", F.col("similarity"))), 6).alias("least_similarity"))
+
+
+def ordered_matches(spark, d):
+    """Sections (of 500 characters) of both versions of each document, matched in their order with the largest sum of word similarities."""
+    parts = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / 500).cast("int")), lambda i: F.substring(F.col(c), i * 500 + 1, F.lit(500)))
+    side = lambda c, no: versions(spark, d).select("doc_id", F.posexplode(parts(c)).alias(no, "t")).select(F.col("doc_id").alias("id"), no, T.words(F.col("t")).alias(f"words_{no}"))
+    score = T.jaccard(F.col("words_a"), F.col("words_b"))
+    near = side("old", "a").join(side("new", "b"), "id").where(F.abs(F.col("a") - F.col("b")) <= 8).select("id", "a", "b", score.alias("similarity")).where("similarity > 0.03")
+    return A.in_order(near).select(F.col("id").alias("doc_id"), "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def edited_lines(spark, d) -> DataFrame:
-    """(p_partkey, a, b): provision lines and an edit of each, by the part's size."""
-    line = F.col("line")
-    edits = [line, F.replace(line, F.lit(" "), F.lit("  ")), F.concat(line, F.lit(".")), F.lower(line), F.concat(F.lit("[F12] "), line), F.concat(F.lit("(a) "), line), F.concat(line, F.lit(" as amended")), F.regexp_replace(line, "[0-9]+", "7")]
+    """(p_partkey, a, b): provision lines and an edit of each, by the part's price."""
+    line, low = F.col("line"), F.lower("line")
+    words = F.split(line, " ")
+    edits = [
+        line, F.replace(line, F.lit(" "), F.lit("  ")), F.concat(line, F.lit(".")), F.initcap(line), F.upper(line), F.concat(F.lit("[F12] "), line), F.concat(F.lit("(a) "), line), F.concat(line, F.lit(" as amended")),
+        F.regexp_replace(line, "[0-9]+", "7"), F.concat(F.lit("F350 "), low), F.array_join(F.reverse(words), " "), F.regexp_replace(line, "a", "e"), F.concat(F.substring(line, 1, 3), F.lit(" "), F.substring(line, 4, 500)), F.substring(line, 1, 20),
+    ]
     x = labels_of_parts(spark, d).join(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey")
     nth = (F.floor("p_retailprice") % len(edits)).cast("int")
     return x.select("p_partkey", line.alias("a"), F.element_at(F.array(*edits), nth + 1).alias("b"))
 
 
-EDITED_SQL = f"""(SELECT p_partkey, line AS a, [line, replace(line, ' ', '  '), line || '.', lower(line), '[F12] ' || line, '(a) ' || line, line || ' as amended', regexp_replace(line, '[0-9]+', '7', 'g')]
-  [floor(p_retailprice)::INT % 8 + 1] AS b FROM {LABELS_SQL} JOIN part USING (p_partkey))"""
+EDITED_SQL = f"""(SELECT p_partkey, line AS a, [line, replace(line, ' ', '  '), line || '.', array_to_string(list_transform(string_split(line, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' '), upper(line), '[F12] ' || line, '(a) ' || line, line || ' as amended',
+  regexp_replace(line, '[0-9]+', '7', 'g'), 'F350 ' || lower(line), array_to_string(list_reverse(string_split(line, ' ')), ' '), replace(line, 'a', 'e'), left(line, 3) || ' ' || substr(line, 4), left(line, 20)]
+  [floor(p_retailprice)::INT % 14 + 1] AS b FROM {LABELS_SQL} JOIN part USING (p_partkey))"""
 
 
 def suppression_flags(spark, d):
-    """Each edit with the first rule that suppresses it."""
-    return edited_lines(spark, d).select("p_partkey", A.suppression(F.col("a"), F.col("b")).alias("reason"))
+    """Each edit with the first rule that suppresses it; null where the change is shown."""
+    return edited_lines(spark, d).select("p_partkey", suppression(F.col("a"), F.col("b")).alias("reason"))
 
 
 def number_modifications(spark, d):
-    """Names and prices of each brand's parts as deletions, those of the next size as additions: pairs that differ in numbers only become modifications."""
-    p = table(spark, d, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_type", F.lit("No."), F.col("p_size").cast("string")).alias("old"), F.concat_ws(" ", "p_type", F.lit("No."), (F.col("p_size") + 1).cast("string"), F.when(F.col("p_size") > 40, "repealed")).alias("new"))
-    changes = p.select("p_brand", "p_partkey", F.explode(F.array(F.struct(F.lit("del").alias("kind"), F.col("old").alias("line")), F.struct(F.lit("add").alias("kind"), F.col("new").alias("line")))).alias("x")).select("p_brand", "p_partkey", "x.*")
-    return A.modified_numbers(changes, ["p_brand"], ["p_partkey"]).groupBy("p_brand", "kind").agg(F.count("*").alias("n"))
+    """Provision lines of each brand's parts as deletions, those of the next size, some of them reworded, as additions: pairs that are likely one modification, by how they rank."""
+    x = labels_of_parts(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey")
+    no = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    old = F.concat_ws(" ", "p_type", F.lit("No."), F.col("p_size").cast("string"), "line")
+    new = F.concat_ws(" ", "p_type", F.when(F.col("p_size") > 40, "of the schedule"), F.lit("No."), F.when(F.col("p_size") % 4 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).cast("string"), "line")
+    both = F.array(F.struct(F.lit("del").alias("kind"), old.alias("line")), F.struct(F.lit("add").alias("kind"), new.alias("line")))
+    changes = x.withColumn("no", no).select("p_brand", "no", F.explode(both).alias("x")).select("p_brand", "no", "x.*")
+    found = A.likely_changes(changes, ["p_brand"], "no")
+    return found.select("p_brand", "a", "b", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+def modified_pairs(spark, d):
+    """Lines of near copies that only one of them has: pairs of a deletion and an addition that become one modification, and the rest, by kind."""
+    old, new = line_versions(spark, d)
+    runs = B.block_runs(old, new, B.matched_blocks(old, new)).where("op <> 'equal'")
+    side = lambda x, kind, lo, hi: runs.select("pair", F.explode(F.when(F.col(hi) > F.col(lo), F.sequence(lo, F.col(hi) - 1))).alias("no")).join(x, ["pair", "no"]).select("pair", "no", F.lit(kind).alias("kind"), "line")
+    changes = side(old, "del", "a", "a2").union(side(new, "add", "b", "b2"))
+    return A.modified_lines(changes, ["pair"], "no").groupBy("pair", "kind").agg(F.count("*").alias("n"))
 
 
 #: The order of an order's lines; line numbers repeat.
@@ -118,15 +180,37 @@ def link_crawl(spark, d, depth: int = 5, children: int = 10):
 
 _ORDER = ", ".join(LINE_ORDER)
 _KEY = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-_SCAFFOLD = lambda x: f"regexp_replace({_KEY(x)}, '[0-9]+', '#', 'g')"
 _NOISE = lambda x: rf"((length({x}) - length(replace({x}, '.', '')) >= 6 AND (length({x}) - length(replace({x}, '.', ''))) * 2 >= length({x}) AND NOT regexp_matches(trim({x}), '^\[?[A-Z]{{1,2}}[0-9]+[A-Z]?\]?')) OR regexp_matches(trim({x}), '^(page )?[0-9]{{1,4}}$'))"
-_RULES = [
-    ("same", lambda x: x), ("space", lambda x: rf"regexp_replace({x}, '\s+', '', 'g')"), ("punctuation", lambda x: rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"),
-    ("case", lambda x: rf"lower(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"), ("marker", lambda x: rf"trim(regexp_replace(regexp_replace({x}, '\[[A-Z]{{1,2}}[0-9]+[A-Z]?\]', ' ', 'g'), ' +', ' ', 'g'))"),
-    ("marker_spacing", lambda x: rf"regexp_replace({x}, '\b([CFIPXME]) ?([0-9]+) ?([A-Z]?)\b', '\1\2\3', 'g')"),
-    ("anchor", lambda x: rf"trim(regexp_replace(trim(regexp_replace(lower({x}), '\s+', ' ', 'g')), '^(?: *{C.MARKER} *){{1,4}}', ''))"),
-    ("reflow", lambda x: f"array_to_string(list_sort(string_split({_KEY(x)}, ' ')), ' ')"), ("numbers", _SCAFFOLD),
+#: Columns of a line x of the oracle of the suppression rules, each over those before it.
+_LINE = [
+    ("bare", lambda x: rf"regexp_replace({x}, '\s+', '', 'g')"), ("plain", lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"), ("letters", lambda x: f"regexp_replace({x}, '[^A-Za-z]', '', 'g')"),
+    ("k", lambda x: rf"lower(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '\b([CFIPXME]) ?([0-9]+) ?([A-Z]?)\b', '\1\2\3', 'g'))"),
+    ("content", lambda x: rf"lower(regexp_replace(trim(regexp_replace(regexp_replace({x}, '\[[A-Z]{{1,2}}[0-9]+[A-Z]?\]', ' ', 'g'), '\s+', ' ', 'g')), '\b([CFIPXME]) ?([0-9]+) ?([A-Z]?)\b', '\1\2\3', 'g'))"),
+    ("bottom", lambda x: rf"trim(regexp_replace(trim(regexp_replace(lower({x}), '\s+', ' ', 'g')), '^(?: *{C.MARKER} *){{1,4}}', ''))"), ("sign", lambda x: f"regexp_replace(lower({x}), '[^a-z]+', '', 'g')"),
+]
+_FROM_KEY = [
+    ("label", lambda k: rf"regexp_replace({k}, '{AMENDMENT}', '')"), ("tight", lambda k: rf"regexp_replace(regexp_replace({k}, '[ \t]+([,)\]])', '\1', 'g'), '([\[(])[ \t]+', '\1', 'g')"), ("outline", lambda k: f"regexp_extract({k}, '{OUTLINE}')"),
+    ("marks", lambda k: rf"trim(regexp_replace({k}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"), ("w", lambda k: f"string_split({k}, ' ')"), ("bag", lambda k: f"list_sort(string_split({k}, ' '))"), ("nums", lambda k: rf"list_sort(list_distinct(regexp_extract_all({k}, '\d+[a-z]?')))"),
+    ("cw", lambda k: "list_filter(list_distinct(string_split(" + _KEY(k) + ", ' ')), lambda w: len(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], w))"),
 ]
+_RATIO = lambda a, b: f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+_OVERLAP = "(CASE WHEN len(list_distinct(list_concat(a_cw, b_cw))) = 0 THEN 1.0 ELSE len(list_intersect(a_cw, b_cw))::DOUBLE / len(list_distinct(list_concat(a_cw, b_cw))) END)"
+_WORD = lambda w: f"(length(regexp_replace({w}, '[^a-z0-9]', '', 'g')) >= 4 AND regexp_matches({w}, '[a-z]'))"
+_MARK = lambda w: f"regexp_matches(regexp_replace({w}, '^[^a-z0-9()]+|[^a-z0-9()]+$', '', 'g'), '{MARK_WORD}')"
+_CASE = "lower(a_bare) = lower(b_bare) AND len(string_split(a_plain, ' ')) = len(string_split(b_plain, ' '))"
+_SUPPRESSION = f"""WITH e AS (SELECT p_partkey, a, b, {", ".join(f"{f(x)} AS {x}_{n}" for n, f in _LINE for x in "ab")} FROM {EDITED_SQL}),
+  k AS (SELECT *, {", ".join(f"{f(x + '_k')} AS {x}_{n}" for n, f in _FROM_KEY for x in "ab")} FROM e),
+  s AS (SELECT *, greatest({_RATIO("a_k", "b_k")}, {_RATIO("array_to_string(a_bag, ' ')", "array_to_string(b_bag, ' ')")}) AS sim, {_OVERLAP} AS over, CASE WHEN length(a_k) <= length(b_k) THEN a_k ELSE b_k END AS s_k, CASE WHEN length(a_k) <= length(b_k) THEN b_k ELSE a_k END AS l_k,
+    CASE WHEN length(a_k) <= length(b_k) THEN a_nums ELSE b_nums END AS s_nums, CASE WHEN length(a_k) <= length(b_k) THEN b_nums ELSE a_nums END AS l_nums,
+    CASE WHEN len(a_w) = len(b_w) THEN list_filter(range(1, len(a_w) + 1), lambda i: a_w[i] <> b_w[i]) END AS differ FROM k)
+  SELECT p_partkey, nullif(CASE WHEN {_NOISE("a")} AND {_NOISE("b")} THEN 'noise' WHEN a = b THEN 'same' WHEN a_bare = b_bare THEN 'space'
+    WHEN {_CASE} AND NOT (a_letters = upper(a_letters) OR b_letters = upper(b_letters)) THEN 'shown' WHEN {_CASE} THEN 'capitals' WHEN lower(a_bare) = lower(b_bare) THEN 'space' WHEN a_k = b_k THEN 'format'
+    WHEN len(a_w) >= 4 AND len(differ) BETWEEN 1 AND 2 AND len(list_filter(differ, lambda i: ({_WORD("a_w[i]")} AND {_WORD("b_w[i]")} AND regexp_replace(a_w[i], '[^a-z0-9]', '', 'g') <> regexp_replace(b_w[i], '[^a-z0-9]', '', 'g')) OR ({_MARK("a_w[i]")} AND {_MARK("b_w[i]")}))) > 0 THEN 'shown'
+    WHEN a_label <> '' AND a_label = b_label THEN 'label' WHEN a_content <> '' AND a_content = b_content THEN 'marker' WHEN a_bottom <> '' AND a_bottom = b_bottom THEN 'anchor' WHEN a_tight = b_tight THEN 'citation'
+    WHEN a_outline <> b_outline THEN 'shown' WHEN a_marks = b_marks THEN 'punctuation' WHEN a_bag = b_bag THEN 'reflow'
+    WHEN length(s_k) >= 6 AND contains(l_k, s_k) AND len(list_filter(s_nums, lambda n: NOT list_contains(l_nums, n))) = 0 AND sim >= 0.70 THEN 'cut'
+    WHEN a_nums = b_nums AND ((sim >= 0.92 AND over >= 0.95) OR (sim >= 0.82 AND over >= 0.92)) THEN 'near'
+    WHEN a_sign <> '' AND a_sign = b_sign AND len(list_intersect(a_nums, b_nums)) = least(len(a_nums), len(b_nums)) THEN 'signature' END, 'shown') AS reason FROM s"""
 _OLD = f"(SELECT l_orderkey, l_partkey, l_returnflag, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem)"
 _NEW = f"(SELECT l_orderkey, l_partkey, l_returnflag, CASE WHEN l_quantity < 5 THEN l_quantity::INT * 2 ELSE l_quantity::INT END AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem WHERE l_quantity <= 45)"
 _BOTH = f"(SELECT coalesce(a.l_orderkey, b.l_orderkey) AS k, a.l_partkey AS pa, b.l_partkey AS pb, a.q AS qa, b.q AS qb, a.l_returnflag AS fa, b.l_returnflag AS fb FROM {_OLD} a FULL JOIN {_NEW} b ON a.l_orderkey = b.l_orderkey AND a.rn = b.rn)"
@@ -134,13 +218,13 @@ _BOTH = f"(SELECT coalesce(a.l_orderkey, b.l_orderkey) AS k, a.l_partkey AS pa,
 QUERIES = {
     "sentence_alignment": (sentence_alignment, None),
     "document_comparison": (document_comparison, None),
-    "suppression_flags": (suppression_flags, f"SELECT p_partkey, CASE WHEN {_NOISE('a')} AND {_NOISE('b')} THEN 'noise' " + " ".join(f"WHEN {f('a')} = {f('b')} THEN '{n}'" for n, f in _RULES) + f" END AS reason FROM {EDITED_SQL}"),
-    "number_modifications": (number_modifications, """WITH c AS (SELECT p_brand, p_partkey, 'del' AS kind, p_type || ' No. ' || p_size AS line FROM part
-          UNION ALL SELECT p_brand, p_partkey, 'add', p_type || ' No. ' || (p_size + 1) || CASE WHEN p_size > 40 THEN ' repealed' ELSE '' END FROM part),
-        s AS (SELECT *, """ + _SCAFFOLD("line") + """ AS s FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, kind, s ORDER BY p_partkey) AS nth FROM s),
-        m AS (SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, CASE WHEN b.kind IS NULL THEN 'del' WHEN a.kind IS NULL THEN 'add' ELSE 'mod' END AS kind
-          FROM (SELECT * FROM n WHERE kind = 'del') a FULL JOIN (SELECT * FROM n WHERE kind = 'add') b ON a.p_brand = b.p_brand AND a.s = b.s AND a.nth = b.nth)
-        SELECT p_brand, kind, count(*) AS n FROM m GROUP BY 1, 2"""),
+    "word_diff": (word_diff, None),
+    "block_diff": (block_diff, None),
+    "block_changes": (block_changes, None),
+    "ordered_matches": (ordered_matches, None),
+    "suppression_flags": (suppression_flags, _SUPPRESSION),
+    "number_modifications": (number_modifications, None),
+    "modified_pairs": (modified_pairs, None),
     "xml_compare": (xml_compare, f"""WITH l AS (SELECT k, sum(CASE WHEN pa IS NULL THEN 3 ELSE 0 END) AS additions, sum(CASE WHEN pb IS NULL THEN 3 ELSE 0 END) AS removals,
           sum((qa <> qb)::INT + (fa <> fb)::INT) AS modifications, sum((pa <> pb)::INT) AS mismatches,
           sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 3 - (qa <> qb)::INT - (fa <> fb)::INT - (pa <> pb)::INT ELSE 0 END) AS same FROM {_BOTH} GROUP BY 1)
