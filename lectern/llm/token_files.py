@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, checkpointed, shared_folder, table
 
 #: Bytes of a batch of texts, which is cut into pieces at once; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: A worker keeps so many pieces, and so many bytes of them, for the tasks it runs one after the other; beyond that it keeps those that it has met more than once.
 CACHE_PIECES, CACHE_BYTES = 400_000, 7 << 20
 #: Classes of bytes: ASCII white space, letters and digits, punctuation; the rest belongs to characters beyond ASCII, or controls nothing.
@@ -163,7 +163,7 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 
 def write(
-    docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 256
+    docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 256, compression: str = "snappy"
 ) -> None:
     """Encode docs and write `folder`: part, doc_id, start, stop, ids by ascending doc_id, the parts in order of their number.
 
@@ -189,7 +189,7 @@ def write(
     out = laid.mapInArrow(run, "part int, doc_id long, start long, stop long, ids array<int>").write
     for k, v in {"block.size": row_group_bytes, "page.size": page_bytes, "page.row.count.limit": page_rows, "writer.version": "v2", "enable.dictionary": "false", "enable.dictionary#ids.list.element": str(encoding == "dictionary").lower()}.items():
         out = out.option(f"parquet.{k}", v)
-    out.option("compression", "zstd").parquet(folder)
+    out.option("compression", compression).parquet(folder)
 
 
 def begins(files: DataFrame) -> DataFrame:
