@@ -138,7 +138,21 @@ def csv_field(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit('[,"\n\r]')), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
+#: Roman digits.
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+
+
+def roman(numeral: Column) -> Column:
+    """The value of a Roman numeral in either case: a digit before a larger one is taken off."""
+    value = F.create_map(*[F.lit(x) for item in ROMAN.items() for x in item])
+    digits = F.transform(F.filter(F.split(F.upper(numeral), ""), lambda c: c != ""), lambda c: value[c])
+    each = F.transform(digits, lambda v, i: F.when(v < F.coalesce(F.get(digits, i + 1), F.lit(0)), -v).otherwise(v))
+    return F.aggregate(each, F.lit(0), lambda a, v: a + v)
+
+
 def ordinal_key(label: Column) -> Column:
-    """4B is 402, 4 is 400; a billion for what has no number."""
-    number, letter = F.regexp_extract(label, r"^([0-9]{1,6})", 1), F.upper(F.regexp_extract(label, r"^[0-9]+([A-Za-z])$", 1))
-    return F.when(number == "", F.lit(1_000_000_000)).otherwise(number.try_cast("int") * 100 + F.when(letter == "", 0).otherwise(F.ascii(letter) - 64))
+    """4B is 402, 4 is 400, Part IV is 400 as well: a hundred times the first number, with the letter behind it, or the last word that is a Roman numeral; a billion for what has neither. Numbers of ten digits and more have neither, as a long text has no place among labels."""
+    number, letter = F.regexp_extract(label, r"([0-9]+)", 1), F.upper(F.regexp_extract(label, r"^[^0-9]*[0-9]+([A-Za-z])(?:[^A-Za-z]|$)", 1))
+    numeral = F.regexp_extract(F.trim(label), r"(?:^|\s)([IVXLCDMivxlcdm]+)[.,;:]*$", 1)
+    arabic = F.when(F.length(number) <= 9, number.try_cast("long") * 100 + F.when(letter == "", 0).otherwise(F.ascii(letter) - 64))
+    return F.coalesce(arabic, F.when((number == "") & (numeral != ""), roman(numeral).cast("long") * 100), F.lit(1_000_000_000).cast("long"))

@@ -73,7 +73,7 @@ LABELS_SQL = """(SELECT p_partkey, replace((['Part {n} ', 'Chapter {n} ', 'Sched
 def provision_lines(spark, d):
     """Provision lines without markers and anchors, their ordinal, and markers put together."""
     line = F.col("line")
-    return labels_of_parts(spark, d).select("p_partkey", C.content_only(line).alias("content"), C.without_anchors(line).alias("bare"), C.compact_markers(line).alias("compact"), C.ordinal_key(F.split(line, " ")[0]).alias("ordinal"))
+    return labels_of_parts(spark, d).select("p_partkey", C.content_only(line).alias("content"), C.without_anchors(line).alias("bare"), C.compact_markers(line).alias("compact"), C.ordinal_key(F.substring_index(line, " ", 2)).alias("ordinal"))
 
 
 def provision_anchors(spark, d):
@@ -200,10 +200,10 @@ QUERIES = {
         SELECT doc_id, count(*) FILTER (WHERE len(list_intersect(x, y)) = least(len(x), len(y))) AS matching, count(*) AS n FROM p WHERE x IS NOT NULL GROUP BY 1"""),
     "difference_kinds": (difference_kinds, f"""WITH p AS (SELECT *, CASE WHEN turn % 2 = 0 THEN replace(b, '.', '') ELSE lower(b) END AS e FROM {PAIRS_SQL})
         SELECT conv_id, turn, {_DIFF('b', 'e')} AS edited, {_DIFF('a', 'b')} AS before, {_BAG('b')} = {_BAG('e')} AS reflowed, md5(regexp_replace(lower(b), '[^a-z]+', '', 'g')) AS signature FROM p"""),
-    "provision_lines": (provision_lines, rf"""SELECT p_partkey, trim(regexp_replace(regexp_replace(line, '\[[A-Z]{{1,2}}[0-9]+[A-Z]?\]', ' ', 'g'), ' +', ' ', 'g')) AS content,
+    "provision_lines": (provision_lines, rf"""SELECT * EXCLUDE (digits) FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(line, '\[[A-Z]{{1,2}}[0-9]+[A-Z]?\]', ' ', 'g'), ' +', ' ', 'g')) AS content,
         trim(regexp_replace({_NORM('lower(line)')}, '^(?: *{C.MARKER} *){{1,4}}', '')) AS bare, regexp_replace(line, '\b([CFIPXME]) ?([0-9]+) ?([A-Z]?)\b', '\1\2\3', 'g') AS compact,
-        CASE WHEN regexp_extract(string_split(line, ' ')[1], '^([0-9]{{1,6}})', 1) = '' THEN 1000000000 ELSE regexp_extract(string_split(line, ' ')[1], '^([0-9]{{1,6}})', 1)::INT * 100
-          + CASE WHEN regexp_extract(string_split(line, ' ')[1], '^[0-9]+([A-Za-z])$', 1) = '' THEN 0 ELSE ascii(upper(regexp_extract(string_split(line, ' ')[1], '^[0-9]+([A-Za-z])$', 1))) - 64 END END AS ordinal FROM {LABELS_SQL}"""),
+        coalesce(regexp_extract(array_to_string(string_split(line, ' ')[1:2], ' '), '([0-9]+)', 1), '') AS digits, CASE WHEN digits = '' THEN 1000000000 ELSE digits::BIGINT * 100
+          + coalesce(ascii(nullif(upper(regexp_extract(array_to_string(string_split(line, ' ')[1:2], ' '), '^[^0-9]*[0-9]+([A-Za-z])(?:[^A-Za-z]|$)', 1)), '')) - 64, 0) END AS ordinal FROM {LABELS_SQL})"""),
     "provision_anchors": (provision_anchors, f"""WITH x AS (SELECT p_partkey, p_brand, line, {_ANCHOR} AS anchor FROM {LABELS_SQL} JOIN part USING (p_partkey)),
         y AS (SELECT *, lag(anchor) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM x)
         SELECT p_partkey, anchor, coalesce('ANCH::' || anchor, substring({_KEY('line')}, 1, 60)) AS key, coalesce(CASE WHEN b = anchor THEN 1.0 WHEN string_split(b, ':')[1] = string_split(anchor, ':')[1] THEN 0.5 END, 0.0)::DOUBLE AS score FROM y"""),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, comparisons, documents, facets, intake, reporting, revisions
+from . import analytics, comparisons, documents, facets, intake, reporting, revisions, structure
 
-PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES, intake.QUERIES)
+PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES, intake.QUERIES, structure.QUERIES)
 
 
 def queries() -> dict:
