@@ -139,14 +139,17 @@ def xml_changes(spark, d) -> DataFrame:
 
 
 def xml_compare(spark, d):
-    """Additions, removals, modifications and mismatches between both versions of each order's document, by path."""
-    kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("addition", "additions"), ("removal", "removals"), ("modification", "modifications"), ("mismatch", "mismatches"), ("same", "same"))]
+    """Additions, removals, modifications and unchanged elements between both versions of each order's document, by path."""
+    kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("addition", "additions"), ("removal", "removals"), ("modification", "modifications"), ("same", "same"))]
     return xml_changes(spark, d).groupBy(F.col("id").alias("o_orderkey")).agg(*kinds)
 
 
 def xml_merge(spark, d):
-    """Elements of the merge that takes additions and modifications and keeps what was removed, by tag."""
-    return X.merged(xml_changes(spark, d)).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.when(F.col("tag") == "quantity", F.col("text").cast("long")).otherwise(0)).alias("quantity"))
+    """The merged document of each order: additions and modifications are taken, removals of lines with more than 48 pieces accepted, modifications of quantities below 3 refused."""
+    old, new = (R.kept(X.elements(order_xml(spark, d, v), "o_orderkey", "xml")) for v in ("old", "new"))
+    number = F.col("text").cast("int")
+    decisions = old.where("tag = 'quantity'").select("id", F.when(number > 48, F.col("parent")).when(number < 3, F.col("path")).alias("path"), (number > 48).alias("accept")).where("path is not null")
+    return X.assembled(X.merged(old, new, decisions)).select(F.col("id").alias("o_orderkey"), F.md5("xml").alias("xml"), F.length("xml").alias("chars"))
 
 
 def xml_elements(spark, d):
@@ -156,13 +159,28 @@ def xml_elements(spark, d):
 
 
 def xml_chunks(spark, d):
-    """Chunks of each order's document: one for each line, within the shell of its order; a header comment names the chunk."""
-    x = X.elements(order_xml(spark, d, "old"), "o_orderkey", "xml").where("tag in ('line', 'quantity', 'flag')")
-    no = F.regexp_extract("path", r"line\[([0-9]+)\]", 1).cast("int")
-    of = lambda t: F.max(F.when(F.col("tag") == t, F.col("text")))
-    chunk = x.groupBy("id", no.alias("no")).agg(F.max(F.when(F.col("tag") == "line", F.col("attributes")["part"])).alias("part"), of("quantity").alias("quantity"), of("flag").alias("flag"))
-    xml = F.format_string('<!-- chunk %s of order %s --><order><line part="%s"><quantity>%s</quantity><flag>%s</flag></line></order>', (F.col("no") + 1).cast("string"), F.col("id").cast("string"), "part", "quantity", "flag")
-    return chunk.select(F.col("id").alias("o_orderkey"), "no", xml.alias("xml"))
+    """Each line of an order's document as a document of its own, within the tags of its ancestors; chunks of more than 90 bytes are flagged."""
+    x = X.chunks(R.kept(X.elements(order_xml(spark, d, "new"), "o_orderkey", "xml")), "line", "part", most_bytes=90)
+    return x.select(F.col("id").alias("o_orderkey"), "no", F.col("of").cast("long").alias("of"), "path", "xml", "size", "oversized")
+
+
+def xml_rejoined(spark, d):
+    """The documents that the chunks of each order's old document give when they are put together."""
+    x = X.chunks(R.kept(X.elements(order_xml(spark, d, "old"), "o_orderkey", "xml")), "line")
+    return X.rejoined(x).select(F.col("id").alias("o_orderkey"), F.md5("xml").alias("xml"))
+
+
+def xml_annotated(spark, d):
+    """The old documents with the kind of each element's change to the new version."""
+    old, new = (R.kept(X.elements(order_xml(spark, d, v), "o_orderkey", "xml")) for v in ("old", "new"))
+    return X.annotated(old, X.changes(old, new)).select(F.col("id").alias("o_orderkey"), F.md5("xml").alias("xml"))
+
+
+def xml_edits(spark, d):
+    """The old documents in which the order's state is replaced by `shipped` where it is F, and open ones get a note."""
+    old = R.kept(X.elements(order_xml(spark, d, "old"), "o_orderkey", "xml"))
+    edits = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "replace").otherwise("insert").alias("kind"), F.col("o_orderstatus").alias("old"), F.when(F.col("o_orderstatus") == "F", "shipped").otherwise("(open)").alias("new"))
+    return X.assembled(X.applied(old, edits)).select(F.col("id").alias("o_orderkey"), F.md5("xml").alias("xml"))
 
 
 def link_crawl(spark, d, depth: int = 5, children: int = 10):
@@ -213,7 +231,7 @@ _SUPPRESSION = f"""WITH e AS (SELECT p_partkey, a, b, {", ".join(f"{f(x)} AS {x}
     WHEN a_sign <> '' AND a_sign = b_sign AND len(list_intersect(a_nums, b_nums)) = least(len(a_nums), len(b_nums)) THEN 'signature' END, 'shown') AS reason FROM s"""
 _OLD = f"(SELECT l_orderkey, l_partkey, l_returnflag, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem)"
 _NEW = f"(SELECT l_orderkey, l_partkey, l_returnflag, CASE WHEN l_quantity < 5 THEN l_quantity::INT * 2 ELSE l_quantity::INT END AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem WHERE l_quantity <= 45)"
-_BOTH = f"(SELECT coalesce(a.l_orderkey, b.l_orderkey) AS k, a.l_partkey AS pa, b.l_partkey AS pb, a.q AS qa, b.q AS qb, a.l_returnflag AS fa, b.l_returnflag AS fb FROM {_OLD} a FULL JOIN {_NEW} b ON a.l_orderkey = b.l_orderkey AND a.rn = b.rn)"
+_BOTH = f"(SELECT coalesce(a.l_orderkey, b.l_orderkey) AS k, coalesce(a.rn, b.rn) AS rn, a.l_partkey AS pa, b.l_partkey AS pb, a.q AS qa, b.q AS qb, a.l_returnflag AS fa, b.l_returnflag AS fb FROM {_OLD} a FULL JOIN {_NEW} b ON a.l_orderkey = b.l_orderkey AND a.rn = b.rn)"
 
 QUERIES = {
     "sentence_alignment": (sentence_alignment, None),
@@ -226,16 +244,23 @@ QUERIES = {
     "number_modifications": (number_modifications, None),
     "modified_pairs": (modified_pairs, None),
     "xml_compare": (xml_compare, f"""WITH l AS (SELECT k, sum(CASE WHEN pa IS NULL THEN 3 ELSE 0 END) AS additions, sum(CASE WHEN pb IS NULL THEN 3 ELSE 0 END) AS removals,
-          sum((qa <> qb)::INT + (fa <> fb)::INT) AS modifications, sum((pa <> pb)::INT) AS mismatches,
-          sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 3 - (qa <> qb)::INT - (fa <> fb)::INT - (pa <> pb)::INT ELSE 0 END) AS same FROM {_BOTH} GROUP BY 1)
-        SELECT o_orderkey, coalesce(additions, 0)::BIGINT AS additions, coalesce(removals, 0)::BIGINT AS removals, coalesce(modifications, 0)::BIGINT AS modifications,
-          (coalesce(mismatches, 0) + (o_orderpriority = '1-URGENT')::INT)::BIGINT AS mismatches, (coalesce(same, 0) + 2 - (o_orderpriority = '1-URGENT')::INT)::BIGINT AS same FROM orders LEFT JOIN l ON k = o_orderkey"""),
-    "xml_merge": (xml_merge, f"""WITH o AS (SELECT count(*) AS n FROM orders), b AS (SELECT b.* FROM {_BOTH} b JOIN orders ON o_orderkey = k), l AS (SELECT count(*) AS n, sum(coalesce(qb, qa)) AS q FROM b)
-        SELECT 'order' AS tag, n, 0::BIGINT AS quantity FROM o UNION ALL SELECT 'status', n, 0 FROM o UNION ALL SELECT 'line', n, 0 FROM l UNION ALL SELECT 'flag', n, 0 FROM l UNION ALL SELECT 'quantity', n, q::BIGINT FROM l"""),
+          sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN (qa <> qb)::INT + (fa <> fb)::INT + (qa <> qb OR fa <> fb OR pa <> pb)::INT ELSE 0 END) AS modifications, sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 3 ELSE 0 END) AS paired FROM {_BOTH} GROUP BY 1)
+        SELECT o_orderkey, coalesce(additions, 0)::BIGINT AS additions, coalesce(removals, 0)::BIGINT AS removals, coalesce(modifications, 0)::BIGINT AS modifications, (1 + coalesce(paired - modifications, 0))::BIGINT AS same FROM orders LEFT JOIN l ON k = o_orderkey"""),
+    "xml_merge": (xml_merge, f"""WITH m AS (SELECT k, rn, CASE WHEN pa IS NULL OR pb IS NULL THEN coalesce(pa, pb) ELSE pb END AS p, CASE WHEN pb IS NULL OR qa < 3 THEN qa ELSE qb END AS q, CASE WHEN pb IS NULL THEN fa ELSE fb END AS f FROM {_BOTH} WHERE NOT (pb IS NULL AND qa > 48)),
+        l AS (SELECT k, string_agg('<line part="' || p || '"><quantity>' || q || '</quantity><flag>' || f || '</flag></line>', '' ORDER BY rn) AS body FROM m GROUP BY 1),
+        x AS (SELECT o_orderkey, '<order><status>' || o_orderstatus || '</status>' || coalesce(body, '') || '</order>' AS xml FROM orders LEFT JOIN l ON k = o_orderkey)
+        SELECT o_orderkey, md5(xml) AS xml, length(xml)::INTEGER AS chars FROM x"""),
+    "xml_rejoined": (xml_rejoined, f"""SELECT o_orderkey, md5('<order>' || string_agg('<line part="' || l_partkey || '"><quantity>' || q || '</quantity><flag>' || l_returnflag || '</flag></line>', '' ORDER BY rn) || '</order>') AS xml FROM orders JOIN {_OLD} ON l_orderkey = o_orderkey GROUP BY 1"""),
+    "xml_annotated": (xml_annotated, f"""WITH l AS (SELECT k, string_agg('<line part="' || pa || '"' || CASE WHEN pb IS NULL THEN ' change="removal"' WHEN qa <> qb OR fa <> fb OR pa <> pb THEN ' change="modification"' ELSE '' END
+          || '><quantity' || CASE WHEN pb IS NULL THEN ' change="removal"' WHEN qa <> qb THEN ' change="modification"' ELSE '' END || '>' || qa || '</quantity><flag' || CASE WHEN pb IS NULL THEN ' change="removal"' WHEN fa <> fb THEN ' change="modification"' ELSE '' END || '>' || fa || '</flag></line>', '' ORDER BY rn) AS body FROM {_BOTH} GROUP BY 1)
+        SELECT o_orderkey, md5('<order><status>' || o_orderstatus || '</status>' || coalesce(body, '') || '</order>') AS xml FROM orders LEFT JOIN l ON k = o_orderkey"""),
+    "xml_edits": (xml_edits, f"""WITH l AS (SELECT l_orderkey AS k, string_agg('<line part="' || l_partkey || '"><quantity>' || q || '</quantity><flag>' || l_returnflag || '</flag></line>', '' ORDER BY rn) AS body FROM {_OLD} GROUP BY 1)
+        SELECT o_orderkey, md5('<order><status>' || CASE WHEN o_orderstatus = 'F' THEN 'shipped' ELSE o_orderstatus || ' (open)' END || '</status>' || coalesce(body, '') || '</order>') AS xml FROM orders LEFT JOIN l ON k = o_orderkey"""),
     "xml_elements": (xml_elements, f"""WITH o AS (SELECT count(*) AS n FROM orders), l AS (SELECT count(*) AS n, max(rn) - 1 AS i FROM {_OLD} JOIN orders ON o_orderkey = l_orderkey)
         SELECT 'order' AS tag, n, 0 AS with_part, 0 AS depth, 0::BIGINT AS last_index FROM o UNION ALL SELECT 'status', n, 0, 1, 0 FROM o UNION ALL SELECT 'line', n, n, 1, i FROM l UNION ALL SELECT 'quantity', n, 0, 2, 0 FROM l UNION ALL SELECT 'flag', n, 0, 2, 0 FROM l"""),
-    "xml_chunks": (xml_chunks, f"""SELECT l_orderkey AS o_orderkey, rn - 1 AS no, '<!-- chunk ' || rn || ' of order ' || l_orderkey || ' --><order><line part="' || l_partkey || '"><quantity>' || q || '</quantity><flag>' || l_returnflag || '</flag></line></order>' AS xml
-        FROM {_OLD} JOIN orders ON o_orderkey = l_orderkey"""),
+    "xml_chunks": (xml_chunks, f"""WITH x AS (SELECT o_orderkey, rn::INTEGER AS no, count(*) OVER (PARTITION BY o_orderkey) AS of, '/order[0]/line[' || (rn - 1) || ']' AS path,
+          '<order' || CASE WHEN o_orderpriority = '1-URGENT' THEN ' urgent="yes"' ELSE '' END || '><line part="' || l_partkey || '"><quantity>' || q || '</quantity><flag>' || l_returnflag || '</flag></line></order>' AS xml FROM {_NEW} JOIN orders ON o_orderkey = l_orderkey)
+        SELECT *, strlen(xml)::INTEGER AS size, strlen(xml) > 90 AS oversized FROM x"""),
     "link_crawl": (link_crawl, f"""WITH RECURSIVE l AS (SELECT DISTINCT page, "to" FROM (SELECT l_suppkey AS page, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS "to" FROM lineitem) WHERE "to" IS NOT NULL AND page <> "to"),
         k AS (SELECT page, "to" FROM l QUALIFY row_number() OVER (PARTITION BY page ORDER BY "to") <= 10),
         c AS (SELECT min(s_suppkey) AS page, 0 AS depth FROM supplier UNION SELECT k."to", c.depth + 1 FROM c JOIN k USING (page) WHERE c.depth < 5)
