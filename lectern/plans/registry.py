@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, comparisons, documents, facets, intake, reporting, revisions, structure
+from . import analytics, comparisons, documents, facets, intake, reporting, revisions, search, structure
 
-PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES, intake.QUERIES, structure.QUERIES)
+PARTS = (reporting.QUERIES, analytics.QUERIES, documents.QUERIES, facets.QUERIES, comparisons.QUERIES, revisions.QUERIES, intake.QUERIES, structure.QUERIES, search.QUERIES)
 
 
 def queries() -> dict:
