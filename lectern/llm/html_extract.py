@@ -2,7 +2,8 @@
 
 A page is read as a sequence of tags and runs of words. Tags score negative, and words score by where they stand: the sum of the weights of the elements around them. An
 element's features are its tag and the words of its class, id and role, each together with what the element holds: a small part of the page's words, most of them, or a whole
-article or main element. All weights are learned from labelled pages by logistic regression; no name decides by itself, so a wrapper called has-sidebar, a form around
+article or main element; names count by their parts of four letters as well, so that commentlist is like comments. Where a page has an article or main element with half of its words, standing beside it is a feature, and
+a link counts by what the block around it and its neighbours hold. All weights are learned from labelled pages by logistic regression; no name decides by itself, so a wrapper called has-sidebar, a form around
 a page or an article called "post share" keep their text. One linear scan finds the contiguous region with the largest score. Of the blocks in the region, those whose own
 words score negative (an advert or a form amid the article) are left out.
 """
@@ -32,11 +33,15 @@ SELF_CLOSING, KEEP_APART = frozenset("p li tr td th dt dd option".split()), ("ul
 CONTENT_TAGS = frozenset(("article", "main"))
 #: Elements within a line, which tell nothing about the block.
 INLINE = frozenset("a abbr b big bdi cite code em font i kbd mark q s small span strong sub sup time u var".split())
-#: A name that begins so or holds such a word tells from there on what stands beside the text: has-sidebar, page-with-nav.
+#: A name that begins so or holds such a word tells from there on what stands beside the text or in it: has-sidebar, page-with-nav. Such words are features of their own.
 BESIDE = frozenset("has no not with without".split())
 #: Names that the boxes of the labelled pages have, and those of them that wrappers around a main text have as well.
-BOX_NAMES = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social toolbar footer masthead topbar comment comments respond reply disqus login search skip pagination pager contentinfo complementary".split()
+BOX_NAMES = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup disclaimer legal nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social toolbar footer masthead topbar comment comments discussion replies respond reply disqus login search skip pagination pager contentinfo complementary".split()
 WRAPPER_NAMES = "banner footer login masthead menu nav navbar navigation notice notices overlay pager pagination search share sharing sidebar skip social toolbar topbar widget".split()
+#: Letters of the parts of a name.
+GRAM = 4
+#: Blocks that are part of a larger one around them.
+PARTS = frozenset("p li ul ol dl dt dd td th tr tbody thead tfoot table".split())
 #: What an element holds.
 SMALL, MOST, ARTICLE = 0, 1, 2
 
@@ -51,25 +56,35 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
         for name in "".join(x).split():
             words = [w.lower() for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
             stop = next((i for i, w in enumerate(words) if w in BESIDE), len(words))
-            found.update(words[:stop])
+            found.update(words[:stop], (f"beside {w}" for w in words[stop + 1 :]))
     return tuple(sorted(found))
 
 
+@lru_cache(maxsize=20_000)
+def grams(name: str) -> tuple[str, ...]:
+    """The parts of a name, by which one counts that no labelled page has; a tag, and what a name says of its neighbours, has none."""
+    return () if name[0] == "<" or " " in name else tuple({f"~{name[i : i + GRAM]}" for i in range(len(name) - GRAM + 1)})
+
+
 class Element:
-    """An open element: what names it, what it stands in, how many words outside links it holds, and whether an article or main element with half of the page's words lies in it."""
+    """An open element: what names it, what it stands in, how many words outside links it holds, and whether an article or main element with half of the page's words lies in it, and whether it lies in such an element."""
 
-    __slots__ = ("tag", "names", "up", "words", "article", "link", "holder", "score", "held")
+    __slots__ = ("tag", "names", "up", "words", "article", "within", "link", "holder", "score", "held")
 
     def __init__(self, tag: str, names: tuple[str, ...], up: Element | None):
-        self.tag, self.names, self.up, self.words, self.article = tag, names, up, 0, False
+        self.tag, self.names, self.up, self.words, self.article, self.within = tag, names, up, 0, False, False
         self.link = tag == "a" or bool(up and up.link)
         self.holder = self if tag in BLOCKS or not up else up.holder
         self.score, self.held = 0.0, SMALL
 
 
     def of_link(self) -> tuple[tuple[str, object], ...]:
-        """What words in a link count by: the block they stand in, and whether it holds other words."""
-        return ("link", self.holder.tag), ("link", self.holder.words > 0)
+        """What words in a link count by: the block they stand in, whether it holds other words, and how many the element around it and its neighbours holds outside links."""
+        box = self.holder
+        while box.up and box.tag in PARTS:
+            box = box.up
+        amid = ("link", min(3, len(str(box.words)) if box.words else 0), box.within)
+        return ("link", self.holder.tag), ("link", self.holder.words > 0), amid, (*amid, self.holder.tag)
 
 
 def scan(page: str) -> tuple[list[tuple[str, str, int, Element]], list[Element]]:
@@ -107,7 +122,7 @@ def scan(page: str) -> tuple[list[tuple[str, str, int, Element]], list[Element]]
             own.append(len(stack))
             if tag in BLOCKS:
                 blocks.append(len(stack))
-            stack.append(Element(tag, features(tag, m[4][:2000]), stack[-1]))
+            stack.append(Element(tag, (features if len(m[4]) <= 2000 else features.__wrapped__)(tag, m[4]), stack[-1]))
             every.append(stack[-1])
     if at < len(page):
         found.append(("text", page[at:], at, stack[-1]))
@@ -123,6 +138,10 @@ def scan(page: str) -> tuple[list[tuple[str, str, int, Element]], list[Element]]
         e.held = ARTICLE if e.article else MOST if e.words > half else SMALL
         if e.up:
             e.up.article = e.up.article or e.article
+    for e in every:
+        e.within = bool(e.up and e.up.within) or e.tag in CONTENT_TAGS and e.article
+        if root.article and not e.within and not e.article and e.up and (e.up.article or e.up is root):
+            e.names = (*e.names, "beside an article")
     return found, every
 
 
@@ -184,12 +203,15 @@ def varied_pages(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int,
     body = [  # blocks of a main text
         *[lambda t: f"<{t}>{some(5, 120)}</{t}>"] * 6, lambda t: f"<{t}>{some(3, 30)}{inline()}{some(3, 30)}</{t}>", lambda t: f"<{t}>{some(3, 30)} <a href='/{word()}'>{some(1, 3)}</a> {some(3, 30)}</{t}>",
         lambda t: f"<{t}>{some(3, 30)}<br>{some(3, 30)}</{t}>", lambda t: "<ul>" + "".join(f"<li>{some(4, 15)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", lambda t: f"<blockquote>{some(6, 40)}</blockquote>",
-        lambda t: f"<h2>{some(2, 6)}</h2>", lambda t: "<table>" + "".join(f"<tr><td>{some(2, 6)}</td><td>{some(2, 6)}</td></tr>" for _ in range(3)) + "</table>", lambda t: f"<{t}>{some(1, 4)}</{t}>",
+        lambda t: f"<h2>{some(2, 6)}</h2>", lambda t: f"<{t}><a href='/{word()}'>{some(3, 12)}</a></{t}>", lambda t: "<ul>" + "".join(f"<li><a href='/{word()}'>{some(1, 8)}</a></li>" for _ in range(rng.randint(1, 5))) + "</ul>", lambda t: "<table>" + "".join(f"<tr><td>{some(2, 6)}</td><td>{some(2, 6)}</td></tr>" for _ in range(3)) + "</table>", lambda t: f"<{t}>{some(1, 4)}</{t}>",
     ]
+    beside = lambda: f"{rng.choice(('has', 'with', 'no', 'page-with', 'without'))}-{rng.choice(BOX_NAMES)}"
+    unknown = lambda: word() + word()
+    odd = lambda: f'<{(t := rng.choice(("div", "ol", "section")))} class="{unknown()}"><p>{some(3, 40)}</p></{t}>'
     pages = []
     for i in range(n):
         parts, spans = [f"<html><head><title>{some(2, 8)}</title><style>p{{}}</style></head><body>"], []
-        kind = i % 6  # 0 to 2: an article or main element, wrapped or named in any way; 3 and 4: a plain holder, wrapped at times; 5: a large box beside a short article or none
+        kind = i % 7  # 0 to 2: an article or main element, wrapped or named in any way; 3 and 4: a plain holder, wrapped at times; 5 and 6: a large box beside a short article or none
         wraps = []
         if kind < 3:
             t = rng.choice(("article", "main"))
@@ -200,9 +222,10 @@ def varied_pages(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int,
             wraps.append(rng.choice(plain))
         if kind < 5 and rng.random() < 0.5:
             names = rng.choice(BOX_NAMES if kind < 3 else WRAPPER_NAMES)
-            wraps.insert(0, rng.choice([(f'<div class="{names}">', "</div>"), (f'<section id="{names}-page">', "</section>"), (rng.choice(('<form id="page" action="/">', '<form method="post">')), "</form>")]))
-        parts += [rng.choice(chrome)() for _ in range(rng.randint(1, 5))]
-        if kind == 5:
+            wraps.insert(0, rng.choice([(f'<div class="{beside()}">', "</div>"), (f'<div class="{unknown()}">', "</div>"), (f'<div class="{names}">', "</div>"), (f'<section id="{names}-page">', "</section>"), (rng.choice(('<form id="page" action="/">', '<form method="post">')), "</form>")]))
+        around = chrome + [odd] * 2 if kind < 3 else chrome  # a box that nothing names is told by the article beside it
+        parts += [rng.choice(around)() for _ in range(rng.randint(1, 5))]
+        if kind >= 5:
             if rng.random() < 0.6:
                 parts.append("<article><p>")
                 text = some(20, 80)
@@ -218,9 +241,9 @@ def varied_pages(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int,
                 parts.append(text)
                 if rng.random() < 0.3:
                     name, text = rng.choice(BOX_NAMES), some(2, 12)
-                    parts.append(rng.choice((f'<div class="{name}">{text}</div>', f'<div class="{name}"><p>{text}</p></div>', f'<section id="{name}"><div><p>{text}</p></div></section>')))
+                    parts.append(rng.choice((f'<div class="{name}">{text}</div>', f'<div class="{name}"><p>{text}</p></div>', f'<section id="{name}"><div><p>{text}</p></div></section>', f'<div class="with-{name}">{text}</div>')))
             parts += [b for _, b in reversed(wraps)]
-        parts += [rng.choice(chrome)() for _ in range(rng.randint(1, 4))]
+        parts += [rng.choice(around)() for _ in range(rng.randint(1, 4))]
         pages.append(("".join(parts), spans))
     return pages
 
@@ -228,28 +251,38 @@ def varied_pages(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int,
 #: What a tag takes at most, and one that no labelled page has; the bounds of a word's score in the scan. Negative words stand between tags that count as well, so one takes less than a positive one gives.
 MOST_OF_TAG, OTHER_TAG, LOW, HIGH = 0.3, -0.3, -0.1, 2.0
 #: Labelled pages to learn from, passes of the regression, and its penalty.
-PAGES, STEPS, PENALTY = 800, 800, 1e-5
+PAGES, STEPS, PENALTY = 1600, 800, 1e-5
+#: A name that so many elements of the labelled pages have is known and counts as itself, another one by its parts.
+KNOWN = 3
 
 
 @lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], dict[tuple[str, object], float], float]:
     """(tags, features, constant). A tag's weight follows the log odds of its places inside against outside the main text and is always negative; words score by features of the elements around them."""
     tags, index, rows = (Counter(), Counter()), {}, {}
-    for page, spans in labelled_pages(PAGES // 4) + varied_pages(PAGES):
+    pages = [(scan(page), spans) for page, spans in labelled_pages(PAGES // 4) + varied_pages(PAGES)]
+    often = Counter(x for (_, every), _ in pages for e in every for x in e.names)
+    for (found, _), spans in pages:
         bounds = np.array(spans, np.int64).reshape(-1, 2)
-        for kind, value, at, element in scan(page)[0]:
+        for kind, value, at, element in found:
             k = int(np.searchsorted(bounds[:, 0], at, side="right")) - 1
             inside = k >= 0 and bool(at < bounds[k, 1])
             if kind == "tag":
                 tags[inside][value] += 1
             elif n := len(value.split()):
                 own = {index.setdefault(x, len(index)) for x in element.of_link()} if element.link else set()
+                alike = set(own)  # the same place as if no name were known
                 e = element
                 while e is not None:
-                    own.update(index.setdefault((x, e.held), len(index)) for x in e.names)
+                    for x in e.names:
+                        parts = {index.setdefault((g, e.held), len(index)) for g in grams(x)}
+                        alike |= parts
+                        own |= {index.setdefault((x, e.held), len(index))} if often[x] >= KNOWN else parts
+                        if not grams(x):
+                            alike.add(index.setdefault((x, e.held), len(index)))
                     e = e.up
-                key = (frozenset(own), inside)
-                rows[key] = rows.get(key, 0) + n
+                for key in {(frozenset(own), inside), (frozenset(alike), inside)}:
+                    rows[key] = rows.get(key, 0) + n
     n = len(index)  # also the number of the padding, whose weight stays zero
     width = max(len(own) for own, _ in rows)
     x = np.array([[*own, *[n] * (width - len(own))] for own, _ in rows])
@@ -264,6 +297,8 @@ def weights() -> tuple[dict[str, float], dict[tuple[str, object], float], float]
         w, b = w - 0.7 * gw / np.sqrt(speed), b - 0.7 * gb / math.sqrt(fall)
     odds = {t: math.log((tags[True][t] + 1) / (tags[False][t] + 1)) for t in {*tags[True], *tags[False]}}
     learned = {name: float(w[i]) for name, i in index.items()}
+    for x in [x for x in often if often[x] >= KNOWN]:  # known, but not in this place
+        learned |= {(x, held): 0.0 for held in (SMALL, MOST, ARTICLE) if (x, held) not in learned and not grams(x)}
     return {t: -min(MOST_OF_TAG, math.log1p(math.exp(-v))) for t, v in odds.items()}, learned, b
 
 
@@ -274,7 +309,7 @@ def main_text(page: str | None, model: tuple | None = None) -> str:
     tags, learned, constant = model or weights()
     found, every = scan(page)
     for e in every:
-        e.score = (e.up.score if e.up else constant) + sum(learned.get((x, e.held), 0.0) for x in e.names)
+        e.score = (e.up.score if e.up else constant) + sum(learned[x, e.held] if (x, e.held) in learned else sum(learned.get((g, e.held), 0.0) for g in grams(x)) for x in e.names)
     blocks: list[list] = []  # text, score of its words, numbers of the first and last token
     run: list[str] = []
     scores: list[float] = []

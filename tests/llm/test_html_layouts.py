@@ -58,3 +58,32 @@ def test_deep_and_broken_pages_take_linear_time():
     assert main_text("<p>some words</p></div></b>" * 25_000).count("\n") == 24_999
     main_text("<li>" * 30_000 + '<a href="' * 3_000)
     assert time.time() - began < 20
+
+
+def around(mid="", after="", wrap=("<article>", "</article>")):
+    words = " ".join(["harbour"] * 40)
+    nav = "<nav><ul><li><a href='/'>home page</a></li><li><a href='/b'>other page</a></li></ul></nav>"
+    return f"<html><body>{nav}{wrap[0]}<h1>A heading</h1><p>{words}</p>{mid}<p>{words}</p><p>{words}</p>{wrap[1]}{after}<footer><p>foot note</p></footer></body></html>"
+
+
+WRAPS = [("<article>", "</article>"), ("<div class='content'>", "</div>"), ("<div class='has-sidebar'><main>", "</main></div>"), ("<div>", "</div>")]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("block", ["<p><a href='/x'>a paragraph that is only one link</a></p>", "<ul><li><a href='/x'>only</a></li><li><a href='/y'>one link</a></li></ul>"])
+def test_blocks_of_links_amid_the_text_stay(wrap, block):
+    assert "link" in main_text(around(block, wrap=wrap))
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("name", ["commentlist", "discussion", "disclaimer", "qwrtz", "feedbackarea", "reader-voices"])
+def test_boxes_beside_the_text_go(wrap, name):
+    text = main_text(around(after=f'<div class="{name}"><p>words of somebody else here</p><p>and again some more</p></div>', wrap=wrap))
+    assert "somebody" not in text and text.count("harbour") == 120
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("attributes", ['class="with-ad"', f'data-x="{"a" * 2100}" class="ad"', f'style="{"b" * 9000}" id="ad-box"'])
+def test_adverts_amid_the_text_go(wrap, attributes):
+    text = main_text(around(f"<div {attributes}>buy this at once</div>", wrap=wrap))
+    assert "buy" not in text and text.count("harbour") == 120
