@@ -201,12 +201,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts with members of a larger component (or one of a smaller number) that might still be linked. Two sets that are similar enough have all but a few of their common
     # shingles beyond the shorter one of their prefixes, so those within both prefixes must be so many.
     parts_of = parts.groupBy("component").agg(F.count("*").alias("m"))
-    known = shared.select("shingle", "node", "n").join(parts.join(parts_of, "component"), "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("part"), F.coalesce("m", F.lit(1)).alias("m"))
+    known = shared.select("shingle", "node", "n", "pos").join(parts.join(parts_of, "component"), "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("part"), F.coalesce("m", F.lit(1)).alias("m"))
     behind = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR).cast("int") - 1
-    held = known.groupBy("shingle", F.col("part").alias("large"), F.col("m").alias("large_m")).agg(F.max(behind("n")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"))
+    held = known.groupBy("shingle", F.col("part").alias("large"), F.col("m").alias("large_m")).agg(F.max(behind("n")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"))
     larger = (F.col("m") < F.col("large_m")) | ((F.col("m") == F.col("large_m")) & (F.col("part") > F.col("large")))
     sized = (F.col("low") * NUMERATOR <= F.col("n") * DENOMINATOR) & (F.col("n") * NUMERATOR <= F.col("high") * DENOMINATOR)
-    met = known.join(held, "shingle").where(larger & sized).groupBy("node", "large").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.min("low").alias("low"))
+    # The first common shingle of two such sets leaves enough behind it in both, so a shingle that many texts have late among theirs brings no pair. Pairs are found by it, and their common shingles counted then.
+    first = F.least(F.col("n") - F.col("pos"), F.col("left")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
+    likely = checkpointed(known.join(held, "shingle").where(larger & sized & first).select("node", "large").distinct())
+    met = known.join(likely, "node").join(held, ["shingle", "large"]).groupBy("node", "large").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.min("low").alias("low"))
     enough = (F.col("c") + F.greatest(behind("n"), F.col("rest"))) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
     across = checkpointed(met.where(enough).select("node", "large"))
     more = checkpointed(bridges(across, texts, nodes, parts, words, block))
