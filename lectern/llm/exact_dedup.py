@@ -87,12 +87,14 @@ def resolve(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_co
 
 
 def keep(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat both id and text one stays."""
+    """The rows of docs that stay, with all their columns, whatever their names; of rows that repeat both id and text one stays. What stays is decided and kept before this returns, so the index may go then."""
+    own, digest = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "digest"))
     hashed = F.xxhash64(F.col(id_col).cast("long"))
-    stays = resolve(docs, index, id_col, text_col).where("kept").select(F.xxhash64(F.col("id").cast("long")).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumns({"__digest": F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256), "__id": hashed})
+    stays = resolve(docs, index, id_col, text_col).where("kept").select(F.xxhash64(F.col("id").cast("long")).alias(own), F.col("digest").alias(digest)).distinct()
+    stays = checkpointed(stays)
+    rows = docs.withColumns({digest: F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256), own: hashed})
     # Of each digest one id stays, so digest and hash tell rows apart; join and deduplication share one exchange.
-    return rows.join(stays, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest", "__id"]).select(*docs.columns)
+    return rows.join(stays, [digest, own], "left_semi").dropDuplicates([digest, own]).select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
