@@ -9,6 +9,8 @@ first, then blocks by their true lengths, the last one in part. Slots join the p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ PARTS = 512
 SLOTS_PER_SHARD = 65_536
 #: Slots are laid out in runs of so many, and about so many are made in one task.
 RUN, SLOTS_PER_TASK = 1024, 200_000
-#: Multipliers of the permutations. Their product is beyond 2**62, so no block count is a multiple of all.
-PRIMES = (1000003, 1000033, 1000037, 1000039)
+#: Rounds of the permutations' network, and how often a value beyond the last block is looked up again.
+ROUNDS, STEPS = 3, 32
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -64,13 +66,30 @@ def last_place(n, turn, seed):
     return F.pmod(F.xxhash64(seed, turn, F.lit("offset")), n)
 
 
+def shuffled(x, n, turn, seed):
+    """A keyed Feistel network over pairs of digits to the bases a and b, whose product is n or little more: a permutation of [0, a * b)."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+    left, right = F.pmod(x, a), F.floor(x / a).cast("long")
+    for k in range(ROUNDS):
+        left = F.pmod(left + F.pmod(F.xxhash64(right, turn, seed, F.lit(2 * k)), a), a)
+        right = F.pmod(right + F.pmod(F.xxhash64(left, turn, seed, F.lit(2 * k + 1)), b), b)
+    return left + a * right
+
+
+def walked(x, n, turn, seed):
+    """The network's first value below n, from x on: a permutation of [0, n). Less than a of its values lie beyond n, one in b, so few steps are ever needed; beyond STEPS of them the query fails rather than repeats a block."""
+    first = shuffled(x, n, turn, seed)
+    rest = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, lambda y, _: F.when(y < n, y).otherwise(shuffled(y, n, turn, seed)))
+    return F.when(first < n, first).when(rest < n, rest).otherwise(F.raise_error(F.lit("no block number found")).cast("long"))
+
+
 def permuted(j, n, seed):
-    """Block number of the j-th slot among n blocks: an affine permutation of [0, n) with multiplier and place of the last block drawn by pass; native arithmetic only."""
+    """Block number of the j-th slot among n blocks: a pseudorandom permutation of [0, n) keyed by pass and source, in which the drawn place has the last block; native arithmetic only."""
     at, turn = F.pmod(j, n), F.floor(j / n).cast("long")
-    draw = F.pmod(F.xxhash64(seed, turn, F.lit("multiplier")), F.lit(len(PRIMES)))
-    ordered = F.array(*[F.lit(p).cast("long") for p in PRIMES])
-    usable = F.filter(F.concat(F.slice(ordered, (draw + 1).cast("int"), F.lit(len(PRIMES))), ordered), lambda p: F.pmod(n, p) != 0)
-    return F.pmod(F.element_at(usable, 1) * F.pmod(at - last_place(n, turn, seed), n) + n - 1, n)
+    place = last_place(n, turn, seed)
+    found = walked(at, n, turn, seed)
+    return F.when(at == place, n - 1).when(found == n - 1, walked(place, n, turn, seed)).otherwise(found)
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
@@ -150,20 +169,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.start") == F.col("d.start")) & (F.col("d.size") > 0)
     copies = pieces.withColumn("copy", F.explode(F.expr("sequence(since, since + times - 1)"))).groupBy("source", "start", "copy").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
     copies = copies.alias("p").join(documents.alias("d"), same).select("d.id", "d.crc", "d.source", "d.start", "d.size", "p.words", "p.parts")
-    # Rows alike in id and text are told apart by their number.
+    # Rows alike in id and text are told apart by their number, in the order of all their columns' hash.
+    nth, crc, full = (f"{c}_{uuid.uuid4().hex}" for c in ("nth", "crc", "full"))  # no column of docs has these names
     alike = F.dense_rank().over(Window.partitionBy("id", "crc").orderBy(F.col("source").asc_nulls_last(), "start"))
-    copies = copies.withColumn("__nth", alike)
-    rows = docs.withColumn("__crc", F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__crc").orderBy(F.col(source_col).asc_nulls_last())))
+    copies = copies.withColumn(nth, alike)
+    rows = docs.withColumn(crc, F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, crc).orderBy(F.col(source_col).asc_nulls_last(), F.xxhash64(*docs.columns))))
     c, r = copies.alias("c"), rows.alias("r")
-    joined = r.join(c, F.col(f"r.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("r.__crc") == F.col("c.crc")) & (F.col("r.__nth") - F.col("c.__nth") == 0))
+    joined = r.join(c, F.col(f"r.{id_col}").eqNullSafe(F.col("c.id")) & (F.col(f"r.{crc}") == F.col("c.crc")) & (F.col(f"r.{nth}") - F.col(f"c.{nth}") == 0))
     # The words are cut out once a row, bound to a variable of their own, and only where a copy lacks some.
     spaced = F.array(F.regexp_extract_all(F.col(f"r.{text_col}"), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)))
     cut = F.transform(spaced, lambda x: F.array_join(F.flatten(F.transform("c.parts", lambda p: F.slice(x, (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))
     whole = F.col("c.words") == F.col("c.size")
-    out = joined.select(*[F.col(f"r.{x}").alias(x) for x in docs.columns if x != text_col], whole.alias("__whole"), F.when(whole, F.col(f"r.{text_col}")).otherwise(F.element_at(cut, 1)).alias(text_col))
+    out = joined.select(*[F.col(f"r.{x}").alias(x) for x in docs.columns if x != text_col], whole.alias(full), F.when(whole, F.col(f"r.{text_col}")).otherwise(F.element_at(cut, 1)).alias(text_col))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__whole"), F.col(chars_col)).otherwise(F.char_length(text_col)).cast(docs.schema[chars_col].dataType))
+        out = out.withColumn(chars_col, F.when(F.col(full), F.col(chars_col)).otherwise(F.char_length(text_col)).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)
 
 
