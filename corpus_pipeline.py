@@ -24,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.keep(docs, exact_dedup.DigestIndex(spark, f"lectern_digests_{uuid.uuid4().hex}"))
+    index = exact_dedup.DigestIndex(spark, f"lectern_digests_{uuid.uuid4().hex}")
+    kept = exact_dedup.keep(docs, index)
+    index.drop()  # what stays is decided
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
