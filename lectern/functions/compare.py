@@ -18,8 +18,8 @@ def normalised(text: Column) -> Column:
 
 
 def unwrapped(text: Column) -> Column:
-    """A line feed that doesn't follow a full stop becomes a space."""
-    return F.regexp_replace(text, r"([^.\n])\n", "$1 ")
+    """A line feed that neither follows a full stop nor comes before another becomes a space; those left are single."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!\.)\n(?!\n)", " "), r"\n+", "\n")
 
 
 def tokens(text: Column, most: int = 40_000) -> Column:
@@ -57,13 +57,30 @@ def word_bag(text: Column) -> Column:
 
 
 def sort_ratio(a: Column, b: Column) -> Column:
-    """Levenshtein ratio of the sorted words; 1 where only spacing or punctuation differ."""
-    return T.levenshtein_ratio(word_bag(a), word_bag(b))
+    """Levenshtein ratio of the sorted words; 1 where only spacing or punctuation differ, 0 where one line has no words."""
+    return guarded(word_bag(a), word_bag(b))
 
 
 def spaceless_ratio(a: Column, b: Column) -> Column:
+    """Levenshtein ratio of the characters without white space; 0 where one line has none."""
     bare = lambda x: F.regexp_replace(x, r"\s+", "")
-    return T.levenshtein_ratio(bare(a), bare(b))
+    return guarded(bare(a), bare(b))
+
+
+def guarded(a: Column, b: Column) -> Column:
+    return F.when((a == "") != (b == ""), 0.0).otherwise(T.levenshtein_ratio(a, b))
+
+
+#: Fixed value: lines whose contents agree so far count by that.
+AGREED = 0.97
+
+
+def combined_ratio(a: Column, b: Column) -> Column:
+    """The similarity of two lines: that of what they say beside amendment markers where it is AGREED and above, else the larger of the ratios of sorted words and of characters."""
+    best = lambda x, y: F.greatest(sort_ratio(x, y), spaceless_ratio(x, y))
+    content = best(content_only(a), content_only(b))
+    said = (content_only(a) != "") & (content_only(b) != "")
+    return F.when(said & (content >= AGREED), content).otherwise(best(a, b))
 
 
 def difference(a: Column, b: Column) -> Column:

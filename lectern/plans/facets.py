@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.tables import table
 
 NOW = "2001-08-02 00:00:00"
@@ -84,16 +85,25 @@ def lines(spark, d) -> DataFrame:
 
 
 LINES_SQL = "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents"
-#: What tells a breadcrumb, a line that is noise to a chunker, and a row that holds no data.
-BREADCRUMB = r"^[^.]{1,40}( > | / |, )[^.]{1,40}( > | / |, )[^.]{1,40}$"
-LINE_NOISE = r"^\s*(page \d+|\d+|[ivxlc]+|-+|\*+|=+|contents|index)?\s*$"
-NOT_DATA = r"(?i)^\s*(title|url|comments?|notes?|n/a|tbd|https?://\S+)\s*:?\s*$"
+#: Lines that are noise to the detection of changes within a chunk, and titles of rows that hold no data.
+LINE_NOISE = r"^([0-9]{1,4}$|page\s+[0-9]+\s*(of\s+[0-9]+)?$|[fc][0-9]+(\s|$)|textual\s+amendments?\s*$|modifications?\s+etc\.?\s*$|(commencement|extent)\s*$|(part|chapter|section|schedule)\s+[0-9]+[a-z]?\s*[:\-–]\s*\S|words?\s+in\s+s\.\s*[0-9]|(inserted|omitted|repealed|substituted)\s+(by|with\s+effect)|s\.i\.\s*[0-9]{4}/[0-9]+)"
+NOT_DATA = r"^\*|\bsme\s*check[-\s]*point\b|\btoc\s*[-\s]*sorting\s*order\b|\bclick\s+any\s+cell\s+to\s+edit\b"
+
+
+def without_data(title, url, comments):
+    """Rows that hold no data: neither a title nor an address; boilerplate in the title; boilerplate in the comments of a row without an address; or a title of more than 80 characters without one."""
+    name, note = (F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))) for x in (title, comments))
+    address = F.trim(F.coalesce(url, F.lit(""))) != ""
+    boiler = lambda x: F.rlike(x, F.lit(NOT_DATA))
+    return ((name == "") & ~address) | boiler(name) | (~address & boiler(note)) | (~address & (F.length(name) > 80))
 
 
 def line_classes(spark, d):
-    """Lines that are breadcrumbs, noise to a chunker, or rows without data, by document."""
-    found = [F.count_if(F.rlike(F.lower("line") if low else F.col("line"), F.lit(p))).alias(n) for n, p, low in (("breadcrumbs", BREADCRUMB, False), ("noise", LINE_NOISE, True), ("not_data", NOT_DATA, False))]
-    return lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), *found)
+    """Lines that are labels of navigation, noise to the detection of changes, or titles without data (no address, the next line as the comments), by document."""
+    w = Window.partitionBy("doc_id").orderBy("no")
+    x = lines(spark, d).withColumn("next", F.lead("line").over(w))
+    found = {"breadcrumbs": T.is_breadcrumb(F.col("line")), "noise": F.rlike(F.lower("line"), F.lit(LINE_NOISE)), "not_data": without_data(F.col("line"), F.lit(None).cast("string"), F.col("next"))}
+    return x.groupBy("doc_id").agg(F.count("*").alias("n_lines"), *[F.count_if(c).alias(n) for n, c in found.items()])
 
 
 def pages_with_content(spark, d):
@@ -335,8 +345,13 @@ QUERIES = {
     "month_retention": (month_retention, f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 36 MONTH GROUP BY 1"),
     "tri_state_facet": (tri_state_facet, """SELECT 'ALL' AS choice, count(*) AS shown FROM customer UNION ALL SELECT 'NONE', count(*) FROM customer WHERE c_acctbal < 0
         UNION ALL SELECT '7', count(*) FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'CUSTOM_BUILDING', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'"""),
-    "line_classes": (line_classes, f"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '{BREADCRUMB}')) AS breadcrumbs,
-        count(*) FILTER (WHERE regexp_matches(lower(line), '{LINE_NOISE}')) AS noise, count(*) FILTER (WHERE regexp_matches(line, '{NOT_DATA}')) AS not_data FROM ({LINES_SQL}) GROUP BY 1"""),
+    "line_classes": (line_classes, rf"""WITH a AS (SELECT doc_id, no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY no) AS next FROM ({LINES_SQL})),
+        b AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS low, lower(trim(regexp_replace(coalesce(next, ''), '\s+', ' ', 'g'))) AS note, regexp_replace(line, '[^A-Za-z]', '', 'g') AS letters FROM a),
+        c AS (SELECT *, len(string_split(low, ' ')) AS n, string_split(low, ' ')[1] AS first FROM b)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE low <> '' AND n <= 6 AND NOT regexp_matches(low, '^\(|^[fcems][0-9]+\b') AND (regexp_matches(low, '{T.DIVISION}') OR (NOT regexp_matches(low, '{T.MARKED}') AND low NOT IN {T.TITLES}
+          AND ((letters <> '' AND letters = upper(letters) AND n BETWEEN 2 AND 5) OR (first IN {tuple(T.LABELS)} AND n <= 4 AND regexp_matches(low, '^[a-z]+( [a-z]+)*$'))
+            OR (first IN {tuple(T.MORE_LABELS)} AND n BETWEEN 2 AND 4 AND regexp_matches(trim(line), '^[A-Z][a-z]') AND NOT regexp_matches(low, '[,;0-9]')))))) AS breadcrumbs,
+        count(*) FILTER (WHERE regexp_matches(lower(line), '{LINE_NOISE}')) AS noise, count(*) FILTER (WHERE low = '' OR regexp_matches(low, '{NOT_DATA}') OR regexp_matches(note, '{NOT_DATA}') OR length(low) > 80) AS not_data FROM c GROUP BY 1"""),
     "pages_with_content": (pages_with_content, """SELECT page_id, length(t) AS n_text, length(html) >= 500 AND length(t) > 300 AS has_content
         FROM (SELECT *, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' +', ' ', 'g')) AS t FROM pages)"""),
     "window_overlap": (window_overlap, """SELECT l_orderkey, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1
