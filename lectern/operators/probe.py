@@ -49,6 +49,17 @@ def probe(queries: DataFrame, index: DataFrame, share: float = SHARE, candidates
     return best.select("query", "b.node", "b.shared", "b.similarity")
 
 
+def token_subsets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right): pairs of texts (left, text) and (right, text) where every word of the left one is a word of the right one. A left text is looked up by the rarest of its words among the right ones only."""
+    words = lambda x, no: x.select(no, T.words(F.coalesce("text", F.lit(""))).alias(f"{no}_words")).where(F.size(f"{no}_words") > 0)
+    a, b = words(left, "left"), words(right, "right")
+    often = b.select(F.explode("right_words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    ranked = a.select("left", F.explode("left_words").alias("word")).join(often, "word", "left")
+    rarest = ranked.groupBy("left").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")).alias("r")).where("r.often > 0").select("left", "r.word")
+    met = rarest.join(b.select("right", F.explode("right_words").alias("word"), "right_words"), "word").join(a, "left")
+    return met.where(F.size(F.array_except("left_words", "right_words")) == 0).select("left", "right")
+
+
 #: Characters of a run, and the similarity of a context with the change that it belongs to.
 CHARS, LOCATED = 6, 0.25
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
@@ -43,6 +43,25 @@ def _numbers(x: Column) -> Column:
     return F.array_sort(T.numeric_tokens(x))
 
 
+#: What makes a line rich in structure, how many of them count in full, and how much richer a line is that an extraction has lost marks of.
+MARKS = (r"\((?:[a-z]{1,3}|[0-9]{1,3}|[ivxlcdm]{1,6})\)", r"\[[a-z][0-9]+[a-z]?\]", r"\b[fcems][0-9]+[a-z]?\b", r"\b(?:s\.|sch\.|para\.|art\.|reg\.)\s*[0-9]")
+FULL, RICHER, BODY = 6, 0.18, 0.95
+
+
+def richness(line: Column) -> Column:
+    """From 0 to 1: how many outline marks, labels and citations a line has."""
+    hits = sum((F.regexp_count(key(line), F.lit(p)) for p in MARKS), F.lit(0))
+    return F.least(F.lit(1.0), hits / FULL)
+
+
+def weaker(x: Column, y: Column) -> Column:
+    """Whether line x looks like y with marks or brackets lost: the wording behind the outline marks is the same, numbers included, and y is richer or has more brackets."""
+    p, q = C.without_anchors(x), C.without_anchors(y)
+    similar = F.greatest(T.levenshtein_ratio(p, q), C.sort_ratio(p, q))
+    brackets = lambda v: F.regexp_count(key(v), F.lit(r"[\[(]"))
+    return (p != "") & (q != "") & (similar >= BODY) & T.subset(_numbers(p), _numbers(q)) & ((richness(y) - richness(x) >= RICHER) | (brackets(x) < brackets(y)))
+
+
 def rules(a: Column, b: Column) -> list[tuple[str, Column]]:
     """(reason, condition) in the order in which they are tried."""
     ka, kb = key(a), key(b)
@@ -75,6 +94,7 @@ def rules(a: Column, b: Column) -> list[tuple[str, Column]]:
         ("marker", (content(a) != "") & (content(a) == content(b))),
         ("anchor", (C.without_anchors(a) != "") & (C.without_anchors(a) == C.without_anchors(b))),
         ("citation", tight(ka) == tight(kb)),
+        ("weaker", ((outline(ka) == "") != (outline(kb) == "")) & (weaker(a, b) | weaker(b, a))),
         (SHOWN, outline(ka) != outline(kb)),
         ("punctuation", marks(ka) == marks(kb)),
         ("reflow", bag(ka) == bag(kb)),
@@ -90,3 +110,42 @@ def suppression(a: Column, b: Column) -> Column:
     for reason, holds in rules(a, b):
         ladder = F.when(holds, reason) if ladder is None else ladder.when(holds, reason)
     return F.nullif(ladder, F.lit(SHOWN))
+
+
+#: Words of a line that may miss one, the share of them that agree, and the similarity of joined lines.
+MANY, AGREE, JOINED = 10, 0.97, 0.92
+
+
+def same_words(a: Column, b: Column) -> Column:
+    """The same words in any order behind the outline marks; of many words one may be missing if nearly all agree, numbers included."""
+    bare = lambda x: F.trim(F.regexp_replace(C.without_anchors(x), r"[^\p{L}\p{N}_ ]+", " "))
+    bag = lambda x: F.array_sort(F.filter(F.split(bare(x), " +"), lambda w: w != ""))
+    x, y = bag(a), bag(b)
+    most = F.greatest(F.size(x), F.size(y))
+    shared = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
+    loose = (most >= MANY) & (F.abs(F.size(x) - F.size(y)) <= 1) & (shared / most >= AGREE) & T.subset(_numbers(bare(a)), _numbers(bare(b)))
+    return (x == y) | loose
+
+
+def joined_equivalent(a: Column, b: Column) -> Column:
+    """Whether two lines, one of them joined from neighbours, say the same: their change would be hidden, or they agree behind their outline marks, by letters, by words, or nearly and with their numbers."""
+    p, q = C.without_anchors(a), C.without_anchors(b)
+    near = (p != "") & (q != "") & (F.greatest(T.levenshtein_ratio(p, q), C.sort_ratio(p, q)) >= JOINED) & T.subset(_numbers(p), _numbers(q))
+    letters = (C.signature(a) != "") & (C.signature(a) == C.signature(b))
+    return F.coalesce(suppression(a, b).isNotNull() | ((p != "") & (p == q)) | letters | same_words(a, b) | near, F.lit(False))
+
+
+def split_blocks(changes: DataFrame, group: list[str], order: str) -> DataFrame:
+    """changes (group, order, kind, old, new) with `split`: whether a modification and the addition behind it, or a deletion and the modification behind it, are one line that only one version has cut in two."""
+    w = Window.partitionBy(*group).orderBy(order)
+    at = lambda c, n: F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
+    x = changes.withColumns({f"{c}_{name}": at(c, n) for c in ("kind", "old", "new") for name, n in (("behind", 1), ("before", -1))})
+    joined = lambda a, b: F.concat_ws(" ", a, b)
+    added = lambda mod_old, mod_new, add: joined_equivalent(mod_old, joined(mod_new, add))
+    removed = lambda gone, mod_old, mod_new: joined_equivalent(joined(gone, mod_old), mod_new)
+    kind, c = F.col("kind"), F.col
+    split = (
+        F.when((kind == "mod") & (c("kind_behind") == "add") & added(c("old"), c("new"), c("new_behind")), True).when((kind == "add") & (c("kind_before") == "mod") & added(c("old_before"), c("new_before"), c("new")), True)
+        .when((kind == "del") & (c("kind_behind") == "mod") & removed(c("old"), c("old_behind"), c("new_behind")), True).when((kind == "mod") & (c("kind_before") == "del") & removed(c("old_before"), c("old"), c("new")), True)
+    )
+    return x.withColumn("split", F.coalesce(split, F.lit(False))).select(*changes.columns, "split")

@@ -185,8 +185,10 @@ def median_gap(spark, d):
 
 def level_census(spark, d):
     """Levels (sizes of parts) that at least two parts have, with their first three parts."""
-    first = F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 3)
-    return table(spark, d, "part").groupBy(F.col("p_size").alias("level")).agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("samples")).where("n >= 2")
+    p = table(spark, d, "part").select(F.col("p_size").alias("level"), "p_partkey")
+    first = p.withColumn("nth", F.row_number().over(Window.partitionBy("level").orderBy("p_partkey"))).where("nth <= 3")  # cut before the shuffle
+    samples = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
+    return p.groupBy("level").agg(F.count("*").alias("n")).where("n >= 2").join(first.groupBy("level").agg(samples.alias("samples")), "level")
 
 
 #: Tags to choose from, in the order of choice.

@@ -43,10 +43,13 @@ def quality_summary(spark, d):
 
 
 def missing_numbers(spark, d):
-    """Line numbers that are missing between 1 and the largest of each order, and those that occur more than once."""
-    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("seen"), F.max(F.col("l_linenumber").cast("int")).alias("last"), F.count("*").alias("n"))
-    missing = F.array_sort(F.array_except(F.sequence(F.lit(1), F.col("last")), F.col("seen")))
-    return x.select("l_orderkey", F.array_join(F.transform(missing, lambda i: i.cast("string")), ",").alias("missing"), (F.col("n") - F.size("seen")).alias("repeated"))
+    """Line numbers that are missing between 1 and the largest of each order, and how many occur again. The numbers between two neighbours are made from the gap; an order that misses none makes none."""
+    x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("no"))
+    seen = x.groupBy("l_orderkey", "no").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.lag("no").over(Window.partitionBy("l_orderkey").orderBy("no")), F.lit(0))
+    gap = F.when(F.col("no") - before > 1, F.array_join(F.transform(F.sequence(before + 1, F.col("no") - 1), lambda i: i.cast("string")), ","))
+    gaps = seen.withColumn("gap", gap).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("no", "gap")))), lambda g: g["gap"]), ",").alias("missing"), (F.sum("n") - F.count("*")).alias("repeated"))
+    return gaps
 
 
 def heading_join(spark, d):

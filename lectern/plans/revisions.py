@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import differences as B
 from ..operators import relational as R
-from ..operators.suppression import AMENDMENT, MARK_WORD, OUTLINE, suppression
+from ..operators.suppression import AMENDMENT, MARK_WORD, MARKS, OUTLINE, split_blocks, suppression
 from ..sources import xml as X
 from ..sources.tables import table
 from .comparisons import LABELS_SQL, labels_of_parts
@@ -95,6 +95,24 @@ def suppression_flags(spark, d):
     return edited_lines(spark, d).select("p_partkey", suppression(F.col("a"), F.col("b")).alias("reason"))
 
 
+def cut_lines(spark, d) -> DataFrame:
+    """(p_partkey, no, kind, old, new): provision lines that one version has cut in two, the second half reworded at times."""
+    x = edited_lines(spark, d).select("p_partkey", F.concat_ws(" ", "a", "b").alias("line"))
+    n = F.length("line") - F.length(F.substring_index("line", " ", -2))
+    first, rest = F.trim(F.expr("substring(line, 1, length(line) - length(substring_index(line, ' ', -2)))")), F.substring_index("line", " ", -2)
+    rest = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("another "), rest)).otherwise(rest)
+    change = lambda no, kind, old, new: F.struct(F.lit(no).alias("no"), F.lit(kind).alias("kind"), old.alias("old"), new.alias("new"))
+    none = F.lit(None).cast("string")
+    added = F.array(change(1, "mod", F.col("line"), first), change(2, "add", none, rest))
+    removed = F.array(change(1, "del", first, none), change(2, "mod", rest, F.col("line")))
+    return x.where(n > 0).select("p_partkey", F.explode(F.when(F.col("p_partkey") % 2 == 0, added).otherwise(removed)).alias("c")).select("p_partkey", "c.*")
+
+
+def split_lines(spark, d):
+    """Changes of cut lines, and whether both halves together say what the whole line says."""
+    return split_blocks(cut_lines(spark, d), ["p_partkey"], "no").select("p_partkey", "no", "kind", "split")
+
+
 def number_modifications(spark, d):
     """Provision lines of each brand's parts as deletions, those of the next size, some of them reworded, as additions: pairs that are likely one modification, by how they rank."""
     x = labels_of_parts(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey")
@@ -107,13 +125,22 @@ def number_modifications(spark, d):
     return found.select("p_brand", "a", "b", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-def modified_pairs(spark, d):
-    """Lines of near copies that only one of them has: pairs of a deletion and an addition that become one modification, and the rest, by kind."""
+def changed_lines(spark, d) -> DataFrame:
+    """(pair, no, kind, line): the lines of near copies that only one of them has, as deletions and additions."""
     old, new = line_versions(spark, d)
     runs = B.block_runs(old, new, B.matched_blocks(old, new)).where("op <> 'equal'")
     side = lambda x, kind, lo, hi: runs.select("pair", F.explode(F.when(F.col(hi) > F.col(lo), F.sequence(lo, F.col(hi) - 1))).alias("no")).join(x, ["pair", "no"]).select("pair", "no", F.lit(kind).alias("kind"), "line")
-    changes = side(old, "del", "a", "a2").union(side(new, "add", "b", "b2"))
-    return A.modified_lines(changes, ["pair"], "no").groupBy("pair", "kind").agg(F.count("*").alias("n"))
+    return R.kept(side(old, "del", "a", "a2").union(side(new, "add", "b", "b2")))
+
+
+def modified_pairs(spark, d):
+    """Lines that only one of two near copies has: pairs of a deletion and an addition that become one modification, and the rest, by kind."""
+    return A.modified_lines(changed_lines(spark, d), ["pair"], "no").groupBy("pair", "kind").agg(F.count("*").alias("n"))
+
+
+def unmatched_lines(spark, d):
+    """Lines that only one of two near copies has and that have no likely counterpart in the other one."""
+    return A.unmatched(changed_lines(spark, d), ["pair"], "no").select("pair", "no", "kind", F.md5("line").alias("line"))
 
 
 #: The order of an order's lines; line numbers repeat.
@@ -216,19 +243,46 @@ _OVERLAP = "(CASE WHEN len(list_distinct(list_concat(a_cw, b_cw))) = 0 THEN 1.0
 _WORD = lambda w: f"(length(regexp_replace({w}, '[^a-z0-9]', '', 'g')) >= 4 AND regexp_matches({w}, '[a-z]'))"
 _MARK = lambda w: f"regexp_matches(regexp_replace({w}, '^[^a-z0-9()]+|[^a-z0-9()]+$', '', 'g'), '{MARK_WORD}')"
 _CASE = "lower(a_bare) = lower(b_bare) AND len(string_split(a_plain, ' ')) = len(string_split(b_plain, ' '))"
-_SUPPRESSION = f"""WITH e AS (SELECT p_partkey, a, b, {", ".join(f"{f(x)} AS {x}_{n}" for n, f in _LINE for x in "ab")} FROM {EDITED_SQL}),
+_HITS = lambda k: "least(1.0, (" + " + ".join(f"len(regexp_extract_all({k}, '{p}'))" for p in MARKS) + ") / 6.0)"
+_BRACKETS = lambda k: rf"len(regexp_extract_all({k}, '[\[(]'))"
+_NUMBERS = lambda x: rf"list_distinct(regexp_extract_all(lower({x}), '\d+[a-z]?'))"
+_SUBSET = lambda x, y: f"len(list_intersect({x}, {y})) = least(len({x}), len({y}))"
+_SORTED = lambda x: f"array_to_string(list_sort(string_split({_KEY(x)}, ' ')), ' ')"
+_NEARLY = f"greatest({_RATIO('a_bottom', 'b_bottom')}, CASE WHEN ({_SORTED('a_bottom')} = '') <> ({_SORTED('b_bottom')} = '') THEN 0.0 ELSE {_RATIO(_SORTED('a_bottom'), _SORTED('b_bottom'))} END)"
+_WEAKER = lambda x, y: f"({_HITS(y + '_k')} - {_HITS(x + '_k')} >= 0.18 OR {_BRACKETS(x + '_k')} < {_BRACKETS(y + '_k')})"
+
+
+def _ladder(source: str, rest: str) -> str:
+    """The suppression rules over pairs (a, b) of `source`; rest: what is selected from them, `reason` among the columns."""
+    return f"""WITH e AS (SELECT *, {", ".join(f"{f(x)} AS {x}_{n}" for n, f in _LINE for x in "ab")} FROM {source}),
   k AS (SELECT *, {", ".join(f"{f(x + '_k')} AS {x}_{n}" for n, f in _FROM_KEY for x in "ab")} FROM e),
   s AS (SELECT *, greatest({_RATIO("a_k", "b_k")}, {_RATIO("array_to_string(a_bag, ' ')", "array_to_string(b_bag, ' ')")}) AS sim, {_OVERLAP} AS over, CASE WHEN length(a_k) <= length(b_k) THEN a_k ELSE b_k END AS s_k, CASE WHEN length(a_k) <= length(b_k) THEN b_k ELSE a_k END AS l_k,
     CASE WHEN length(a_k) <= length(b_k) THEN a_nums ELSE b_nums END AS s_nums, CASE WHEN length(a_k) <= length(b_k) THEN b_nums ELSE a_nums END AS l_nums,
-    CASE WHEN len(a_w) = len(b_w) THEN list_filter(range(1, len(a_w) + 1), lambda i: a_w[i] <> b_w[i]) END AS differ FROM k)
-  SELECT p_partkey, nullif(CASE WHEN {_NOISE("a")} AND {_NOISE("b")} THEN 'noise' WHEN a = b THEN 'same' WHEN a_bare = b_bare THEN 'space'
+    CASE WHEN len(a_w) = len(b_w) THEN list_filter(range(1, len(a_w) + 1), lambda i: a_w[i] <> b_w[i]) END AS differ FROM k),
+  r AS (SELECT *, nullif(CASE WHEN {_NOISE("a")} AND {_NOISE("b")} THEN 'noise' WHEN a = b THEN 'same' WHEN a_bare = b_bare THEN 'space'
     WHEN {_CASE} AND NOT (a_letters = upper(a_letters) OR b_letters = upper(b_letters)) THEN 'shown' WHEN {_CASE} THEN 'capitals' WHEN lower(a_bare) = lower(b_bare) THEN 'space' WHEN a_k = b_k THEN 'format'
     WHEN len(a_w) >= 4 AND len(differ) BETWEEN 1 AND 2 AND len(list_filter(differ, lambda i: ({_WORD("a_w[i]")} AND {_WORD("b_w[i]")} AND regexp_replace(a_w[i], '[^a-z0-9]', '', 'g') <> regexp_replace(b_w[i], '[^a-z0-9]', '', 'g')) OR ({_MARK("a_w[i]")} AND {_MARK("b_w[i]")}))) > 0 THEN 'shown'
     WHEN a_label <> '' AND a_label = b_label THEN 'label' WHEN a_content <> '' AND a_content = b_content THEN 'marker' WHEN a_bottom <> '' AND a_bottom = b_bottom THEN 'anchor' WHEN a_tight = b_tight THEN 'citation'
+    WHEN (a_outline = '') <> (b_outline = '') AND a_bottom <> '' AND b_bottom <> '' AND {_NEARLY} >= 0.95 AND {_SUBSET(_NUMBERS("a_bottom"), _NUMBERS("b_bottom"))} AND ({_WEAKER("a", "b")} OR {_WEAKER("b", "a")}) THEN 'weaker'
     WHEN a_outline <> b_outline THEN 'shown' WHEN a_marks = b_marks THEN 'punctuation' WHEN a_bag = b_bag THEN 'reflow'
     WHEN length(s_k) >= 6 AND contains(l_k, s_k) AND len(list_filter(s_nums, lambda n: NOT list_contains(l_nums, n))) = 0 AND sim >= 0.70 THEN 'cut'
     WHEN a_nums = b_nums AND ((sim >= 0.92 AND over >= 0.95) OR (sim >= 0.82 AND over >= 0.92)) THEN 'near'
-    WHEN a_sign <> '' AND a_sign = b_sign AND len(list_intersect(a_nums, b_nums)) = least(len(a_nums), len(b_nums)) THEN 'signature' END, 'shown') AS reason FROM s"""
+    WHEN a_sign <> '' AND a_sign = b_sign AND len(list_intersect(a_nums, b_nums)) = least(len(a_nums), len(b_nums)) THEN 'signature' END, 'shown') AS reason FROM s)
+  {rest}"""
+
+
+_SUPPRESSION = _ladder(EDITED_SQL, "SELECT p_partkey, reason FROM r")
+_PLAINLY = lambda x: rf"trim(regexp_replace({x}_bottom, '[^\p{{L}}\p{{N}}_ ]+', ' ', 'g'))"
+_BAGS = lambda x: f"list_sort(list_filter(regexp_split_to_array({_PLAINLY(x)}, ' +'), lambda w: w <> ''))"
+_CUT = f"""(SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN line ELSE head || ' ' || rest END AS a, CASE WHEN p_partkey % 2 = 0 THEN head || ' ' || rest ELSE line END AS b FROM (
+  SELECT p_partkey, line, trim(left(line, length(line) - length(tail))) AS head, CASE WHEN p_partkey % 3 = 0 THEN 'another ' ELSE '' END || tail AS rest FROM (
+    SELECT p_partkey, a || ' ' || b AS line, array_to_string(list_slice(string_split(a || ' ' || b, ' '), -2, -1), ' ') AS tail FROM {EDITED_SQL}) WHERE length(line) > length(tail)))"""
+_SPLIT = _ladder(_CUT, f"""SELECT p_partkey, no::INTEGER AS no, CASE WHEN p_partkey % 2 = 0 THEN CASE no WHEN 1 THEN 'mod' ELSE 'add' END ELSE CASE no WHEN 1 THEN 'del' ELSE 'mod' END END AS kind,
+  reason IS NOT NULL OR (a_bottom <> '' AND a_bottom = b_bottom) OR (a_sign <> '' AND a_sign = b_sign) OR {_BAGS("a")} = {_BAGS("b")}
+    OR (greatest(len({_BAGS("a")}), len({_BAGS("b")})) >= 10 AND abs(len({_BAGS("a")}) - len({_BAGS("b")})) <= 1 AND len(list_filter({_BAGS("a")}, lambda w: list_contains({_BAGS("b")}, w))) / greatest(len({_BAGS("a")}), len({_BAGS("b")})) >= 0.97
+      AND {_SUBSET(_NUMBERS(_PLAINLY("a")), _NUMBERS(_PLAINLY("b")))})
+    OR (a_bottom <> '' AND b_bottom <> '' AND {_NEARLY} >= 0.92 AND {_SUBSET(_NUMBERS("a_bottom"), _NUMBERS("b_bottom"))}) AS split FROM r, (SELECT unnest([1, 2]) AS no)""")
+
 _OLD = f"(SELECT l_orderkey, l_partkey, l_returnflag, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem)"
 _NEW = f"(SELECT l_orderkey, l_partkey, l_returnflag, CASE WHEN l_quantity < 5 THEN l_quantity::INT * 2 ELSE l_quantity::INT END AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn FROM lineitem WHERE l_quantity <= 45)"
 _BOTH = f"(SELECT coalesce(a.l_orderkey, b.l_orderkey) AS k, coalesce(a.rn, b.rn) AS rn, a.l_partkey AS pa, b.l_partkey AS pb, a.q AS qa, b.q AS qb, a.l_returnflag AS fa, b.l_returnflag AS fb FROM {_OLD} a FULL JOIN {_NEW} b ON a.l_orderkey = b.l_orderkey AND a.rn = b.rn)"
@@ -241,8 +295,10 @@ QUERIES = {
     "block_changes": (block_changes, None),
     "ordered_matches": (ordered_matches, None),
     "suppression_flags": (suppression_flags, _SUPPRESSION),
+    "split_lines": (split_lines, _SPLIT),
     "number_modifications": (number_modifications, None),
     "modified_pairs": (modified_pairs, None),
+    "unmatched_lines": (unmatched_lines, None),
     "xml_compare": (xml_compare, f"""WITH l AS (SELECT k, sum(CASE WHEN pa IS NULL THEN 3 ELSE 0 END) AS additions, sum(CASE WHEN pb IS NULL THEN 3 ELSE 0 END) AS removals,
           sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN (qa <> qb)::INT + (fa <> fb)::INT + (qa <> qb OR fa <> fb OR pa <> pb)::INT ELSE 0 END) AS modifications, sum(CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 3 ELSE 0 END) AS paired FROM {_BOTH} GROUP BY 1)
         SELECT o_orderkey, coalesce(additions, 0)::BIGINT AS additions, coalesce(removals, 0)::BIGINT AS removals, coalesce(modifications, 0)::BIGINT AS modifications, (1 + coalesce(paired - modifications, 0))::BIGINT AS same FROM orders LEFT JOIN l ON k = o_orderkey"""),

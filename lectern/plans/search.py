@@ -48,6 +48,13 @@ def corpus_probe(spark, d):
     return S.probe(queries, index).select(F.col("query").alias("p_partkey"), "node", "shared", F.round("similarity", 6).alias("similarity"))
 
 
+def heading_subsets(spark, d):
+    """Part names all of whose words stand in a provision line of another part."""
+    p = table(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("left"))
+    lines = labels_of_parts(spark, d).groupBy(F.col("line").alias("text")).agg(F.min("p_partkey").alias("right"))
+    return S.token_subsets(p, lines).where(F.col("left") != F.col("right")).select(F.col("left").alias("p_partkey"), F.col("right").alias("line_of"))
+
+
 def document_lines(spark, d) -> DataFrame:
     """(change, text): the lines of documents, numbered by document and line."""
     x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "text"))
@@ -109,6 +116,8 @@ QUERIES = {
         c AS (SELECT m.query, m.node, m.shared, asked, key FROM m JOIN qg USING (query) JOIN ng ON ng.node = m.node WHERE shared >= greatest(1, ceil(len(wanted) * 0.2 - 1e-9)) QUALIFY row_number() OVER (PARTITION BY m.query ORDER BY m.shared DESC, m.node) <= 20),
         s AS (SELECT *, greatest({_RATIO("asked", "key")}, {_RATIO(_BAG("asked"), _BAG("key"))}) AS sim FROM c)
         SELECT query AS p_partkey, node, shared::INTEGER AS shared, round(sim, 6) AS similarity FROM s WHERE sim >= 0.82 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, shared DESC, node) = 1"""),
+    "heading_subsets": (heading_subsets, f"""WITH a AS (SELECT min(p_partkey) AS p_partkey, list_distinct(string_split({_KEY("p_name")}, ' ')) AS w FROM part GROUP BY p_name), b AS (SELECT min(p_partkey) AS line_of, list_distinct(string_split({_KEY("line")}, ' ')) AS v FROM {LABELS_SQL} GROUP BY line)
+        SELECT p_partkey, line_of FROM a JOIN b ON list_has_all(v, w) WHERE p_partkey <> line_of"""),
     "change_locate": (change_locate, f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
         r AS MATERIALIZED (SELECT doc_id, no, {_CHARS(_KEY("line"))} AS runs FROM l), q AS MATERIALIZED (SELECT item_id, {_CHARS(_KEY("text"))} AS runs FROM benchmark),
         m AS (SELECT item_id, doc_id, no, count(*) AS shared FROM (SELECT item_id, unnest(runs) AS run FROM q) JOIN (SELECT doc_id, no, unnest(runs) AS run FROM r) USING (run) GROUP BY 1, 2, 3),

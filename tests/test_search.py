@@ -96,6 +96,14 @@ def test_probe_equals_scan(spark):
     assert got == want and want
 
 
+def test_token_subsets(spark):
+    rng = random.Random(6)
+    some = lambda: " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(5)))
+    left, right = [(i, some()) for i in range(40)] + [(90, None), (91, "zzz")], [(i, some()) for i in range(60)] + [(90, None)]
+    got = {tuple(r) for r in S.token_subsets(spark.createDataFrame(left, "left long, text string"), spark.createDataFrame(right, "right long, text string")).collect()}
+    assert got == {(i, j) for i, x in left for j, y in right if x and y and set(x.split()) <= set(y.split())}
+
+
 def slow_window(text, passage, n=6):
     wanted, size = {passage[i : i + n] for i in range(len(passage) - n + 1)}, len(passage) - n + 1
     runs = [text[i : i + n] for i in range(len(text) - n + 1)]

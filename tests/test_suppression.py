@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.suppression import suppression
+from lectern.operators.suppression import split_blocks, suppression, weaker
 
 NOUNS = "warehouse ferry orchard signal harbour library engine garden bridge market".split()
 VERBS = "inspects repairs records measures paints counts".split()
@@ -63,3 +63,27 @@ def test_leaders_with_an_amendment_label_are_no_noise(spark):
         rows += [(f"{rng.choice([label, f'[{label}]'])}{rng.choice(['', ' '])}({rng.randrange(9)}) {dots}", False), (dots, True), (f"({rng.randrange(9)}) {dots}", True), (str(rng.randrange(9999)), True)]
     got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, line string").orderBy("i").select(T.is_noise(F.col("line"))).collect()
     assert [r[0] for r in got] == [w for _, w in rows]
+
+
+def test_lines_cut_in_two(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i, x in enumerate(lines(4, 30)):
+        w = x.split()
+        at, other = rng.randrange(2, 6), i % 3 == 0
+        head, rest = " ".join(w[:at]), " ".join(w[at:] if not other else ["teapots", "lantern", *w[at + 1 :]])
+        if i % 2:
+            rows += [(i, 1, "mod", x, head), (i, 2, "add", None, rest)]
+        else:
+            rows += [(i, 1, "del", head, None), (i, 2, "mod", rest, x)]
+        rows.append((i, 3, "add", None, "quite another line"))
+        want[i] = not other
+    got = split_blocks(spark.createDataFrame(rows, "i int, no int, kind string, old string, new string"), ["i"], "no").collect()
+    assert {(r.i, r.no): r.split for r in got} == {(i, no): w and no < 3 for i, w in want.items() for no in (1, 2, 3)}
+
+
+def test_weaker_lines(spark):
+    x = "the keeper counts the ferries of the harbour no 12 daily"
+    pairs = [(x, f"(a) {x}", True), (f"(a) {x}", x, False), (x, x.replace("12", "13"), False), (x, x, False), ("", x, False)]
+    df = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(pairs)], "i int, a string, b string")
+    assert [r[0] for r in df.orderBy("i").select(weaker(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
