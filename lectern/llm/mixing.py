@@ -23,8 +23,8 @@ PARTS = 512
 SLOTS_PER_SHARD = 65_536
 #: Slots are laid out in runs of so many, and about so many are made in one task.
 RUN, SLOTS_PER_TASK = 1024, 200_000
-#: Rounds of the permutations' network, and how often a value beyond the last block is looked up again.
-ROUNDS, STEPS = 3, 32
+#: Rounds of the permutations.
+ROUNDS = 24
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -67,29 +67,20 @@ def last_place(n, turn, seed):
 
 
 def shuffled(x, n, turn, seed):
-    """A keyed Feistel network over pairs of digits to the bases a and b, whose product is n or little more: a permutation of [0, a * b)."""
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
-    left, right = F.pmod(x, a), F.floor(x / a).cast("long")
-    for k in range(ROUNDS):
-        left = F.pmod(left + F.pmod(F.xxhash64(right, turn, seed, F.lit(2 * k)), a), a)
-        right = F.pmod(right + F.pmod(F.xxhash64(left, turn, seed, F.lit(2 * k + 1)), b), b)
-    return left + a * right
+    """The place of x in a pseudorandom permutation of [0, n) keyed by pass and source, for any n: a round either keeps a number or swaps it with the one that mirrors it, as a hash of the pair says."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, lambda y, k: swapped(y, F.pmod(F.xxhash64(seed, turn, k) - y, n), turn, seed, k))
 
 
-def walked(x, n, turn, seed):
-    """The network's first value below n, from x on: a permutation of [0, n). Less than a of its values lie beyond n, one in b, so few steps are ever needed; beyond STEPS of them the query fails rather than repeats a block."""
-    first = shuffled(x, n, turn, seed)
-    rest = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, lambda y, _: F.when(y < n, y).otherwise(shuffled(y, n, turn, seed)))
-    return F.when(first < n, first).when(rest < n, rest).otherwise(F.raise_error(F.lit("no block number found")).cast("long"))
+def swapped(y, mirror, turn, seed, k):
+    return F.when(F.xxhash64(F.greatest(y, mirror), seed, turn, k) > 0, mirror).otherwise(y)
 
 
 def permuted(j, n, seed):
-    """Block number of the j-th slot among n blocks: a pseudorandom permutation of [0, n) keyed by pass and source, in which the drawn place has the last block; native arithmetic only."""
+    """Block number of the j-th slot among n blocks: the permutation of its pass, in which the drawn place has the last block; native arithmetic only."""
     at, turn = F.pmod(j, n), F.floor(j / n).cast("long")
     place = last_place(n, turn, seed)
-    found = walked(at, n, turn, seed)
-    return F.when(at == place, n - 1).when(found == n - 1, walked(place, n, turn, seed)).otherwise(found)
+    found = shuffled(at, n, turn, seed)
+    return F.when(at == place, n - 1).when(found == n - 1, shuffled(place, n, turn, seed)).otherwise(found)
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
