@@ -31,6 +31,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 8, 50_000
 BLOCK = 512
 #: With so many neighbours in a shingle's own order a text is compared before the remaining pairs are looked for.
 NEIGHBOURS = 2
+#: Common shingles are counted with components of at most so many texts before these are compared.
+FEW = 16
 #: Neighbours are compared at once if they are such in one of so many of the smaller set's shingles, or share one that so many texts have.
 OFTEN, LARGE = 40, 16
 
@@ -208,10 +210,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = (F.col("low") * NUMERATOR <= F.col("n") * DENOMINATOR) & (F.col("n") * NUMERATOR <= F.col("high") * DENOMINATOR)
     # The first common shingle of two such sets leaves enough behind it in both, so a shingle that many texts have late among theirs brings no pair. Pairs are found by it, and their common shingles counted then.
     first = F.least(F.col("n") - F.col("pos"), F.col("left")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
-    likely = checkpointed(known.join(held, "shingle").where(larger & sized & first).select("node", "large").distinct())
-    met = known.join(likely, "node").join(held, ["shingle", "large"]).groupBy("node", "large").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.min("low").alias("low"))
+    likely = checkpointed(known.join(held, "shingle").where(larger & sized & first).select("node", "large", "large_m").distinct())
+    own = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    few = known.where(F.col("m") <= FEW).groupBy(F.col("part").alias("large")).agg(F.collect_set("shingle").alias("held"), F.max(behind("n")).alias("rest"), F.min("n").alias("low"))
+    # A row for each pair; of a component with more than FEW texts the common shingles aren't counted, all its pairs are looked at.
+    met = likely.where(F.col("large_m") <= FEW).join(own, "node").join(few, "large").withColumn("c", F.size(F.array_intersect("firsts", "held")))
     enough = (F.col("c") + F.greatest(behind("n"), F.col("rest"))) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
-    across = checkpointed(met.where(enough).select("node", "large"))
+    across = checkpointed(met.where(enough).select("node", "large").union(likely.where(F.col("large_m") > FEW).select("node", "large")))
     more = checkpointed(bridges(across, texts, nodes, parts, words, block))
 
     parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
