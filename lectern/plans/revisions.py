@@ -37,7 +37,7 @@ def document_comparison(spark, d):
 
 def word_diff(spark, d):
     """Word differences of both versions of each document: how many words each has, their digest as rebuilt from the runs, the changed words, and whether the change is meaningful."""
-    x = B.word_differences(versions(spark, d))
+    x = B.word_differences(R.spread(versions(spark, d)))
     side = lambda op: F.md5(F.array_join(F.flatten(F.transform(F.filter("runs", lambda r: r["op"].isin("equal", op)), lambda r: r["words"])), " "))
     sizes = [F.size(c).alias(c) for c in ("runs", "words_removed", "words_added", "words_modified")]
     return x.select("doc_id", "old_words", "new_words", "common", *sizes, side("delete").alias("old_md5"), side("insert").alias("new_md5"), "change_ratio", "meaningful")
