@@ -3,7 +3,7 @@
 A page is read as a sequence of tags and runs of words. Tags score negative, and words score by where they stand: the sum of the weights of the elements around them. An
 element's features are its tag and the words of its class, id and role, each together with what the element holds: a small part of the page's words, most of them, or a whole
 article or main element; names count by their parts of four letters as well, so that commentlist is like comments. Where a page has an article or main element with half of its words, standing beside it is a feature, and
-a link counts by what the block around it and its neighbours hold. All weights are learned from labelled pages by logistic regression; no name decides by itself, so a wrapper called has-sidebar, a form around
+a link counts by what the block around it holds and whether blocks of text are its neighbours. All weights are learned from labelled pages by logistic regression; no name decides by itself, so a wrapper called has-sidebar, a form around
 a page or an article called "post share" keep their text. One linear scan finds the contiguous region with the largest score. Of the blocks in the region, those whose own
 words score negative (an advert or a form amid the article) are left out.
 """
@@ -42,6 +42,8 @@ WRAPPER_NAMES = "banner footer login masthead menu nav navbar navigation notice
 GRAM = 4
 #: Blocks that are part of a larger one around them.
 PARTS = frozenset("p li ul ol dl dt dd td th tr tbody thead tfoot table".split())
+#: Blocks of a running text.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 #: What an element holds.
 SMALL, MOST, ARTICLE = 0, 1, 2
 
@@ -67,23 +69,24 @@ def grams(name: str) -> tuple[str, ...]:
 
 
 class Element:
-    """An open element: what names it, what it stands in, how many words outside links it holds, and whether an article or main element with half of the page's words lies in it, and whether it lies in such an element."""
+    """An open element: what names it, what it stands in, how many words outside links it holds, and whether an article or main element with half of the page's words lies in it, whether it lies in such an element, and the blocks before and after it under the same element."""
 
-    __slots__ = ("tag", "names", "up", "words", "article", "within", "link", "holder", "score", "held")
+    __slots__ = ("tag", "names", "up", "words", "article", "within", "before", "after", "link", "holder", "score", "held")
 
     def __init__(self, tag: str, names: tuple[str, ...], up: Element | None):
         self.tag, self.names, self.up, self.words, self.article, self.within = tag, names, up, 0, False, False
+        self.before = self.after = None
         self.link = tag == "a" or bool(up and up.link)
         self.holder = self if tag in BLOCKS or not up else up.holder
         self.score, self.held = 0.0, SMALL
 
 
     def of_link(self) -> tuple[tuple[str, object], ...]:
-        """What words in a link count by: the block they stand in, whether it holds other words, and how many the element around it and its neighbours holds outside links."""
+        """What words in a link count by: the block they stand in, whether it holds other words, and how many of its neighbours (or of those of the list or table it is part of) are blocks of text."""
         box = self.holder
-        while box.up and box.tag in PARTS:
+        while box.up and box.up.tag in PARTS:
             box = box.up
-        amid = ("link", min(3, len(str(box.words)) if box.words else 0), box.within)
+        amid = ("link", sum(x is not None and x.tag in TEXT and x.words >= 3 for x in (box.before, box.after)), box.within)
         return ("link", self.holder.tag), ("link", self.holder.words > 0), amid, (*amid, self.holder.tag)
 
 
@@ -132,6 +135,13 @@ def scan(page: str) -> tuple[list[tuple[str, str, int, Element]], list[Element]]
     for e in reversed(every):
         if e.up:
             e.up.words += e.words
+    youngest: dict[int, Element] = {}
+    for e in every:
+        if e.up and e.tag in BLOCKS:
+            e.before = youngest.get(id(e.up))
+            if e.before:
+                e.before.after = e
+            youngest[id(e.up)] = e
     half = root.words / 2
     for e in reversed(every):
         e.article = e.article or e.tag in CONTENT_TAGS and e.words >= half and e.words > 0
@@ -252,6 +262,8 @@ def varied_pages(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int,
 MOST_OF_TAG, OTHER_TAG, LOW, HIGH = 0.3, -0.3, -0.1, 2.0
 #: Labelled pages to learn from, passes of the regression, and its penalty.
 PAGES, STEPS, PENALTY = 1600, 800, 1e-5
+#: What words count less by in a block that holds nothing but links: more is asked of it than of text.
+DOUBT = 3.0
 #: A name that so many elements of the labelled pages have is known and counts as itself, another one by its parts.
 KNOWN = 3
 
@@ -337,7 +349,7 @@ def main_text(page: str | None, model: tuple | None = None) -> str:
             run.append(value)
             n, score = len(value.split()), element.score
             if element.link:
-                score += sum(learned.get(x, 0.0) for x in element.of_link())
+                score += sum(learned.get(x, 0.0) for x in element.of_link()) - (0.0 if element.holder.words else DOUBT)
             scores.append(min(HIGH, max(LOW, score)) * n)
             own += min(HIGH, max(-HIGH, score)) * n
     close()
