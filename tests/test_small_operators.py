@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,18 @@ def test_small_functions(spark):
         T.subset(F.array(F.lit("1")), F.array(F.lit("1"), F.lit("2"))).alias("in"), T.subset(F.array(F.lit("3")), F.array(F.lit("1"), F.lit("2"))).alias("out"), T.content_words(F.lit("The rate of a levy, by the board")).alias("content"), T.collapsed(F.lit(" a \n b ")).alias("collapsed"),
     ).first()
     assert row["in"] and not row["out"] and sorted(row.content) == ["board", "levy", "rate"] and row.collapsed == "a b"
+
+
+def test_chunks_come_a_few_texts_at_a_time(spark, monkeypatch):
+    """A task's batches hold the chunks of few texts, and all of them come: null, empty and long ones too."""
+    rows = [(i, "ab. " * (i * 37 % 900)) for i in range(40)] + [(90, None), (91, "")]
+    task = {}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: task.update(run=f) or self)
+    D.chunks(df)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])
+    monkeypatch.setattr(D, "TEXTS", 8)
+    out = [b.to_pylist() for b in task["run"](iter([batch]))]
+    sizes = [len({r["doc_id"] for r in b}) for b in out]
+    assert max(sizes) <= 8 and len(out) == 6
+    assert [tuple(r.values()) for b in out for r in b] == [(d, n, c) for d, t in rows for n, c in enumerate(D.recursive_chunks(t or "", 1500, 150))]
