@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as C
 from ..functions import text as T
+from .relational import dealt_over
 
 #: A rule's reason where it insists that the change is shown.
 SHOWN = "shown"
@@ -50,102 +53,163 @@ FULL, RICHER, BODY = 6, 0.18, 0.95
 
 def richness(line: Column) -> Column:
     """From 0 to 1: how many outline marks, labels and citations a line has."""
-    hits = sum((F.regexp_count(key(line), F.lit(p)) for p in MARKS), F.lit(0))
+    return _richness(key(line))
+
+
+def _richness(k: Column) -> Column:
+    hits = sum((F.regexp_count(k, F.lit(p)) for p in MARKS), F.lit(0))
     return F.least(F.lit(1.0), hits / FULL)
 
 
-def weaker(x: Column, y: Column) -> Column:
+def weaker(x: Column, y: Column, look: Callable[[str, Column], Column] | None = None) -> Column:
     """Whether line x looks like y with marks or brackets lost: the wording behind the outline marks is the same, numbers included, and y is richer or has more brackets."""
-    p, q = C.without_anchors(x), C.without_anchors(y)
+    look = look or made
+    p, q = look("wording", x), look("wording", y)
     similar = F.greatest(T.levenshtein_ratio(p, q), C.sort_ratio(p, q))
-    brackets = lambda v: F.regexp_count(key(v), F.lit(r"[\[(]"))
-    return (p != "") & (q != "") & (similar >= BODY) & T.subset(_numbers(p), _numbers(q)) & ((richness(y) - richness(x) >= RICHER) | (brackets(x) < brackets(y)))
-
-
-def rules(a: Column, b: Column) -> list[tuple[str, Column]]:
-    """(reason, condition) in the order in which they are tried."""
-    ka, kb = key(a), key(b)
-    bare = lambda x: F.regexp_replace(x, r"\s+", "")
-    count = lambda x: F.size(_words(C.normalised(x)))
-    letters = lambda x: F.regexp_replace(x, "[^A-Za-z]", "")
-    capitals = (letters(a) == F.upper(letters(a))) | (letters(b) == F.upper(letters(b)))
-    case_only = (F.lower(bare(a)) == F.lower(bare(b))) & (count(a) == count(b))
-    label = lambda x: F.regexp_replace(x, AMENDMENT, "")
-    content = lambda x: key(C.content_only(x))
-    tight = lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+([,)\]])", "$1"), r"([\[(])[ \t]+", "$1")
-    outline = lambda x: F.regexp_extract(x, OUTLINE, 0)
-    marks = lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
-    bag = lambda x: F.array_sort(_words(x))
-    similar = F.greatest(T.levenshtein_ratio(ka, kb), T.levenshtein_ratio(F.array_join(bag(ka), " "), F.array_join(bag(kb), " ")))
-    overlap = T.jaccard(T.content_words(ka), T.content_words(kb))
-    short, long = F.when(F.length(ka) <= F.length(kb), ka).otherwise(kb), F.when(F.length(ka) <= F.length(kb), kb).otherwise(ka)
-    same_numbers = _numbers(ka) == _numbers(kb)
-    both = lambda f: (f(ka) != "") & (f(kb) != "") & (f(ka) == f(kb))
+    brackets = lambda v: F.regexp_count(look("key", v), F.lit(r"[\[(]"))
+    return (p != "") & (q != "") & (similar >= BODY) & T.subset(_numbers(p), _numbers(q)) & ((_richness(look("key", y)) - _richness(look("key", x)) >= RICHER) | (brackets(x) < brackets(y)))
+
+
+#: What the rules look at in a line, and in its key.
+LOOKS: dict[str, Callable[[Column], Column]] = {
+    "key": key, "bare": lambda x: F.regexp_replace(x, r"\s+", ""), "letters": lambda x: F.regexp_replace(x, "[^A-Za-z]", ""), "content": lambda x: key(C.content_only(x)), "wording": C.without_anchors, "signature": C.signature,
+    "count": lambda x: F.size(_words(C.normalised(x))), "noise": T.is_noise,
+}
+FROM_KEY: dict[str, Callable[[Column], Column]] = {
+    "label": lambda x: F.regexp_replace(x, AMENDMENT, ""), "tight": lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+([,)\]])", "$1"), r"([\[(])[ \t]+", "$1"), "outline": lambda x: F.regexp_extract(x, OUTLINE, 0),
+    "marks": lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")), "bag": lambda x: F.array_sort(_words(x)), "numbers": _numbers, "said": T.content_words,
+}
+
+
+def made(name: str, line: Column) -> Column:
+    """One of the looks of a line, made where it stands."""
+    return LOOKS[name](line) if name in LOOKS else FROM_KEY[name](key(line))
+
+
+def similarity(a: Column, b: Column, look: Callable[[str, Column], Column] = made) -> Column:
+    """The larger of the ratios of both keys and of their sorted words."""
+    bag = lambda x: F.array_join(look("bag", x), " ")
+    return F.greatest(T.levenshtein_ratio(look("key", a), look("key", b)), T.levenshtein_ratio(bag(a), bag(b)))
+
+
+def rules(a: Column, b: Column, look: Callable[[str, Column], Column] = made, similar: Column | None = None) -> list[tuple[str, Column]]:
+    """(reason, condition) in the order in which they are tried; look: where the looks of a line come from, similar: similarity() of both."""
+    ka, kb = look("key", a), look("key", b)
+    one = lambda name: (look(name, a), look(name, b))
+    (bare_a, bare_b), (na, nb) = one("bare"), one("numbers")
+    capitals = (look("letters", a) == F.upper(look("letters", a))) | (look("letters", b) == F.upper(look("letters", b)))
+    case_only = (F.lower(bare_a) == F.lower(bare_b)) & (look("count", a) == look("count", b))
+    similar = similarity(a, b, look) if similar is None else similar
+    overlap = T.jaccard(*one("said"))
+    shorter = F.length(ka) <= F.length(kb)
+    short, long = F.when(shorter, ka).otherwise(kb), F.when(shorter, kb).otherwise(ka)
+    few, many = F.when(shorter, na).otherwise(nb), F.when(shorter, nb).otherwise(na)
+    same_numbers = na == nb
+    equal = lambda name: look(name, a) == look(name, b)
+    both = lambda name: (look(name, a) != "") & equal(name)
     return [
-        ("noise", T.is_noise(a) & T.is_noise(b)),
+        ("noise", look("noise", a) & look("noise", b)),
         ("same", a == b),
-        ("space", bare(a) == bare(b)),
+        ("space", bare_a == bare_b),
         (SHOWN, case_only & ~capitals),
         ("capitals", case_only),
-        ("space", F.lower(bare(a)) == F.lower(bare(b))),
+        ("space", F.lower(bare_a) == F.lower(bare_b)),
         ("format", ka == kb),
         (SHOWN, _aligned_change(ka, kb)),
-        ("label", both(label)),
-        ("marker", (content(a) != "") & (content(a) == content(b))),
-        ("anchor", (C.without_anchors(a) != "") & (C.without_anchors(a) == C.without_anchors(b))),
-        ("citation", tight(ka) == tight(kb)),
-        ("weaker", ((outline(ka) == "") != (outline(kb) == "")) & (weaker(a, b) | weaker(b, a))),
-        (SHOWN, outline(ka) != outline(kb)),
-        ("punctuation", marks(ka) == marks(kb)),
-        ("reflow", bag(ka) == bag(kb)),
-        ("cut", (F.length(short) >= 6) & F.contains(long, short) & (F.size(F.array_except(_numbers(short), _numbers(long))) == 0) & (similar >= CONTAINED)),
+        ("label", both("label")),
+        ("marker", both("content")),
+        ("anchor", both("wording")),
+        ("citation", equal("tight")),
+        ("weaker", ((look("outline", a) == "") != (look("outline", b) == "")) & (weaker(a, b, look) | weaker(b, a, look))),
+        (SHOWN, ~equal("outline")),
+        ("punctuation", equal("marks")),
+        ("reflow", equal("bag")),
+        ("cut", (F.length(short) >= 6) & F.contains(long, short) & (F.size(F.array_except(few, many)) == 0) & (similar >= CONTAINED)),
         ("near", same_numbers & (((similar >= NEAR) & (overlap >= NEAR_OVERLAP)) | ((similar >= ALIKE) & (overlap >= ALIKE_OVERLAP)))),
-        ("signature", (C.signature(a) != "") & (C.signature(a) == C.signature(b)) & T.subset(_numbers(ka), _numbers(kb))),
+        ("signature", both("signature") & T.subset(na, nb)),
     ]
 
 
-def suppression(a: Column, b: Column) -> Column:
-    """The reason why a change from line a to line b isn't shown; null where it is."""
+def _first(found: list[tuple[str, Column]]) -> Column:
     ladder = None
-    for reason, holds in rules(a, b):
+    for reason, holds in found:
         ladder = F.when(holds, reason) if ladder is None else ladder.when(holds, reason)
-    return F.nullif(ladder, F.lit(SHOWN))
+    return ladder
+
+
+def suppression(a: Column, b: Column) -> Column:
+    """The reason why a change from line a to line b isn't shown; null where it is."""
+    return F.nullif(_first(rules(a, b)), F.lit(SHOWN))
+
+
+#: The rules that ask for similarities, which are worked out only where no rule before them decides.
+LATE = 3
+
+
+def suppressed(x: DataFrame, a: str, b: str, name: str = "reason") -> DataFrame:
+    """x with suppression() of its columns a and b, and the looks of both (look_..._a and _b): each look is made once a row, however many rules ask for it."""
+    sides = {"a": a, "b": b}
+    at = lambda look, side: F.col(f"look_{look}_{side}")
+    made_once = lambda looks, of: {f"look_{n}_{s}": f(of(s)) for n, f in looks.items() for s in sides}
+    x = x.withColumns({"look_line_a": F.col(a), "look_line_b": F.col(b)}).withColumns(made_once(LOOKS, lambda s: F.col(f"look_line_{s}")))
+    x = x.withColumns(made_once(FROM_KEY, lambda s: at("key", s)))
+    given = {"line_a": F.col("look_line_a"), "line_b": F.col("look_line_b")}
+    look = lambda n, line: at(n, "a" if line is given["line_a"] else "b")
+    found = rules(given["line_a"], given["line_b"], look, F.col("look_similar"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  keeps a value from being worked out once more wherever it is asked for
+    x = x.select("*", once(_first(found[:-LATE])).alias("look_early"))
+    x = x.select("*", once(F.when(F.col("look_early").isNull(), similarity(given["line_a"], given["line_b"], look))).alias("look_similar"))
+    return x.withColumn(name, F.nullif(F.coalesce("look_early", _first(found[-LATE:])), F.lit(SHOWN)))
 
 
 #: Words of a line that may miss one, the share of them that agree, and the similarity of joined lines.
 MANY, AGREE, JOINED = 10, 0.97, 0.92
 
 
+def _bags(p: Column) -> tuple[Column, Column]:
+    """The words of a line without its outline marks, and its letters, digits and spaces."""
+    bare = F.trim(F.regexp_replace(p, r"[^\p{L}\p{N}_ ]+", " "))
+    return F.array_sort(F.filter(F.split(bare, " +"), lambda w: w != "")), bare
+
+
 def same_words(a: Column, b: Column) -> Column:
     """The same words in any order behind the outline marks; of many words one may be missing if nearly all agree, numbers included."""
-    bare = lambda x: F.trim(F.regexp_replace(C.without_anchors(x), r"[^\p{L}\p{N}_ ]+", " "))
-    bag = lambda x: F.array_sort(F.filter(F.split(bare(x), " +"), lambda w: w != ""))
-    x, y = bag(a), bag(b)
+    return _same_bags(*_bags(C.without_anchors(a)), *_bags(C.without_anchors(b)))
+
+
+def _same_bags(x: Column, bare_x: Column, y: Column, bare_y: Column) -> Column:
     most = F.greatest(F.size(x), F.size(y))
     shared = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
-    loose = (most >= MANY) & (F.abs(F.size(x) - F.size(y)) <= 1) & (shared / most >= AGREE) & T.subset(_numbers(bare(a)), _numbers(bare(b)))
+    loose = (most >= MANY) & (F.abs(F.size(x) - F.size(y)) <= 1) & (shared / most >= AGREE) & T.subset(_numbers(bare_x), _numbers(bare_y))
     return (x == y) | loose
 
 
-def joined_equivalent(a: Column, b: Column) -> Column:
-    """Whether two lines, one of them joined from neighbours, say the same: their change would be hidden, or they agree behind their outline marks, by letters, by words, or nearly and with their numbers."""
-    p, q = C.without_anchors(a), C.without_anchors(b)
+def joined_equivalent(x: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """x with whether its lines a and b, one of them joined from neighbours, say the same: their change would be hidden, or they agree behind their outline marks, by letters, by words, or nearly and with their numbers."""
+    columns = x.columns
+    x = suppressed(x, a, b, "look_reason")
+    p, q = F.col("look_wording_a"), F.col("look_wording_b")
+    x = x.withColumns({f"look_{n}_{s}": c for s, w in (("a", p), ("b", q)) for n, c in zip(("bag", "plain"), _bags(w), strict=True)})
     near = (p != "") & (q != "") & (F.greatest(T.levenshtein_ratio(p, q), C.sort_ratio(p, q)) >= JOINED) & T.subset(_numbers(p), _numbers(q))
-    letters = (C.signature(a) != "") & (C.signature(a) == C.signature(b))
-    return F.coalesce(suppression(a, b).isNotNull() | ((p != "") & (p == q)) | letters | same_words(a, b) | near, F.lit(False))
+    letters = (F.col("look_signature_a") != "") & (F.col("look_signature_a") == F.col("look_signature_b"))
+    words = _same_bags(*[F.col(f"look_{n}_{s}") for s in ("a", "b") for n in ("bag", "plain")])
+    says = F.when(F.col("look_reason").isNotNull(), True).otherwise(F.coalesce(((p != "") & (p == q)) | letters | words | near, F.lit(False)))
+    return x.select(*columns, says.alias(name))
 
 
 def split_blocks(changes: DataFrame, group: list[str], order: str) -> DataFrame:
-    """changes (group, order, kind, old, new) with `split`: whether a modification and the addition behind it, or a deletion and the modification behind it, are one line that only one version has cut in two."""
+    """changes (group, order, kind, old, new) with `split`: whether a modification and the addition behind it, or a deletion and the modification behind it, are one line that only one version has cut in two.
+
+    Each row is compared with the one behind it only, and tells it what came of it.
+    """
     w = Window.partitionBy(*group).orderBy(order)
-    at = lambda c, n: F.lead(c, n).over(w) if n > 0 else F.lag(c, -n).over(w)
-    x = changes.withColumns({f"{c}_{name}": at(c, n) for c in ("kind", "old", "new") for name, n in (("behind", 1), ("before", -1))})
+    # Few bytes of lines take long, so they are dealt by number and not by size.
+    x = changes.repartition(dealt_over(changes.sparkSession), *group).withColumns({f"{c}_behind": F.lead(c).over(w) for c in ("kind", "old", "new")})
     joined = lambda a, b: F.concat_ws(" ", a, b)
-    added = lambda mod_old, mod_new, add: joined_equivalent(mod_old, joined(mod_new, add))
-    removed = lambda gone, mod_old, mod_new: joined_equivalent(joined(gone, mod_old), mod_new)
-    kind, c = F.col("kind"), F.col
-    split = (
-        F.when((kind == "mod") & (c("kind_behind") == "add") & added(c("old"), c("new"), c("new_behind")), True).when((kind == "add") & (c("kind_before") == "mod") & added(c("old_before"), c("new_before"), c("new")), True)
-        .when((kind == "del") & (c("kind_behind") == "mod") & removed(c("old"), c("old_behind"), c("new_behind")), True).when((kind == "mod") & (c("kind_before") == "del") & removed(c("old_before"), c("old"), c("new")), True)
-    )
-    return x.withColumn("split", F.coalesce(split, F.lit(False))).select(*changes.columns, "split")
+    c = F.col
+    added, removed = (c("kind") == "mod") & (c("kind_behind") == "add"), (c("kind") == "del") & (c("kind_behind") == "mod")
+    x = x.withColumn("whole", F.when(added, c("old")).when(removed, joined(c("old"), c("old_behind")))).withColumn("halves", F.when(added, joined(c("new"), c("new_behind"))).when(removed, c("new_behind")))
+    x = joined_equivalent(x.withColumn("pair", F.coalesce(added | removed, F.lit(False))), "whole", "halves", "says")
+    says = F.col("pair") & F.col("says")
+    x = x.withColumn("says", says)
+    return x.withColumn("split", F.col("says") | F.coalesce(F.lag("says").over(w), F.lit(False))).select(*changes.columns, "split")
