@@ -73,10 +73,9 @@ def line_ends(spark, d):
 
 def xml_validity(spark, d):
     """Orders' documents that are well formed, where those of cancelled size (over 400,000) lack their last ten characters."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    x = order_xml(spark, d, "old").join(o, "o_orderkey").withColumn("xml", F.when(F.col("o_totalprice") > 400000, F.expr("substring(xml, 1, length(xml) - 10)")).otherwise(F.col("xml")))
-    e = X.elements(x, "o_orderkey", "xml")
-    return e.groupBy(F.col("id").alias("o_orderkey")).agg((F.count("path") > 0).alias("valid"), F.count("path").alias("elements"))
+    x = order_xml(spark, d, "old", "o_totalprice")
+    x = x.withColumn("xml", F.when(F.col("o_totalprice") > 400000, F.expr("substring(xml, 1, length(xml) - 10)")).otherwise(F.col("xml")))
+    return X.element_counts(x, "o_orderkey", "xml").select(F.col("id").alias("o_orderkey"), F.col("elements").isNotNull().alias("valid"), F.coalesce("elements", F.lit(0)).alias("elements"))
 
 
 def top_units(spark, d):

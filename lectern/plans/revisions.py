@@ -147,8 +147,8 @@ def unmatched_lines(spark, d):
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def order_xml(spark, d, version: str) -> DataFrame:
-    """(o_orderkey, xml): an order with its lines. The new version leaves out lines with more than 45 pieces, doubles quantities under 5, and marks urgent orders."""
+def order_xml(spark, d, version: str, *more: str) -> DataFrame:
+    """(o_orderkey, more, xml): an order with its lines; more: columns of orders. The new version leaves out lines with more than 45 pieces, doubles quantities under 5, and marks urgent orders."""
     li = table(spark, d, "lineitem")
     quantity = F.col("l_quantity").cast("int")
     if version == "new":
@@ -159,7 +159,7 @@ def order_xml(spark, d, version: str) -> DataFrame:
     o = table(spark, d, "orders").repartition(R.dealt_over(spark), "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(' urgent="yes"')).otherwise("") if version == "new" else F.lit("")
     body = F.array_join(F.transform(F.coalesce("lines", F.array()), lambda x: x["line"]), "")
-    return o.select("o_orderkey", F.concat(F.lit('<?xml version="1.0"?><!-- order '), F.col("o_orderkey").cast("string"), F.lit(" --><order"), urgent, F.lit("><status>"), "o_orderstatus", F.lit("</status>"), body, F.lit("</order>")).alias("xml"))
+    return o.select("o_orderkey", *more, F.concat(F.lit('<?xml version="1.0"?><!-- order '), F.col("o_orderkey").cast("string"), F.lit(" --><order"), urgent, F.lit("><status>"), "o_orderstatus", F.lit("</status>"), body, F.lit("</order>")).alias("xml"))
 
 
 def xml_changes(spark, d) -> DataFrame:
