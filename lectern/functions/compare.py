@@ -42,9 +42,13 @@ def grams(text: Column, n: int = 6) -> Column:
     return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(T.shingles(text, n))
 
 
+#: A bracketed amendment marker such as [F17A].
+AMENDED = r"\[[A-Z]{1,2}[0-9]+[A-Z]?\]"
+
+
 def content_only(text: Column) -> Column:
-    """Without bracketed amendment markers such as [F17A]."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[A-Z]{1,2}[0-9]+[A-Z]?\]", " "), " +", " "))
+    """Without amendment markers."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, AMENDED, " "), " +", " "))
 
 
 def compact_markers(text: Column) -> Column:
@@ -61,9 +65,13 @@ def sort_ratio(a: Column, b: Column) -> Column:
     return guarded(word_bag(a), word_bag(b))
 
 
+def bare(text: Column) -> Column:
+    """Without white space."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
 def spaceless_ratio(a: Column, b: Column) -> Column:
     """Levenshtein ratio of the characters without white space; 0 where one line has none."""
-    bare = lambda x: F.regexp_replace(x, r"\s+", "")
     return guarded(bare(a), bare(b))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import compare as C
 from ..functions import text as T
+from ..operators import alignment as A
+from ..operators import relational as R
 from ..sources.tables import table
 
 
@@ -35,14 +37,20 @@ def sentence_counts(spark, d):
 
 def pair_similarity(spark, d):
     """Similarities of each turn and the one before: content words, long words, runs of six characters, sorted words, characters without spaces, and the combined one, by code points."""
-    made = {"c": T.content_words, "l": C.long_words, "g": C.grams}
+    made = {"c": T.content_words, "l": C.long_words}
     # Distances take time with the square of a turn's length, so turns are dealt evenly after the window.
-    p = pairs(spark, d).repartition(spark.sparkContext.defaultParallelism * 2)
+    p = pairs(spark, d).repartition(R.dealt_over(spark), "conv_id", "turn")
     p = p.select("conv_id", "turn", "a", "b", *[f(F.col(x)).alias(f"{k}_{x}") for k, f in made.items() for x in ("a", "b")])
     both = lambda f, k: f(F.col(f"{k}_a"), F.col(f"{k}_b"))
-    grams = F.when((F.size("g_a") == 0) | (F.size("g_b") == 0), 0.0).otherwise(both(T.jaccard, "g"))
-    a, b = F.col("a"), F.col("b")
-    p = p.select("conv_id", "turn", both(T.jaccard, "c").alias("content"), both(T.jaccard, "l").alias("long"), grams.alias("grams"), C.sort_ratio(a, b).alias("sorted"), C.spaceless_ratio(a, b).alias("chars"), C.combined_ratio(a, b).alias("combined"))
+    # What both say beside their markers is compared for those that have any; for others it is what they are.
+    marked = F.rlike("a", F.lit(C.AMENDED)) | F.rlike("b", F.lit(C.AMENDED))
+    said = {x: F.when(marked, C.content_only(F.col(x))) for x in ("a", "b")}
+    forms = {f"{k}_{x}": f(c) for k, f, of in (("bag", C.word_bag, F.col), ("bare", C.bare, F.col), ("said_bag", C.word_bag, said.get), ("said_bare", C.bare, said.get)) for x in ("a", "b") for c in (of(x),)}
+    p = p.select("conv_id", "turn", "a", "b", both(T.jaccard, "c").alias("content"), both(T.jaccard, "l").alias("long"), ((said["a"] != "") & (said["b"] != "")).alias("said"), *[c.alias(k) for k, c in forms.items()])
+    p = A.with_ratios(p, {k: (f"{k}_a", f"{k}_b") for k in ("bag", "bare", "said_bag", "said_bare")}, {"grams": ("a", "b")})
+    agreed = F.greatest("said_bag", "said_bare")
+    combined = F.when(F.col("said") & (agreed >= C.AGREED), agreed).otherwise(F.greatest("bag", "bare"))
+    p = p.select("conv_id", "turn", "content", "long", "grams", F.col("bag").alias("sorted"), F.col("bare").alias("chars"), combined.alias("combined"))
     return p.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("content", "long", "grams", "sorted", "chars", "combined")])
 
 
