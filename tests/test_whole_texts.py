@@ -1,6 +1,7 @@
 """Texts are compared as wholes, however long they are."""
 
 from lectern.operators import differences as B
+from lectern.plans import revisions
 
 LONG = 41_000
 
@@ -10,3 +11,12 @@ def test_words_behind_the_forty_thousandth():
     got = B.compare_words(" ".join([*old, "harbour", "at", "noon"]), " ".join([*old, "ferry", "at", "noon"]))
     assert (got["old_words"], got["new_words"], got["common"]) == (LONG + 3, LONG + 3, LONG + 2)
     assert (got["words_removed"], got["words_added"], got["words_modified"]) == (["harbour"], ["ferry"], [])
+
+
+def test_sections_match_however_far_they_moved(spark, tmp_path):
+    """The editor leaves out every fourth sentence: here one of twelve sections and more, so that what follows moves up by more than eight."""
+    short = [f"alpha{k} beta{k} gamma{k}." for k in range(60)]
+    gone = " ".join(f"lost{i}" for i in range(900)) + "."
+    spark.createDataFrame([(1, " ".join([*short[:3], gone, *short[3:]]))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.a, r.b) for r in revisions.ordered_matches(spark, str(tmp_path)).collect()]
+    assert any(a - b > 8 for a, b in got)
