@@ -1,5 +1,11 @@
 """Texts are compared as wholes, however long they are."""
 
+import random
+
+import numpy as np
+
+from lectern.functions import sequences as S
+from lectern.operators import alignment as A
 from lectern.operators import differences as B
 from lectern.plans import revisions
 
@@ -20,3 +26,29 @@ def test_sections_match_however_far_they_moved(spark, tmp_path):
     spark.createDataFrame([(1, " ".join([*short[:3], gone, *short[3:]]))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.a, r.b) for r in revisions.ordered_matches(spark, str(tmp_path)).collect()]
     assert any(a - b > 8 for a, b in got)
+
+
+def test_all_copies_of_a_sentence_take_part(spark):
+    """40 copies of each sentence: pairing copies of `cat` with each other would leave the rest alone, so the largest sum pairs none of them, whichever copies they are."""
+    short, cat, long = "the cat sat by the door of a hall.", "the cat sat by the door of a hall at ten.", "the cat sat by the door of a hall at ten to two."
+    n = 40
+    old, new = " ".join([*[short.capitalize()] * n, *[cat.capitalize()] * n]), " ".join([*[cat.capitalize()] * n, *[long.capitalize()] * n])
+    rows = A.align(spark.createDataFrame([(1, old, new)], "doc_id long, old string, new string"), "doc_id", "old", "new").where("a is not null and b is not null").collect()
+    want = n * max(1.0, S.ratio(short, cat) + S.ratio(cat, long))
+    assert len({r.a for r in rows}) == len({r.b for r in rows}) == len(rows) and abs(sum(r.similarity for r in rows) - want) < 1e-9
+
+
+def test_copies_are_shared_out_as_if_they_were_listed():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        edges = [(i, j, rng.choice([0.75, 0.8, 0.9, 1.0, rng.random() + 0.01])) for i in range(n) for j in range(m) if rng.random() < 0.6]
+        if not edges:
+            continue
+        x, y, s = (np.array(c) for c in zip(*edges))
+        of_a, of_b = (np.array([rng.choice([1, 1, 2, 5]) for _ in range(k)]) for k in (n, m))
+        taken = S.shared_out(x, y, s, of_a, of_b)
+        assert (taken >= 0).all() and all(taken[x == i].sum() <= of_a[i] for i in range(n)) and all(taken[y == j].sum() <= of_b[j] for j in range(m))
+        listed = [(10 * i + p, 10 * j + q, z) for i, j, z in edges for p in range(of_a[i]) for q in range(of_b[j])]
+        a, b, z = (np.array(c) for c in zip(*listed))
+        assert abs((taken * s).sum() - z[S.assignment(a, b, z)].sum()) < 1e-9
