@@ -31,7 +31,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 8, 50_000
 BLOCK = 512
 #: With so many neighbours in a shingle's own order a text is compared before the remaining pairs are looked for.
 NEIGHBOURS = 2
-#: Common shingles are counted with components of at most so many texts before these are compared.
+#: The outlines of components of at most so many texts are looked at before these are compared.
 FEW = 16
 #: Neighbours are compared at once if they are such in one of so many of the smaller set's shingles, or share one that so many texts have.
 OFTEN, LARGE = 40, 16
@@ -60,6 +60,22 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
     return hashes[:most]
 
 
+def outline(hashes: np.ndarray) -> bytes:
+    """A set's parity by the last bits of its hashes: bits for about as many numbers as the set has, 512 at least."""
+    size = max(512, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount(hashes & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def within_outlines(a: bytes, b: bytes, n: int) -> bool:
+    """Whether two sets of n shingles together can be similar enough by their outlines, which differ in no more bits than the sets in shingles. The larger outline is folded to the size of the other one."""
+    x, y = (np.frombuffer(t, np.uint8) for t in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return apart * (NUMERATOR + DENOMINATOR) <= n * (DENOMINATOR - NUMERATOR)
+
+
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample of texts (columns key, text) in ascending order, and their ranks by frequency."""
     share = texts.count() / SAMPLE
@@ -83,8 +99,20 @@ def possible(a: str, b: str):
     return rest * (NUMERATOR + DENOMINATOR) >= (F.col(f"{a}n") + F.col(f"{b}n")) * NUMERATOR
 
 
+def by_outlines(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (u, u_n, u_outline, v, v_n, v_outline) that can be similar enough by the outlines of their sets."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column("u_n")).astype(np.int64) + np.asarray(batch.column("v_n"))
+            good = [within_outlines(*x) for x in zip(batch.column("u_outline").to_pylist(), batch.column("v_outline").to_pylist(), sizes.tolist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("u", "u_n", "u_outline", "v", "v_n", "v_outline").mapInArrow(likely, "u long, v long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough. The texts (row, key, text) of both ends meet by one exchange, and only those that stand in a pair are cut into sets."""
+    """The pairs (u, v) whose sets are similar enough. Most pairs end by the outlines of their sets (nodes: node, row, key, n, outline); the texts (row, key, text) of both ends of the others meet by one exchange, and only those that stand in a pair are cut into sets."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "a", 2 << 20):
@@ -104,6 +132,8 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -
                     held = 0
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    drawn = nodes.select("node", "n", "outline")
+    pairs = checkpointed(by_outlines(pairs.join(drawn.toDF("u", "u_n", "u_outline"), "u").join(drawn.toDF("v", "v_n", "v_outline"), "v")))
     lead = nodes.select("node", "row", "key")
     asked = pairs.join(lead.toDF("u", "u_row", "u_key"), "u").join(lead.toDF("v", "v_row", "v_key"), "v")
     found = asked.join(texts.select(F.col("row").alias("u_row"), F.col("key").alias("u_key"), F.col("text").alias("a")), ["u_key", "u_row"])
@@ -176,16 +206,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             prints = np.fromiter(map(majority, every), np.uint64, len(every)).view(np.int64)
             firsts = pa.array([prefix(s, frequent, rank) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(map(len, sets), pa.int32()), firsts], ["id", "row", "key", "node", "fp", "n", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("key"), pa.array(nodes, pa.int64()), pa.array(prints), pa.array(map(len, sets), pa.int32()), firsts, pa.array(map(outline, sets), pa.binary())], ["id", "row", "key", "node", "fp", "n", "firsts", "outline"])
 
-    rows = checkpointed(texts.mapInArrow(described, "id long, row long, key long, node long, fp long, n int, firsts array<long>"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("row", "key")).alias("lead"), F.min("fp").alias("fp")).select("node", "first", "lead.*", "fp"))
+    rows = checkpointed(texts.mapInArrow(described, "id long, row long, key long, node long, fp long, n int, firsts array<long>, outline binary"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("row", "key")).alias("lead"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("outline").alias("outline")).select("node", "first", "lead.*", "fp", "n", "outline"))
     places = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts")).select("node", "n", F.posexplode("firsts").alias("pos", "shingle"))
     bucket = Window.partitionBy("shingle")
     drawn = bucket.orderBy(F.xxhash64("shingle", "node"), "node")
     before = {"s": (bucket.orderBy("n", "node"), 1)} | {f"h{k}": (drawn, k) for k in range(1, NEIGHBOURS + 1)}
     places = places.withColumn("many", F.count("*").over(bucket)).where("many > 1")
-    shared = checkpointed(places.select("*", *[F.lag(c, at).over(w).alias(f"{k}_{c}") for k, (w, at) in before.items() for c in ("node", "n", "pos")]))
+    shared = checkpointed(places)
+    lagged = shared.select("*", *[F.lag(c, at).over(w).alias(f"{k}_{c}") for k, (w, at) in before.items() for c in ("node", "n", "pos")])
 
     # Candidates: one fingerprint and fingerprints near each other; neighbours that share a prefix shingle.
     one = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
@@ -194,32 +225,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v")
     pairs = ordered(near.join(a, "u").join(b, "v"), "a", "b").union(ordered(nodes.join(one, "fp"), "node", "lead"))
     sides = [F.struct(F.greatest("node", f"{k}_node").alias("u"), F.least("node", f"{k}_node").alias("v"), F.least("n", f"{k}_n").alias("n"), (possible("", f"{k}_")).alias("fits")) for k in before]
-    beside = shared.select("many", F.explode(F.array(*sides)).alias("x")).where("x.fits and x.u <> x.v").groupBy("x.u", "x.v").agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("many").alias("many"))
+    beside = lagged.select("many", F.explode(F.array(*sides)).alias("x")).where("x.fits and x.u <> x.v").groupBy("x.u", "x.v").agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("many").alias("many"))
     # Texts that meet in few places only share a passage as a rule; what these leave out is looked for below. In a large group neighbours are drawn, and meet seldom.
     beside = beside.where((F.col("c") * OFTEN >= F.col("n")) | (F.col("many") > LARGE)).select("u", "v")
     links = checkpointed(verified(checkpointed(pairs.union(beside).distinct()), texts, nodes, words))
     parts = checkpointed(connected_components(links))
 
-    # Texts with members of a larger component (or one of a smaller number) that might still be linked. Two sets that are similar enough have all but a few of their common
-    # shingles beyond the shorter one of their prefixes, so those within both prefixes must be so many.
+    # Texts with members of a larger component (or one of a smaller number) that might still be linked.
     parts_of = parts.groupBy("component").agg(F.count("*").alias("m"))
     known = shared.select("shingle", "node", "n", "pos").join(parts.join(parts_of, "component"), "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("part"), F.coalesce("m", F.lit(1)).alias("m"))
-    behind = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR).cast("int") - 1
-    held = known.groupBy("shingle", F.col("part").alias("large"), F.col("m").alias("large_m")).agg(F.max(behind("n")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    held = known.groupBy("shingle", F.col("part").alias("large"), F.col("m").alias("large_m")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"))
     larger = (F.col("m") < F.col("large_m")) | ((F.col("m") == F.col("large_m")) & (F.col("part") > F.col("large")))
     sized = (F.col("low") * NUMERATOR <= F.col("n") * DENOMINATOR) & (F.col("n") * NUMERATOR <= F.col("high") * DENOMINATOR)
-    # The first common shingle of two such sets leaves enough behind it in both, so a shingle that many texts have late among theirs brings no pair. Pairs are found by it, and their common shingles counted then.
+    # The first common shingle of two such sets leaves enough behind it in both, so a shingle that many texts have late among theirs brings no pair.
     first = F.least(F.col("n") - F.col("pos"), F.col("left")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
     likely = checkpointed(known.join(held, "shingle").where(larger & sized & first).select("node", "large", "large_m").distinct())
-    own = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    few = known.where(F.col("m") <= FEW).groupBy(F.col("part").alias("large")).agg(F.collect_set("shingle").alias("held"), F.max(behind("n")).alias("rest"), F.min("n").alias("low"))
-    # A row for each pair; of a component with more than FEW texts the common shingles aren't counted, all its pairs are looked at.
-    met = likely.where(F.col("large_m") <= FEW).join(own, "node").join(few, "large").withColumn("c", F.size(F.array_intersect("firsts", "held")))
-    enough = (F.col("c") + F.greatest(behind("n"), F.col("rest"))) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("low")) * NUMERATOR
-    across = checkpointed(met.where(enough).select("node", "large").union(likely.where(F.col("large_m") > FEW).select("node", "large")))
+    # A row for each pair that the outlines of both sets decide; of a component with more than FEW texts all pairs are looked at.
+    drawn = nodes.select("node", "n", "outline")
+    members = drawn.join(parts.join(parts_of, "component"), "node", "left").where(F.coalesce("m", F.lit(1)) <= FEW).select(F.coalesce("component", "node").alias("v"), F.col("n").alias("v_n"), F.col("outline").alias("v_outline"))
+    met = likely.where(F.col("large_m") <= FEW).select(F.col("node").alias("u"), F.col("large").alias("v")).join(drawn.toDF("u", "u_n", "u_outline"), "u").join(members, "v")
+    met = by_outlines(met).distinct().toDF("node", "large")
+    across = checkpointed(met.union(likely.where(F.col("large_m") > FEW).select("node", "large")))
     more = checkpointed(bridges(across, texts, nodes, parts, words, block))
 
     parts = connected_components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    last = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    last = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = last.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.select("id", "node").join(last.join(least, "component").select("node", "component_id"), "node").select("id", "component_id")
