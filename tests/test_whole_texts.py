@@ -6,6 +6,7 @@ import numpy as np
 
 from lectern.functions import sequences as S
 from lectern.operators import alignment as A
+from lectern.operators import chunk_pairs as P
 from lectern.operators import differences as B
 from lectern.plans import revisions
 
@@ -52,3 +53,12 @@ def test_copies_are_shared_out_as_if_they_were_listed():
         listed = [(10 * i + p, 10 * j + q, z) for i, j, z in edges for p in range(of_a[i]) for q in range(of_b[j])]
         a, b, z = (np.array(c) for c in zip(*listed))
         assert abs((taken * s).sum() - z[S.assignment(a, b, z)].sum()) < 1e-9
+
+
+def test_chunks_pair_by_all_their_words(spark):
+    """Both chunks begin with 600 characters of their own and say the same behind; with one chunk more on one side they can't pair by position."""
+    same = " ".join(f"common{k}" for k in range(200))
+    chunk = lambda no, word: (1, no, "", " ".join(f"{word}{k}" for k in range(100)) + " " + same)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, chunk int, heading string, text string")
+    rows = P.compared(frame([chunk(0, "old")]), frame([(1, 0, "", "something else"), chunk(1, "new")])).collect()
+    assert sorted((r.a, r.b, r.how) for r in rows if r.a is not None) == [(0, 1, "order")] and [r.b for r in rows if r.kind == "added"] == [0]
